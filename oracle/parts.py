@@ -7,10 +7,11 @@ R = 3440.0695
 
 
 def hav(a, b, c, d):
-    return (
-        f"(2.0*{R}*asin(least(1.0, sqrt(power(sin((radians({c})-radians({a}))/2.0),2)"
-        f"+cos(radians({a}))*cos(radians({c}))*power(sin(radians(({d})-({b}))/2.0),2)))))"
+    q = (
+        f"sqrt(power(sin((radians({c})-radians({a}))/2.0),2)"
+        f"+cos(radians({a}))*cos(radians({c}))*power(sin(radians(({d})-({b}))/2.0),2))"
     )
+    return f"(2.0*{R}*asin(CASE WHEN {q} > 1.0 THEN 1.0 ELSE {q} END))"
 
 
 def pmod(x, m="360.0"):
@@ -42,18 +43,17 @@ def un_lon(rla, rlo, e, n):
     return wrap180(f"({rlo})+degrees(({e})/({R}*cos(radians((({rla})+{un_lat(rla, n)})/2.0))))")
 
 
+def _sin_lat2(la, brg, d):
+    x = f"(sin(radians({la}))*cos(({d})/{R})+cos(radians({la}))*sin(({d})/{R})*cos(radians({brg})))"
+    return f"(CASE WHEN {x} > 1.0 THEN 1.0 WHEN {x} < -1.0 THEN -1.0 ELSE {x} END)"
+
+
 def dest_lat(la, brg, d):
-    return (
-        f"degrees(asin(greatest(-1.0,least(1.0,sin(radians({la}))*cos(({d})/{R})"
-        f"+cos(radians({la}))*sin(({d})/{R})*cos(radians({brg}))))))"
-    )
+    return f"degrees(asin({_sin_lat2(la, brg, d)}))"
 
 
 def dest_lon(la, lo, brg, d):
-    s = (
-        f"greatest(-1.0,least(1.0,sin(radians({la}))*cos(({d})/{R})"
-        f"+cos(radians({la}))*sin(({d})/{R})*cos(radians({brg}))))"
-    )
+    s = _sin_lat2(la, brg, d)
     return wrap180(
         f"degrees(radians({lo})+atan2(sin(radians({brg}))*sin(({d})/{R})*cos(radians({la})),"
         f"cos(({d})/{R})-sin(radians({la}))*({s})))"
@@ -278,6 +278,6 @@ def statement(body: str, *needs: str) -> str:
     if not seen:
         return body
     ctes = ",\n".join(
-        f"{n} AS {'' if n in ('kal', 'beat') else 'MATERIALIZED '}({PARTS[n]})" for n in seen
+        f"{n} AS {'' if n in ('kal', 'beat', 'legs') else 'MATERIALIZED '}({PARTS[n]})" for n in seen
     )
     return f"WITH RECURSIVE {ctes}\n{body}"

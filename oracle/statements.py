@@ -40,7 +40,7 @@ part("rpic", picture("upd"), "upd")
 
 def kin(src: str) -> str:
     return f"""
-SELECT k.*, {enu_e('ref_lat', 'ref_lon', 'lat', 'lon')} AS ee, {enu_n('ref_lat', 'lat')} AS nn,
+SELECT k.*, o.ref_lat, o.ref_lon, {enu_e('ref_lat', 'ref_lon', 'lat', 'lon')} AS ee, {enu_n('ref_lat', 'lat')} AS nn,
   ground_speed_kt*sin(radians(track_deg)) AS ve, ground_speed_kt*cos(radians(track_deg)) AS vn,
   position_uncertainty_m/1852.0/sqrt(2.0) AS ps, velocity_uncertainty_kt AS vs, altitude_uncertainty_ft AS zs,
   vertical_rate_uncertainty_fpm AS ws

@@ -26,6 +26,18 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(float(x))
 
 
+def at_least(x, low: float) -> Column:
+    """`greatest` that keeps nulls null."""
+    c = col(x)
+    return F.when(c < low, F.lit(low)).otherwise(c)
+
+
+def clamp(x, low: float, high: float) -> Column:
+    """Limit to [low, high], keeping nulls null."""
+    c = col(x)
+    return F.when(c < low, F.lit(low)).when(c > high, F.lit(high)).otherwise(c)
+
+
 def knots_to_nm_per_second(kt) -> Column:
     return col(kt) / 3600.0
 
@@ -55,7 +67,7 @@ def haversine_nm(lat1, lon1, lat2, lon2) -> Column:
     sin_lat = F.sin((p2 - p1) / 2.0)
     sin_lon = F.sin(F.radians(col(lon2) - col(lon1)) / 2.0)
     a = sin_lat * sin_lat + F.cos(p1) * F.cos(p2) * sin_lon * sin_lon
-    return F.asin(F.least(F.lit(1.0), F.sqrt(a))) * (2.0 * EARTH_RADIUS_NM)
+    return F.asin(clamp(F.sqrt(a), 0.0, 1.0)) * (2.0 * EARTH_RADIUS_NM)
 
 
 def initial_bearing(lat1, lon1, lat2, lon2) -> Column:
@@ -72,14 +84,13 @@ def initial_bearing(lat1, lon1, lat2, lon2) -> Column:
 def destination_lat(lat, bearing, distance_nm) -> Column:
     p, th, d = F.radians(col(lat)), F.radians(col(bearing)), col(distance_nm) / EARTH_RADIUS_NM
     s = F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(th)
-    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))))
+    return F.degrees(F.asin(clamp(s, -1.0, 1.0)))
 
 
 def destination_lon(lat, lon, bearing, distance_nm) -> Column:
     p, th, d = F.radians(col(lat)), F.radians(col(bearing)), col(distance_nm) / EARTH_RADIUS_NM
     s = F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(th)
-    clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))
-    turn = F.atan2(F.sin(th) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * clamped)
+    turn = F.atan2(F.sin(th) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * clamp(s, -1.0, 1.0))
     return wrap_longitude(F.degrees(F.radians(col(lon)) + turn))
 
 
@@ -124,9 +135,7 @@ def project_forward(lat, lon, track_deg, speed_kt, seconds) -> Column:
 
 
 def dead_reckoned_altitude(altitude_ft, vertical_rate_fpm, seconds) -> Column:
-    return F.greatest(
-        F.lit(0.0), col(altitude_ft) + fpm_to_ft_per_second(vertical_rate_fpm) * col(seconds)
-    )
+    return at_least(col(altitude_ft) + fpm_to_ft_per_second(vertical_rate_fpm) * col(seconds), 0.0)
 
 
 def constant_turn(lat, lon, track_deg, speed_kt, turn_rate_deg_s, seconds) -> Column:

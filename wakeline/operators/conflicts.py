@@ -108,8 +108,10 @@ def closest_approach(p: DataFrame, lookahead_s: Column) -> DataFrame:
     p = p.select("*", rel["e"].alias("re"), rel["n"].alias("rn"), (rel["ve"] / 3600.0).alias("rve"),
                  (rel["vn"] / 3600.0).alias("rvn"), rel["z"].alias("rz"), (rel["vz"] / 60.0).alias("rvz"))
     speed2 = F.col("rve") * F.col("rve") + F.col("rvn") * F.col("rvn")
-    raw = -(F.col("re") * F.col("rve") + F.col("rn") * F.col("rvn")) / F.when(speed2 >= PARALLEL_EPSILON, speed2)
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(lookahead_s, raw)), F.lit(0.0))
+    moving = speed2 >= PARALLEL_EPSILON
+    raw = -(F.col("re") * F.col("rve") + F.col("rn") * F.col("rvn")) / F.when(moving, speed2)
+    # Matched speeds never change the separation: the closest approach is now.
+    t = F.when(moving, F.greatest(F.lit(0.0), F.least(lookahead_s, raw))).otherwise(0.0)
     p = p.withColumn("time_to_cpa_s", t)
     return p.select(
         "*",

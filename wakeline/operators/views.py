@@ -127,3 +127,10 @@ def snapshot_frames(tracks: DataFrame, alerts: DataFrame, part_size: int = FRAME
     return t.join(a, ["scenario_id", "part"], "full_outer").select(
         "scenario_id", "part", F.coalesce("tracks", F.array()).alias("tracks"), F.coalesce("alerts", F.array()).alias("alerts")
     )
+
+
+def prunable(updates: DataFrame, as_of_us: int, older_than_s: float = 600.0) -> DataFrame:
+    """Tracks whose state may be dropped: terminated and silent for long enough."""
+    known = _latest(updates.where(F.col("t_us") <= as_of_us), TRACK, "t_us", "last_report_us")
+    cutoff = as_of_us - int(older_than_s * 1e6)
+    return known.where((F.col("state") == "terminated") & (F.col("last_report_us") < cutoff))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators import alerts, bootstrap, conflicts, conformance, scoring, truth
 from wakeline.plans.live import Sky
+from wakeline.session import cut_lineage
 
 # Fixed values that results depend on.
 LOOKAHEADS_S = [60.0, 120.0, 180.0, 240.0, 300.0]
@@ -14,15 +15,20 @@ THRESHOLDS = [None, 0.01, 0.05, 0.10, 0.20, 0.35, 0.50, 0.70]
 
 
 def truth_events(truth_rows: DataFrame) -> DataFrame:
-    return truth.conflict_events(truth.violations(truth_rows))
+    """True conflict events; few, and read by every part of a scorecard."""
+    return cut_lineage(truth.conflict_events(truth.violations(truth_rows)))
 
 
 def raised_alerts(found: DataFrame, s: Sky, by: list[str] | None = None, evidence: list[str] | None = None) -> DataFrame:
-    """First NEW alert per pair (and arm) for conflicts at scan ticks."""
+    """First NEW alert per pair (and arm) for conflicts at scan ticks.
+
+    Materialised: a scorecard reads the alerts several times, and the pair scan
+    behind them is the expensive part.
+    """
     arms = by or []
     d = alerts.from_conflicts(found, by=arms)
     life = alerts.lifecycle(d, last_tick_us=s.until_us, by=arms, sustain=False)
-    return scoring.first_raised(life, arms, evidence)
+    return cut_lineage(scoring.first_raised(life, arms, evidence))
 
 
 def conflict_evaluation(s: Sky, truth_rows: DataFrame, scenarios: DataFrame, epoch_us: int, by: list[str] | None = None) -> DataFrame:
@@ -43,7 +49,8 @@ def threshold_outcomes(s: Sky, truth_rows: DataFrame, scenarios: DataFrame, epoc
     found = conflicts.probable_conflicts(s.picture, THRESHOLDS)
     raised = raised_alerts(found, s, ["threshold"])
     events = truth_events(truth_rows)
-    return events, raised, scoring.outcomes(events, raised, scenarios, epoch_us, {"threshold": THRESHOLDS})
+    per = scoring.outcomes(events, raised, scenarios, epoch_us, {"threshold": THRESHOLDS})
+    return events, raised, cut_lineage(per)
 
 
 def detector_comparison(s: Sky, truth_rows: DataFrame, scenarios: DataFrame, epoch_us: int,
@@ -78,6 +85,6 @@ def advisories(s: Sky, epoch_us: int, predicted: DataFrame | None = None) -> Dat
 def conformance_evaluation(s: Sky, manoeuvres: DataFrame, scenarios: DataFrame, epoch_us: int,
                            predicted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scorecard, manoeuvre outcomes, attributed advisories)."""
-    attributed = scoring.attribute(advisories(s, epoch_us, predicted), manoeuvres)
-    outcome = scoring.manoeuvre_outcomes(manoeuvres, attributed)
+    attributed = cut_lineage(scoring.attribute(advisories(s, epoch_us, predicted), manoeuvres))
+    outcome = cut_lineage(scoring.manoeuvre_outcomes(manoeuvres, attributed))
     return scoring.conformance_scorecard(outcome, attributed, scenarios), outcome, attributed

@@ -458,3 +458,10 @@ def f10(spark, sf):
 def k12(spark, sf):
     out = _conformance(spark, sf)[1].join(scenario_table(spark, sf).select("scenario_id", "family"), "scenario_id")
     return scoring.recall_by(out, "family", "kind")
+
+
+def load_all() -> dict:
+    """Every registered query, including those of the sibling modules."""
+    from wakeline.plans import registered_inputs, registered_models  # noqa: F401
+
+    return QUERIES

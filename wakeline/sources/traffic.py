@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
+from wakeline.sources import streams
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
 CLOCK_COMPRESSION = 10_000
@@ -215,3 +216,83 @@ def manoeuvres(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(*[c.alias(n) for n, c in identity(u).items()], F.explode(plan).alias("c"))
         .select("scenario_id", "icao24", "c.at_s", "c.kind")
     )
+
+
+def report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as contract records (timestamps instead of microseconds)."""
+    r = reports(spark, sf_dir)
+    return r.select(
+        F.lit("wakeline-contracts-v1").alias("schema_version"), "report_id", "icao24", "callsign",
+        F.timestamp_micros("t_us").alias("observed_at"), "lat", "lon", "altitude_baro_ft", "ground_speed_kt", "track_deg",
+        "vertical_rate_fpm", "squawk", "on_ground", F.lit("simulator").alias("source"), "scenario_id",
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as keyed JSON messages with delivery metadata; extreme event values break their record."""
+    body = streams.to_messages(report_records(spark, sf_dir), "icao24")
+    eid = F.get_json_object("value", "$.report_id")
+    keyed = body.withColumn("event_id", F.substring_index(eid, "-", -1).cast("long"))
+    src = load(spark, sf_dir, "events").select("event_id", "event_type", "props", F.col("value").alias("size"), "user_id")
+    big, v, kind = F.col("size") >= 100.0, F.col("value"), F.col("event_type")
+    broken = (
+        F.when(F.col("size") < 5.0, F.substring(v, 1, 40))
+        .when(big & (kind == "click"), F.regexp_replace(v, r"^\{", '{"extra":1,'))
+        .when(big & (kind == "view"), F.regexp_replace(v, r'"lat":[-0-9.]+', '"lat":95.0'))
+        .when(big & (kind == "error"), F.regexp_replace(v, r'"icao24":"[0-9a-f]+"', '"icao24":"XYZ"'))
+        .when(big & (kind == "signup"), F.regexp_replace(v, r"^\{", '{"squawk":"9999",'))
+        .when(big & (kind == "purchase") & (F.col("size") < 150.0), F.regexp_replace(v, r'"report_id":"[^"]+",', ""))
+        .otherwise(v)
+    )
+    header = F.struct(F.lit("correlation_id").alias("key"), F.get_json_object("props", "$.k").cast("binary").alias("value"))
+    return keyed.join(src, "event_id").select(
+        "key", broken.alias("value"), F.lit("surveillance.reports.v1").alias("topic"),
+        F.pmod("user_id", F.lit(6)).cast("int").alias("partition"), F.col("event_id").alias("offset"),
+        F.when(kind == "view", F.array(header)).otherwise(F.array().cast(streams.HEADERS)).alias("headers"),
+    )
+
+
+def scenario_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested scenario documents; a sector has a fixed number of aircraft."""
+    plan = manoeuvres(spark, sf_dir).groupBy("scenario_id", "icao24").agg(
+        F.array_sort(F.collect_list(F.struct("at_s", "kind"))).alias("plan")
+    )
+    u = F.col("user_id")
+    fleet = activity(spark, sf_dir).select(
+        *[c.alias(n) for n, c in identity(u).items()],
+        F.concat(F.lit("AC"), F.lpad(u.cast("string"), 6, "0")).alias("callsign"),
+        ((F.col("first_us") - EPOCH_US) / 1e6).alias("entry_time_s"),
+    )
+    a = fleet.join(plan, ["scenario_id", "icao24"], "left")
+    return a.groupBy("scenario_id").agg(F.collect_list(F.struct("icao24", "callsign", "entry_time_s", "plan")).alias("aircraft")).select(
+        "scenario_id", F.lit(SCENARIO_DURATION_S).alias("duration_s"), "aircraft"
+    )
+
+
+def degrade(truth_rows: DataFrame, seed: int = 1, *, dropout: float = 0.02, position_m: float = 30.0, altitude_ft: float = 25.0,
+            speed_kt: float = 2.0, track_deg: float = 0.5) -> DataFrame:
+    """Sensor view of a truth table: independent dropout and Gaussian error per row.
+
+    Every draw is a hash of (seed, aircraft, second, field), so the result does
+    not depend on partitioning or order.
+    """
+
+    def uniform(field: str) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), "scenario_id", "icao24", F.col("sec").cast("string"), F.lit(field))
+        return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") + 0.5) / float(2**32)
+
+    def gauss(field: str) -> Column:
+        return F.sqrt(F.log(uniform(field + "1")) * -2.0) * F.cos(uniform(field + "2") * (2.0 * math.pi))
+
+    per_m = 1.0 / (1852.0 * 60.0)
+    kept = truth_rows.where(uniform("drop") >= dropout)
+    shrink = F.greatest(F.lit(0.01), F.abs(F.cos(F.radians("lat"))))
+    return kept.select(
+        "scenario_id", "icao24", "sec",
+        F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat") + gauss("n") * (position_m * per_m))).alias("lat"),
+        geo.wrap_longitude(F.col("lon") + gauss("e") * (position_m * per_m) / shrink).alias("lon"),
+        (F.col("altitude_ft") + gauss("z") * altitude_ft).alias("altitude_baro_ft"),
+        F.greatest(F.lit(0.0), F.col("ground_speed_kt") + gauss("v") * speed_kt).alias("ground_speed_kt"),
+        geo.normalize_bearing(F.col("track_deg") + gauss("h") * track_deg).alias("track_deg"),
+        "vertical_rate_fpm",
+    )
