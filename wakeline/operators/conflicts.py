@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions import probability as pr
+from wakeline.functions.once import computed_once
 from wakeline.operators.picture import MIN_UPDATES, eligible, in_shared_frame
 
 # Fixed values that results depend on.
@@ -112,7 +113,7 @@ def closest_approach(p: DataFrame, lookahead_s: Column) -> DataFrame:
     raw = -(F.col("re") * F.col("rve") + F.col("rn") * F.col("rvn")) / F.when(moving, speed2)
     # Matched speeds never change the separation: the closest approach is now.
     t = F.when(moving, F.greatest(F.lit(0.0), F.least(lookahead_s, raw))).otherwise(0.0)
-    p = p.withColumn("time_to_cpa_s", t)
+    p = computed_once(p, "time_to_cpa_s", t)
     return p.select(
         "*",
         F.hypot(F.col("re") + F.col("rve") * F.col("time_to_cpa_s"), F.col("rn") + F.col("rvn") * F.col("time_to_cpa_s")).alias("min_horizontal_nm"),
@@ -139,7 +140,8 @@ def _candidates(k: DataFrame, sigmas: bool, lookaheads: list[float], horizontal_
     own = [c for c in cells.columns if c not in shared]
     a = cells.select(*shared, *[F.col(c).alias(f"a_{c}") for c in own])
     b = cells.select(*shared, *[F.col(c).alias(f"b_{c}") for c in own])
-    met = a.join(b, shared).where(
+    # Size estimates do not see the cells' copies: never broadcast this side.
+    met = a.join(b.hint("merge"), shared).where(
         (F.col("a_track_id") < F.col("b_track_id"))
         & (F.col("cx") == F.greatest("a_x0", "b_x0"))
         & (F.col("cy") == F.greatest("a_y0", "b_y0"))

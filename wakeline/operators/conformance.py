@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
+from wakeline.functions.once import computed_once
 from wakeline.operators.features import breaks
 from wakeline.operators.slices import SLICE_S, drop_halo, with_halo
 
@@ -31,9 +32,9 @@ def predictions(updates: DataFrame, horizon_s: float = HORIZON_S) -> DataFrame:
     """
     h = F.lit(horizon_s)
     base = geo.project_forward("lat", "lon", "track_deg", "ground_speed_kt", h)
-    out = updates.withColumn("base", base).withColumn("base_alt", geo.dead_reckoned_altitude("altitude_ft", "vertical_rate_fpm", h))
+    out = computed_once(updates, "base", base).withColumn("base_alt", geo.dead_reckoned_altitude("altitude_ft", "vertical_rate_fpm", h))
     if "r_along" not in updates.columns:
-        place, alt, source = F.col("base"), F.col("base_alt"), F.lit("dead_reckoning")
+        out, alt, source = out.withColumn("place", F.col("base")), F.col("base_alt"), F.lit("dead_reckoning")
     else:
         inf = float("inf")
         usable = None
@@ -41,12 +42,12 @@ def predictions(updates: DataFrame, horizon_s: float = HORIZON_S) -> DataFrame:
             ok = F.col(c).isNotNull() & ~F.isnan(c) & ~F.col(c).isin(inf, -inf)
             usable = ok if usable is None else usable & ok
         moved = geo.apply_along_cross("base.lat", "base.lon", "r_along", "r_cross", "track_deg")
-        place = F.when(usable, moved).otherwise(F.col("base"))
+        out = computed_once(out, "place", F.when(usable, moved).otherwise(F.col("base")))
         alt = F.when(usable, F.greatest(F.lit(0.0), F.col("base_alt") + F.col("r_alt"))).otherwise(F.col("base_alt"))
         source = F.when(usable, "model").otherwise("dead_reckoning")
     return out.select(
         *updates.columns,
-        place["lat"].alias("p_lat"), place["lon"].alias("p_lon"), alt.alias("p_altitude_ft"),
+        F.col("place.lat").alias("p_lat"), F.col("place.lon").alias("p_lon"), alt.alias("p_altitude_ft"),
         F.col("base.lat").alias("b_lat"), F.col("base.lon").alias("b_lon"),
         source.alias("source"), h.alias("horizon_s"),
     )
@@ -87,11 +88,12 @@ def matured(predicted: DataFrame, *, horizon_s: float = HORIZON_S, tolerance_s:
     ahead = order.rangeBetween(lo, hi)
     hit = F.first(F.struct("t_us", "lat", "lon", "callsign", "run_no")).over(ahead)
     found = drop_halo(run.withColumn("hit", hit)).where(F.col("hit.run_no") == F.col("run_no"))
+    found = computed_once(found, "error_nm", geo.haversine_nm("p_lat", "p_lon", "hit.lat", "hit.lon"))
     return found.select(
         *_TRACK, F.col("icao24"), F.col("t_us").alias("predicted_us"), F.col("hit.t_us").alias("matched_us"),
         F.col("hit.callsign").alias("callsign"), "source", "horizon_s",
         F.concat_ws("-", F.lit("wakeline"), "source", F.lit("v1")).alias("predictor_version"),
-        geo.haversine_nm("p_lat", "p_lon", "hit.lat", "hit.lon").alias("error_nm"),
+        "error_nm",
         geo.haversine_nm("b_lat", "b_lon", "hit.lat", "hit.lon").alias("baseline_error_nm"),
     )
 

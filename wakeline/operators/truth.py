@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
+from wakeline.functions.once import computed_once
 
 # Fixed values that results depend on.
 EVENT_BRIDGE_S = 30
@@ -43,15 +44,16 @@ def violations(truth: DataFrame, *, horizontal_nm: float = 5.0, vertical_ft: flo
     own = ["icao24", "lat", "lon", "altitude_ft", *[f"{c}0" for c in names]]
     a = cells.select(*INSTANT, *names, *[F.col(c).alias(f"a_{c}") for c in own])
     b = cells.select(*INSTANT, *names, *[F.col(c).alias(f"b_{c}") for c in own])
-    met = a.join(b, [*INSTANT, *names]).where(F.col("a_icao24") < F.col("b_icao24"))
+    # Size estimates do not see the cells' copies: never broadcast this side.
+    met = a.join(b.hint("merge"), [*INSTANT, *names]).where(F.col("a_icao24") < F.col("b_icao24"))
     for c in names:
         met = met.where(F.col(c) == F.greatest(f"a_{c}0", f"b_{c}0"))
     apart = met.select(
         *INSTANT, F.col("a_icao24").alias("first_icao24"), F.col("b_icao24").alias("second_icao24"),
-        F.abs(F.col("a_altitude_ft") - F.col("b_altitude_ft")).alias("vertical_ft"),
-        geo.haversine_nm("a_lat", "a_lon", "b_lat", "b_lon").alias("horizontal_nm"),
-    )
-    return apart.where((F.col("vertical_ft") < vertical_ft) & (F.col("horizontal_nm") < horizontal_nm))
+        F.abs(F.col("a_altitude_ft") - F.col("b_altitude_ft")).alias("vertical_ft"), "a_lat", "a_lon", "b_lat", "b_lon",
+    ).where(F.col("vertical_ft") < vertical_ft)
+    measured = computed_once(apart, "horizontal_nm", geo.haversine_nm("a_lat", "a_lon", "b_lat", "b_lon"))
+    return measured.where(F.col("horizontal_nm") < horizontal_nm).drop("a_lat", "a_lon", "b_lat", "b_lon")
 
 
 def conflict_events(found: DataFrame, bridge_s: int = EVENT_BRIDGE_S) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
+from wakeline.functions.once import computed_once
 from wakeline.operators import features as ft
 from wakeline.operators.bootstrap import draw
 from wakeline.operators.quantiles import Quantile, quantiles
@@ -42,11 +43,11 @@ def dataset(updates: DataFrame, truth: DataFrame, horizon_s: float, epoch_us: in
         answer, ["scenario_id", "icao24", "answer_sec"]
     )
     h = F.lit(horizon_s)
-    based = labelled.withColumn("base", geo.project_forward("lat", "lon", "track_deg", "ground_speed_kt", h)).withColumn(
+    based = computed_once(labelled, "base", geo.project_forward("lat", "lon", "track_deg", "ground_speed_kt", h)).withColumn(
         "base_alt", geo.dead_reckoned_altitude("altitude_ft", "vertical_rate_fpm", h)
     )
     residual = geo.along_cross_error("base.lat", "base.lon", "a_lat", "a_lon", "track_deg")
-    out = based.withColumn("res", residual)
+    out = computed_once(based, "res", residual)
     return out.select(
         "scenario_id", "icao24", "track_id", "t_us", "sec", h.alias("horizon_s"), "phase", *ft.FEATURE_COLUMNS,
         F.col("res.along").alias("y_along"), F.col("res.cross").alias("y_cross"), (F.col("a_alt") - F.col("base_alt")).alias("y_alt"),
@@ -177,7 +178,7 @@ def physics_residuals(rows: DataFrame, kind: str) -> DataFrame:
         r = geo.persistence_residual("f_ground_speed_kt", "f_vertical_rate_fpm", "horizon_s")
     else:
         r = geo.constant_turn_residual("f_ground_speed_kt", "f_turn_rate_deg_s", "horizon_s")
-    return rows.withColumn("_r", r).select(
+    return computed_once(rows, "_r", r).select(
         *rows.columns, F.col("_r.along").alias("r_along"), F.col("_r.cross").alias("r_cross"), F.col("_r.alt").alias("r_alt")
     )
 
@@ -249,6 +250,6 @@ def round_trip(rows: DataFrame) -> DataFrame:
     base = geo.project_forward(lat, lon, hdg, "f_ground_speed_kt", "horizon_s")
     moved = geo.apply_along_cross("base.lat", "base.lon", "r_along", "r_cross", hdg)
     back = geo.along_cross_error("base.lat", "base.lon", "moved.lat", "moved.lon", hdg)
-    r = rows.withColumn("base", base).withColumn("moved", moved).withColumn("back", back)
+    r = computed_once(computed_once(computed_once(rows, "base", base), "moved", moved), "back", back)
     worst = F.max(F.greatest(F.abs(F.col("back.along") - F.col("r_along")), F.abs(F.col("back.cross") - F.col("r_cross"))))
     return r.groupBy("horizon_s").agg(F.count("*").alias("rows"), worst.alias("worst_nm"))

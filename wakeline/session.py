@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +29,27 @@ def local_session(cores: str = "8", name: str = "wakeline") -> SparkSession:
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`; only where it is unset, a scratch folder."""
+    global _scratch
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    _scratch = _scratch or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _scratch
+
+
+_scratch: str | None = None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` once in the shared checkpoint folder.
+    """Materialise `df` once as a table in the shared folder and read it back.
 
-    Reliable checkpoints survive the loss of executors. The folder comes from
-    the cluster's `spark.checkpoint.dir`; only an unset one (tests, laptops)
-    falls back to a scratch directory.
+    A written table survives the loss of executors, and unlike a row checkpoint
+    it keeps column pruning, filter pushdown and honest size statistics for
+    everything downstream.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(spark)}/wakeline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
+from wakeline.functions.once import computed_once
 from wakeline.sources import streams
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
@@ -133,6 +134,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = geo.from_local_enu(
         "lat0", "lon0", F.col("east") + F.col("n_e") * (30.0 / 1852.0), F.col("north") + F.col("n_n") * (30.0 / 1852.0)
     )
+    base = computed_once(base, "place", place)
     kind = F.col("event_type")
     has_velocity = kind != "signup"
     # Reports are quantised the way a transponder would, which also keeps the
@@ -143,8 +145,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "icao24",
         F.when(kind != "click", F.col("sign")).alias("callsign"),
         "t_us",
-        F.round(place["lat"], 6).alias("lat"),
-        F.round(place["lon"], 6).alias("lon"),
+        F.round("place.lat", 6).alias("lat"),
+        F.round("place.lon", 6).alias("lon"),
         F.when(kind != "error", F.round(F.col("altitude") + F.col("n_z") * 25.0, 2)).alias("altitude_baro_ft"),
         F.when(has_velocity, F.round(F.col("speed") + F.col("n_v") * 2.0, 2)).alias("ground_speed_kt"),
         F.when(
@@ -181,11 +183,11 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, t = F.col("user_id"), F.col("sec").cast("double")
     rows = span.select("sec", *[c.alias(n) for n, c in identity(u).items()],
                        *[c.alias(n) for n, c in kinematics(u, t).items()])
-    place = geo.from_local_enu("lat0", "lon0", "east", "north")
+    rows = computed_once(rows, "place", geo.from_local_enu("lat0", "lon0", "east", "north"))
     return rows.select(
         "scenario_id", "icao24", "sec",
-        F.round(place["lat"], 6).alias("lat"),
-        F.round(place["lon"], 6).alias("lon"),
+        F.round("place.lat", 6).alias("lat"),
+        F.round("place.lon", 6).alias("lon"),
         F.round("altitude", 2).alias("altitude_ft"),
         F.col("speed").alias("ground_speed_kt"),
         F.round(F.pmod(F.round("heading", 2), F.lit(360.0)), 2).alias("track_deg"),
