@@ -286,16 +286,15 @@ def fold(cols: dict, carry: Flight | None, tuning: kf.Tuning) -> tuple[list[dict
     gap[:-1] = np.where(same[1:], dt[1:], 0.0)
     out += transitions((sc, ic), states, row_ref, info, gap, tuning)
     last = n - 1
-    # Flights of other aircraft that end inside this batch stay silent to the
-    # end of data; the caller closes them with `closed`.
-    ends = np.flatnonzero(~same[1:]) if n > 1 else np.array([], dtype=int)
-    closed = [(i, ) for i in ends]
+    # Other aircraft whose reports end inside this batch stay silent to the end
+    # of data; only the caller knows when that is.
+    ends = np.flatnonzero(~same[1:])
     flight = Flight(
         (sc[last], ic[last]), states[last : last + 1].copy(), float(row_ref[0][last]), float(row_ref[1][last]),
         int(t[last]), int(segment[last]), int(count[last]), float(heading[last]), float(turn[last]),
         float(surprise[last]), info["callsign"][last], info["squawk"][last],
     )
-    if closed:
+    if len(ends):
         idx = ends
         out.append(
             {"__open__": True, "keys": (sc[idx], ic[idx]), "bank": states[idx], "ref": (row_ref[0][idx], row_ref[1][idx]),
@@ -352,23 +351,45 @@ def _fold_partition(batches: Iterator[pa.RecordBatch], as_of_us: int | None, tun
         yield from emit([{"__carry_closed__": carry}])
 
 
+ROWS_PER_TASK = 1_000_000
+
+
 def track_updates(
     reports: DataFrame,
     *,
     as_of_us: int | None = None,
     lifecycle: bool = True,
     tuning: kf.Tuning | None = None,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Track updates for every report, plus coasting and terminated rows.
 
     `as_of_us` is the instant up to which silence after the last report is
     judged; `lifecycle=False` leaves out the silence-driven rows, which is what
-    an evaluation replay sees.
+    an evaluation replay sees. Aircraft with more than `rows_per_task` reports
+    are cut into time slices that are estimated in parallel; None never cuts.
     """
     t = tuning or kf.Tuning()
+    if rows_per_task is None:
+        return _whole(reports, as_of_us, lifecycle, t)
+    sizes = reports.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+    long = sizes.where(F.col("n") > rows_per_task)
+    if long.isEmpty():
+        return _whole(reports, as_of_us, lifecycle, t)
+    from wakeline.operators.long_flights import sliced_updates
+    from wakeline.session import cut_lineage
+
+    long = cut_lineage(long)
+    rest = _whole(reports.join(long.select(*KEY), KEY, "left_anti"), as_of_us, lifecycle, t)
+    return rest.unionByName(
+        sliced_updates(reports, long, rows_per_task, as_of_us=as_of_us, lifecycle=lifecycle, tuning=t)
+    )
+
+
+def _whole(reports: DataFrame, as_of_us: int | None, lifecycle: bool, tuning: kf.Tuning) -> DataFrame:
     ordered = (
         reports.select(*INPUT_COLUMNS)
         .repartition(*KEY)
         .sortWithinPartitions(*KEY, "t_us", "report_id")
     )
-    return ordered.mapInArrow(lambda it: _fold_partition(it, as_of_us, t, lifecycle), TRACK_SCHEMA)
+    return ordered.mapInArrow(lambda it: _fold_partition(it, as_of_us, tuning, lifecycle), TRACK_SCHEMA)
