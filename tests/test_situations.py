@@ -18,7 +18,7 @@ def fly(icao, lat, lon, gs, trk, alt, seconds, turn=None):
     """One report per second along a track, optionally turning at a time to a heading."""
     rows, hdg = [], trk
     for t in range(seconds):
-        rows.append(("s", icao, f"{icao}{t}", T0 + t * US, lat, lon, alt, gs, hdg % 360.0, 0.0, icao, None))
+        rows.append(("s", icao, f"{icao}{t}", T0 + t * US, lat, lon, float(alt), float(gs), hdg % 360.0, 0.0, icao, None))
         if turn and t >= turn[0]:
             d = (turn[1] - hdg + 180.0) % 360.0 - 180.0
             hdg += max(-3.0, min(3.0, d))
