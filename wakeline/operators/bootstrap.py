@@ -25,19 +25,19 @@ def picks(scenarios: DataFrame, resamples: int, seed: int) -> DataFrame:
     shuffle. `scenarios` holds one row per scenario and is numbered by rank
     inside hash buckets plus bucket offsets, without a global sort.
     """
-    numbered = _numbered(scenarios.select("scenario_id"))
+    ids = numbered(scenarios.select("scenario_id"))
     # One row, whatever the data: safe to broadcast.
-    total = F.broadcast(numbered.agg(F.count("*").alias("n_all"), F.lit(1).alias("one")))
+    total = F.broadcast(ids.agg(F.count("*").alias("n_all"), F.lit(1).alias("one")))
     # One draw per (scenario, resample): the scenario row only lends the draw number.
-    each = numbered.withColumn("one", F.lit(1)).join(total, "one").withColumn(
+    each = ids.withColumn("one", F.lit(1)).join(total, "one").withColumn(
         "b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
     )
     chosen = F.pmod(draw(seed, F.col("b"), F.col("idx")), F.col("n_all"))
     drawn = each.groupBy("b", chosen.alias("idx")).agg(F.count("*").alias("times"))
-    return drawn.join(numbered, "idx").select("b", "scenario_id", "times")
+    return drawn.join(ids, "idx").select("b", "scenario_id", "times")
 
 
-def _numbered(ids: DataFrame, buckets: int = 1024) -> DataFrame:
+def numbered(ids: DataFrame, buckets: int = 1024) -> DataFrame:
     """Dense 0-based index per id: rank within a hash bucket plus the bucket's offset."""
     b = ids.withColumn("hb", F.pmod(draw(0, F.col("scenario_id")), F.lit(buckets)))
     offsets = b.groupBy("hb").agg(F.count("*").alias("c")).withColumn(

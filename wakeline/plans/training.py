@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
 from wakeline.functions.once import computed_once
 from wakeline.operators import features as ft
-from wakeline.operators.bootstrap import draw
+from wakeline.operators.bootstrap import draw, numbered
 from wakeline.operators.quantiles import Quantile, quantiles
 
 # Fixed values that results depend on.
@@ -69,17 +69,14 @@ def splits(scenarios: DataFrame, shifted: Column | None = None, seed: int = 7) -
 
 
 def ranked_splits(scenarios: DataFrame) -> DataFrame:
-    """The same shares, exact to the scenario: by rank in scenario order.
-
-    Scenarios are numbered, not rows; use `splits` where even scenarios are many.
-    """
-    w = Window.orderBy(F.length("scenario_id"), "scenario_id")
-    r = scenarios.select("scenario_id", (F.row_number().over(w) - 1).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    train = F.floor(F.col("n") * 60 / 100)
-    val = F.floor(F.col("n") * 15 / 100)
-    return r.select(
+    """The same shares, exact to the scenario: by a dense number in hash order."""
+    ids = numbered(scenarios.select("scenario_id")).withColumn("one", F.lit(1))
+    # One row, whatever the data: safe to broadcast.
+    total = F.broadcast(ids.agg(F.count("*").alias("n"), F.lit(1).alias("one")))
+    train, val = F.floor(F.col("n") * 60 / 100), F.floor(F.col("n") * 15 / 100)
+    return ids.join(total, "one").select(
         "scenario_id",
-        F.when(F.col("r") < train, "train").when(F.col("r") < train + val, "validation").otherwise("test_same_family").alias("split"),
+        F.when(F.col("idx") < train, "train").when(F.col("idx") < train + val, "validation").otherwise("test_same_family").alias("split"),
     )
 
 
