@@ -56,6 +56,22 @@ def test_split_filter_equals_six_state_filter():
         assert np.allclose(bank[0, [kf.ZPP, kf.ZPV, kf.ZVV]], [p[4, 4], p[4, 5], p[5, 5]], rtol=1e-6, atol=1e-9)
 
 
+def test_one_flight_in_floats_equals_the_bank():
+    rng = np.random.default_rng(8)
+    n, t = 300, kf.Tuning()
+    cols = [rng.normal(0, s, n) for s in (20, 20, 300, 300)] + [rng.normal(30000, 500, n), rng.normal(0, 800, n)]
+    for c in (2, 4, 5):
+        cols[c][rng.random(n) < 0.3] = np.nan
+    cols[3][np.isnan(cols[2])] = np.nan
+    m, dt = kf.Measured(*cols), rng.uniform(0.2, 9.0, n)
+    bank = kf.initial(m.take(slice(0, 1)), t)
+    got, surprise = kf.follow(bank[0], dt[1:], m.take(slice(1, n)), t)
+    for i in range(1, n):
+        kf.predict(bank, dt[i : i + 1], t)
+        s = kf.correct(bank, m.take(slice(i, i + 1)), t)
+        assert np.allclose(bank[0], got[i - 1], rtol=1e-9, atol=1e-9) and s[0] == pytest.approx(surprise[i - 1], rel=1e-9)
+
+
 def test_confirmation_coasting_termination(spark):
     rows = run(spark, [report(t) for t in (0, 1, 2)], as_of_us=T0 + 60 * US)
     assert [(r.state, r.update_count) for r in rows] == [("initiating", 1), ("initiating", 2), ("confirmed", 3), ("coasting", 3), ("terminated", 3)]

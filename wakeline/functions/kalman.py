@@ -8,6 +8,7 @@ flight in it. There is no Spark in here and no I/O.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,3 +123,57 @@ def correct(bank: np.ndarray, m: Measured, tuning: Tuning) -> np.ndarray:
     bank[:, W] += kvp * dz + kvv * dw
     bank[:, ZPP], bank[:, ZPV], bank[:, ZVV] = cov
     return np.hypot(de, dn)
+
+
+def follow(start: np.ndarray, dt: np.ndarray, m: Measured, t: Tuning) -> tuple[np.ndarray, np.ndarray]:
+    """States and surprises of one flight over successive reports, in plain floats.
+
+    The same arithmetic as `predict` and `correct`; with only a few flights at
+    hand, one-row arrays cost far more than the numbers in them.
+    """
+    e, n, ve, vn, z, w, hpp, hpv, hvv, zpp, zpv, zvv = (float(x) for x in start)
+    rp, rv, rz, rw = t.position_nm**2, t.speed_kt**2, t.altitude_ft**2, t.vertical_rate_fpm**2
+    ah, av = t.accel_kt_s**2, t.vertical_accel_fpm_s**2
+    states, surprise = [], []
+    for d, me, mn, mve, mvn, mz, mw in zip(*(x.tolist() for x in (dt, m.east, m.north, m.v_east, m.v_north, m.altitude, m.vrate))):
+        c, g = KT * d, 0.5 * KT * d * d
+        e, n = e + c * ve, n + c * vn
+        hpp += 2.0 * c * hpv + c * c * hvv + g * g * ah
+        hpv += c * hvv + g * d * ah
+        hvv += d * d * ah
+        c, g = FPM * d, 0.5 * FPM * d * d
+        z += c * w
+        zpp += 2.0 * c * zpv + c * c * zvv + g * g * av
+        zpv += c * zvv + g * d * av
+        zvv += d * d * av
+        de, dn = me - e, mn - n
+        surprise.append(math.hypot(de, dn))
+        if mve == mve:
+            dve, dvn = mve - ve, mvn - vn
+            det = (hpp + rp) * (hvv + rv) - hpv * hpv
+            kpp, kpv = (hpp * (hvv + rv) - hpv * hpv) / det, hpv * rp / det
+            kvp, kvv = hpv * rv / det, (hvv * (hpp + rp) - hpv * hpv) / det
+            e, n = e + kpp * de + kpv * dve, n + kpp * dn + kpv * dvn
+            ve, vn = ve + kvp * de + kvv * dve, vn + kvp * dn + kvv * dvn
+            hpp, hpv, hvv = kpp * rp, kpv * rv, kvv * rv
+        else:
+            kpp, kvp = hpp / (hpp + rp), hpv / (hpp + rp)
+            e, n, ve, vn = e + kpp * de, n + kpp * dn, ve + kvp * de, vn + kvp * dn
+            hpp, hpv, hvv = kpp * rp, kvp * rp, hvv - kvp * hpv
+        dz, dw = mz - z, mw - w
+        if mz == mz and mw == mw:
+            det = (zpp + rz) * (zvv + rw) - zpv * zpv
+            kpp, kpv = (zpp * (zvv + rw) - zpv * zpv) / det, zpv * rz / det
+            kvp, kvv = zpv * rw / det, (zvv * (zpp + rz) - zpv * zpv) / det
+            z, w = z + kpp * dz + kpv * dw, w + kvp * dz + kvv * dw
+            zpp, zpv, zvv = kpp * rz, kpv * rw, kvv * rw
+        elif mz == mz:
+            kpp, kvp = zpp / (zpp + rz), zpv / (zpp + rz)
+            z, w = z + kpp * dz, w + kvp * dz
+            zpp, zpv, zvv = kpp * rz, kvp * rz, zvv - kvp * zpv
+        elif mw == mw:
+            kpv, kvv = zpv / (zvv + rw), zvv / (zvv + rw)
+            z, w = z + kpv * dw, w + kvv * dw
+            zpp, zpv, zvv = zpp - kpv * zpv, kpv * rw, kvv * rw
+        states.append((e, n, ve, vn, z, w, hpp, hpv, hvv, zpp, zpv, zvv))
+    return np.array(states), np.array(surprise)
