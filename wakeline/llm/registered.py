@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import mixing, syncmers, token_files, token_rollups
+from wakeline.llm import language, mixing, syncmers, token_files, token_rollups, toxicity
 
 QUERIES: dict = {}
 STATEMENTS: dict[str, str] = {}
@@ -29,6 +29,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every document."""
+    return language.predicted_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, offending of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_syncmers")
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, with their likeness."""
