@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.batches import SLICE_BYTES, slices, texts_of
+from wakeline.llm.batches import SLICE_BYTES, slices
 from wakeline.llm.files import Written, new_folder, opened
 from wakeline.llm.ordering import RANGE, in_ranges, range_bounds, shuffle_width, with_range
-from wakeline.llm.tokens import WordEncoder, tokenizer_path
+from wakeline.llm.tokens import LOOKED_UP_BYTES, encoder, tokenizer_path
 from wakeline.session import cut_lineage
 
 END_ID = 2
@@ -160,11 +160,11 @@ def write_token_files(docs: DataFrame, folder: str, *, key: str = "doc_id", text
     placed = in_ranges(with_range(rows, "key", range_bounds(rows, "key", ranges)), ranges, F.col("key").asc_nulls_last(), "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, done = WordEncoder(path), None, []
-        width = 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4
-        for batch in slices(batches, "text"):
+        words, shard, done = encoder(path), None, []
+        width = 2 if max(words.size, end_id + 1) <= 1 << 16 else 4
+        for batch in slices(batches, "text", LOOKED_UP_BYTES):
             parts = batch.column(RANGE).to_numpy()
-            keys, (ids, lengths) = batch.column("key").to_pylist(), encoder.encode(texts_of(batch))
+            keys, (ids, lengths) = batch.column("key").to_pylist(), words.encode(batch.column("text"))
             ends = np.cumsum(lengths)
             ids, lengths = np.insert(ids, ends, end_id), lengths + 1
             ends = np.concatenate([[0], np.cumsum(lengths)])

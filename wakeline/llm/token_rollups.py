@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.batches import slices, texts_of
+from wakeline.llm.batches import slices
 from wakeline.llm.files import new_folder
-from wakeline.llm.tokens import WordEncoder, tokenizer_path
+from wakeline.llm.tokens import LOOKED_UP_BYTES, encoder, tokenizer_path
 from wakeline.session import cut_lineage
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -43,9 +43,9 @@ def count_tokens(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     schema = "doc_id long, source string, lang string, text_hash long, tokenizer string, tokens long"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        for batch in slices(batches, "text"):
-            found = {BPE: pa.array(encoder.count(texts_of(batch)), pa.int64())}
+        words = encoder(path)
+        for batch in slices(batches, "text", LOOKED_UP_BYTES):
+            found = {BPE: pa.array(words.count(batch.column("text")), pa.int64())}
             found |= {name: pc.count_substring_regex(batch.column("text"), p).cast(pa.int64()) for name, p in PATTERNS.items()}
             for name, tokens in found.items():
                 yield pa.RecordBatch.from_arrays(

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct words that a task remembers; when full, the memory starts anew.
-REMEMBERED_WORDS = 200_000
+#: Distinct words that a worker process remembers; when full, the memory starts anew.
+REMEMBERED_WORDS = 700_000
+#: Bytes of text whose words a task looks up at once.
+LOOKED_UP_BYTES = 8 << 20
+#: New words that go through the tokenizer as one text.
+JOINED = 256
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -16,6 +23,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that its memory of words outlives a task."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Ids of texts, equal to `Tokenizer.encode(text, add_special_tokens=False).ids`.
 
@@ -30,8 +43,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self.size = self._tokenizer.get_vocab_size()
+        added = self._tokenizer.get_added_tokens_decoder()
+        # Between words that are encoded together; no ordinary text gives its id.
+        self._mark = min(added, default=None)
+        self._marks = [t.content for t in added.values()]
         self._reset()
 
     def _reset(self) -> None:
@@ -40,38 +56,61 @@ class WordEncoder:
         self._length = np.zeros(0, np.int64)
         self._start = np.zeros(0, np.int64)
 
-    def _learn(self, words: set[str]) -> None:
-        new = sorted(words)
-        found = [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        self._tokenizer.encode_special_tokens = True
+        found = [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, of many words a text with a special token between them."""
+        self._tokenizer.encode_special_tokens = False
+        mark = self._tokenizer.id_to_token(self._mark)
+        texts = [mark.join([*words[a : a + JOINED], ""]) for a in range(0, len(words), JOINED)]
+        found = [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        ends = np.flatnonzero(ids == self._mark)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of new words."""
+        every, odd = "\n".join(words), []
+        if self._mark is None or any(m in every for m in self._marks):
+            odd = [w for w in words if self._mark is None or any(m in w for m in self._marks)]
+        even = words if not odd else sorted(set(words).difference(odd))
+        found = [self._together(even), self._alone(odd)] if odd else [self._together(even)]
         known = len(self._number)
-        self._number.update(zip(new, range(known, known + len(new))))
-        self._flat = np.concatenate([self._flat, *found])
-        self._length = np.concatenate([self._length, np.array([len(x) for x in found], np.int64)])
+        self._number.update(zip([*even, *odd], range(known, known + len(words))))
+        self._flat = np.concatenate([self._flat, *(f[0] for f in found)])
+        self._length = np.concatenate([self._length, *(f[1] for f in found)])
         self._start = np.cumsum(self._length) - self._length
+        return np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, one after the other, and how many each text has."""
         if len(self._number) > REMEMBERED_WORDS:
             self._reset()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        flat = [w for ws in words for w in ws]
-        if new := set(flat).difference(self._number):
-            self._learn(new)
-        return np.fromiter(map(self._number.__getitem__, flat), np.int64, len(flat)), counts
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other (uint32), and how many each text has."""
-        at, words = self.numbers(texts)
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        known = self._number.get
+        distinct = coded.dictionary.to_pylist()
+        numbers = np.array([known(w, -1) for w in distinct], np.int64)
+        if len(new := np.flatnonzero(numbers < 0)):
+            numbers[new] = self._learn([distinct[i] for i in new.tolist()])
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)], counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other (uint32), and how many each text has; a null text has none."""
+        at, words = self._numbers(texts)
         lengths = self._length[at]
-        total = int(lengths.sum())
         # Position of each id: its word's start, plus its place inside the word.
-        inside = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        ids = self._flat[np.repeat(self._start[at], lengths) + inside]
+        shift = self._start[at] - (np.cumsum(lengths) - lengths)
+        ids = self._flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
         return ids, _sums(lengths, words)
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        at, words = self.numbers(texts)
+    def count(self, texts: pa.Array) -> np.ndarray:
+        at, words = self._numbers(texts)
         return _sums(self._length[at], words)
 
 
