@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import language, mixing, syncmers, token_files, token_rollups, toxicity
+from wakeline.llm import html_text, language, mixing, syncmers, token_files, token_rollups, toxicity, warc
 
 QUERIES: dict = {}
 STATEMENTS: dict[str, str] = {}
@@ -41,6 +41,35 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the archives."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+# Base32 by five bits at a time from the hexadecimal digest.
+STATEMENTS["op4_warc"] = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), d as (
+  select *, min(page_id) over (partition by hex) as first,
+    (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> (15 - 5 * (i % 4))) & 31)::int, 1), '' order by i)
+     from (select i, list_sum([(strpos('0123456789abcdef', substr(hex, 1 + 5 * (i // 4) + k, 1)) - 1) * (16 ** (4 - k))::bigint for k in range(5)])::bigint as v
+           from (select unnest(range(32)) as i))) as payload_digest
+  from p
+)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from d
+"""
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op6_syncmers")
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, with their likeness."""
