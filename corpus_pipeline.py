@@ -4,23 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import mixing, token_files
+from wakeline.llm import decontamination, language, mixing, near_duplicates, token_files
 from wakeline.session import cut_lineage
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that some language accepts; learned from the rows that are not held out."""
+    return language.accepted(docs, language.fit_on(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_duplicates.deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents left, and what they read back as."""
+    """Token files of all documents left, and what they read back as: doc_id, start, n_tokens, ids_crc32."""
     return token_files.token_files(docs)
 
 
-STAGES = [("mixing", mix_sources), ("token_files", write_tokens)]
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
 
-# A rounding drawn at random, a language model and a tokenizer are beyond SQL; tests compare each stage with brute force.
+# A language model, drawn rounding and a tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -152,6 +152,6 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat a doc_id are all taken as often as the one taken most.
     """
-    copies = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    taken = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).withColumnRenamed("doc_id", "__id")
+    taken = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

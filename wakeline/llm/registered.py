@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontamination, html_text, language, mixing, syncmers, token_files, token_rollups, toxicity, warc
+from wakeline.llm import decontamination, html_text, language, mixing, near_duplicates, syncmers, token_files, token_rollups, toxicity, warc
 
 QUERIES: dict = {}
 STATEMENTS: dict[str, str] = {}
@@ -64,6 +64,12 @@ from d
 """
 
 
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, group_id, duplicate of every document."""
+    return near_duplicates.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op8_decontamination")
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, matched of every document that holds a passage of a benchmark item."""
