@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.batches import unused
 from wakeline.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)  # of the sources in code point order, repeating
@@ -152,6 +153,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat a doc_id are all taken as often as the one taken most.
     """
-    copies = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    taken = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    key, n, copy = (unused(docs.columns, c) for c in ("_mixed_id", "_copies", "_copy"))
+    copies = mix(docs, **how).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(n))
+    taken = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(key))).filter(F.col(n) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.batches import mix, slices
+from wakeline.llm.batches import mix, slices, unused
 from wakeline.session import cut_lineage
 
 SHINGLE = 5
@@ -275,8 +275,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id are not compared with each other and all stay.
     """
-    kept = groups(docs).filter("not duplicate and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    place = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text"))
-    one = one.withColumn("__place", place).filter("__place = 1").drop("__place")
-    return one.unionByName(docs.filter("doc_id is null"))
+    key, nth = (unused(docs.columns, c) for c in ("_kept_id", "_nth"))
+    kept = groups(docs).filter("not duplicate and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    one = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi")
+    one = one.withColumn(nth, F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text")))
+    return one.filter(F.col(nth) == 1).drop(nth).unionByName(docs.filter("doc_id is null"))
