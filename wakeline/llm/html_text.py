@@ -37,6 +37,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BY_HEADER = "header"  # left out, as in an article's header, but for headings
 # A start tag of the first closes an open element of the second, within the third.
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
@@ -85,7 +87,7 @@ def blocks(page: str) -> list[Block]:
     """The page's runs of text between block elements, in page order, white space as one space."""
     out: list[Block] = []
     # Open elements: name, left out, section, inside a link.
-    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+    stack: list[tuple[str, bool | str, int, bool]] = [("", False, 0, False)]
     parts: list[str] = []
     linked, sections, at = 0, 0, 0
     open_now: Counter[str] = Counter()
@@ -94,7 +96,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append(Block(text, linked, stack[-1][1], stack[-1][2]))
+                out.append(Block(text, linked, bool(stack[-1][1]), stack[-1][2]))
             parts.clear()
         linked = 0
 
@@ -155,7 +157,10 @@ def blocks(page: str) -> list[Block]:
         if tag in MAIN:
             sections += 1
             section = sections
-        left_out = left_out or tag in LEFT_OUT or (tag == "header" and not section) or _hidden_or_hinted(tag, m[3])
+        if left_out is BY_HEADER and tag in HEADINGS:
+            left_out = False
+        own = tag in LEFT_OUT or _hidden_or_hinted(tag, m[3])
+        left_out = True if own else left_out or (tag == "header" and (BY_HEADER if section else True))
         if not m[3].endswith("/") or tag in BLOCKS or tag == "a":
             stack.append((tag, left_out, section, link or tag == "a"))
             open_now[tag] += 1
