@@ -4,6 +4,8 @@ from __future__ import annotations
 
 EPOCH = 1704067200000000
 R = 3440.0695
+# First multiple of ten seconds at or after the last report.
+END = f"(SELECT {EPOCH} + CAST(ceil((epoch_us(max(ts))-{EPOCH})//10000/10000000.0) AS BIGINT)*10000000 FROM events)"
 
 
 def hav(a, b, c, d):
@@ -76,7 +78,7 @@ _KIN = """
   CAST((i*53 + s*17) % 120 AS DOUBLE) + 380.0 AS speed,
   (i % 3 = 0) AS turner,
   CASE WHEN i % 5 = 0 THEN 1500.0 WHEN i % 5 = 1 THEN -1500.0 ELSE 0.0 END AS climb,
-  CASE WHEN i = 7 THEN -6500.0 ELSE 0.0 END AS dive
+  CASE WHEN i % 20 = 7 THEN -6500.0 ELSE 0.0 END AS dive
 """
 
 _STATE = f"""
@@ -105,8 +107,8 @@ PARTS: dict[str, str] = {}
 
 PARTS["ev"] = f"""
 SELECT *, {EPOCH} + CAST(floor((epoch_us(ts)-{EPOCH})/10000.0) AS BIGINT) AS t_us,
-  user_id // 20 AS s, user_id % 20 AS i,
-  'sector-' || CAST(user_id // 20 AS VARCHAR) AS scenario_id,
+  user_id % 8 AS s, user_id // 8 AS i,
+  'sector-' || CAST(user_id % 8 AS VARCHAR) AS scenario_id,
   lpad(lower(to_hex(user_id)), 6, '0') AS icao24
 FROM events
 """
@@ -150,7 +152,7 @@ FROM (SELECT *, {_STATE} FROM (
 
 PARTS["plan"] = """
 SELECT scenario_id, icao24, 0.0::DOUBLE AS at_s, 'ClimbTo' AS kind FROM act WHERE i % 5 IN (0, 1)
-UNION ALL SELECT scenario_id, icao24, 60.0::DOUBLE, 'ClimbTo' FROM act WHERE i = 7
+UNION ALL SELECT scenario_id, icao24, 60.0::DOUBLE, 'ClimbTo' FROM act WHERE i % 20 = 7
 UNION ALL SELECT scenario_id, icao24, 120.0::DOUBLE, 'ClimbTo' FROM act WHERE i % 5 IN (0, 1)
 UNION ALL SELECT scenario_id, icao24, 120.0::DOUBLE, 'TurnTo' FROM act WHERE i % 3 = 0
 """
@@ -227,7 +229,7 @@ _OUT = f"""
  CAST(rn AS INT) AS update_count, innov AS innovation_nm, sq AS squawk
 """
 PARTS["est"] = f"""
-SELECT k.*, m.t_us, m.dt, coalesce(m.gap, (({EPOCH}+260000000)-m.t_us)/1000000.0) AS gap, m.rla, m.rlo, m.segment_us, m.cs, m.sq, m.t_us AS last_report_us,
+SELECT k.*, m.t_us, m.dt, coalesce(m.gap, ({END}-m.t_us)/1000000.0) AS gap, m.rla, m.rlo, m.segment_us, m.cs, m.sq, m.t_us AS last_report_us,
   CASE WHEN k.rn >= 3 THEN 'confirmed' ELSE 'initiating' END AS state,
   CASE WHEN k.rn = 1 THEN 0.0 ELSE {bdiff('lag(' + pmod('degrees(atan2(k.ve,k.vn))') + ') OVER w', pmod('degrees(atan2(k.ve,k.vn))'))}/m.dt END AS turn_rate_deg_s
 FROM kal k JOIN meas m USING (scenario_id, icao24, seg_no, rn)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from oracle import parts as p
-from oracle.parts import EPOCH, bdiff, dest_lat, dest_lon, enu_e, enu_n, hav, part, pmod, statement
+from oracle.parts import END, EPOCH, bdiff, dest_lat, dest_lon, enu_e, enu_n, hav, part, pmod, statement
 
-END = EPOCH + 260000000
 STATEMENTS: dict[str, str] = {}
 
 
@@ -24,7 +23,7 @@ def label(x: str) -> str:
 # -- shared parts -----------------------------------------------------------
 
 
-def picture(src: str, end: int = END) -> str:
+def picture(src: str, end: str = END) -> str:
     return f"""
 SELECT * EXCLUDE (next_us, f, u, gone), unnest(generate_series(f, u, 1000000)) AS tick_us FROM (
  SELECT *, CASE WHEN (next_us IS NULL OR gone < next_us) AND gone <= {end} THEN gone END AS vanish_tick_us,
@@ -309,8 +308,8 @@ stmt("f08_first_new_alert", "SELECT scenario_id, alert_key, a AS first_icao24, b
 stmt("d07_matched_events", "SELECT scenario_id, a AS first_icao24, b AS second_icao24, started_s, detected, round(lead_s,3) AS lead_s FROM mat", "mat")
 part("fals", "SELECT * FROM raised r WHERE NOT EXISTS (SELECT 1 FROM evt e WHERE e.scenario_id=r.scenario_id AND e.a=r.a AND e.b=r.b)", "raised", "evt")
 stmt("d08_false_alerts", "SELECT scenario_id, alert_key, raised_us FROM fals", "fals")
-part("scn", """
-SELECT scenario_id, 260.0::DOUBLE AS duration_s, CASE WHEN s % 2 = 0 THEN 'nominal' ELSE 'shifted' END AS family,
+part("scn", f"""
+SELECT scenario_id, ({END}-{EPOCH})/1000000.0 AS duration_s, CASE WHEN s % 2 = 0 THEN 'nominal' ELSE 'shifted' END AS family,
  round(count(*) FILTER (i % 3 = 0)/count(*), 2) AS density FROM act GROUP BY scenario_id, s""", "act")
 _LEADS = """list_sort(list(lead_s)) AS ls"""
 _LCOLS = """coalesce(len(ls),0) AS lead_count,

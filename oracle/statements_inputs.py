@@ -167,7 +167,7 @@ SELECT CAST(p AS INT) AS partition, greatest(0, head-(o+1)) AS lag FROM (SELECT
 stmt("e20_run_totals", """
 SELECT 'reports' AS name, count(*) AS n FROM rep UNION ALL SELECT 'updates', count(*) FROM trk UNION ALL SELECT 'terminated', count(*) FROM trk WHERE state='terminated'
 UNION ALL SELECT 'scans', count(*) FROM (SELECT DISTINCT scenario_id, tick_us FROM pic) UNION ALL SELECT 'conflicts', count(*) FROM con""", "rep", "trk", "pic", "con")
-stmt("j05_prunable_tracks", f"SELECT scenario_id, track_id, last_report_us FROM ({newest('trk', f't_us <= {END}')}) WHERE state='terminated' AND last_report_us < {END - 20000000}", "trk")
+stmt("j05_prunable_tracks", f"SELECT scenario_id, track_id, last_report_us FROM ({newest('trk', f't_us <= {END}')}) WHERE state='terminated' AND last_report_us < {END} - 20000000", "trk")
 stmt("j07_scan_summary", "SELECT scenario_id, tick_us, count(*) AS tracks, (SELECT count(*) FROM con c WHERE c.scenario_id=pic.scenario_id AND c.tick_us=pic.tick_us) AS conflicts FROM pic GROUP BY scenario_id, tick_us", "pic", "con")
 stmt("j08_predict_and_check", """
 SELECT scenario_id, track_id, count(*) AS predictions, (SELECT count(*) FROM chkl c WHERE c.scenario_id=t.scenario_id AND c.track_id=t.track_id) AS checked

@@ -38,7 +38,7 @@ def test_tracking_stream_equals_batch_with_restart_and_duplicates(spark, sf):
     spark.read.schema(reports.schema).parquet(path).where(F.col("t_us") > CUTS[2]).coalesce(1).write.mode("append").parquet(path)
     _run(track_updates_stream(src), f"{root}/out", f"{root}/chk")
     got = spark.read.parquet(f"{root}/out")
-    want = tracking.track_updates(reports, as_of_us=traffic.END_OF_DATA_US)
+    want = tracking.track_updates(reports, as_of_us=traffic.end_of_data(spark, sf))
     num = ["lat", "lon", "altitude_ft", "ground_speed_kt", "turn_rate_deg_s", "position_uncertainty_m"]
     cols = ["icao24", "t_us", "state", "update_count", "callsign", "squawk", *[F.round(c, 6).alias(c) for c in num]]
     g, w = got.select(*cols), want.select(*cols)
@@ -52,13 +52,13 @@ def test_tracking_stream_equals_batch_with_restart_and_duplicates(spark, sf):
 
 
 def test_alert_stream_equals_batch(spark, sf):
-    s = live.sky(traffic.reports(spark, sf), until_us=traffic.END_OF_DATA_US)
+    s = live.sky(traffic.reports(spark, sf), until_us=traffic.end_of_data(spark, sf))
     d = live.detections(s).select("scenario_id", "alert_key", "tick_us", "vanish_tick_us", "kind", "severity", "summary", "reason_codes", "track_ids")
     path, root = _files(d, "tick_us", 4, CUTS)
     src = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
     _run(lifecycle_stream(src), f"{root}/out", f"{root}/chk")
     got = spark.read.parquet(f"{root}/out").select("alert_key", "state", "raised_us", "updated_us")
-    want = alerts.lifecycle(d, last_tick_us=traffic.END_OF_DATA_US).select("alert_key", "state", "raised_us", "updated_us")
+    want = alerts.lifecycle(d, last_tick_us=traffic.end_of_data(spark, sf)).select("alert_key", "state", "raised_us", "updated_us")
     assert want.count() > 20
     assert got.exceptAll(want).count() == 0
     # The stream may still owe clears that its watermark has not reached.
@@ -68,7 +68,7 @@ def test_alert_stream_equals_batch(spark, sf):
 
 
 def test_scan_step_equals_batch_and_replays_cleanly(spark, sf):
-    u = tracking.track_updates(traffic.reports(spark, sf), as_of_us=traffic.END_OF_DATA_US)
+    u = tracking.track_updates(traffic.reports(spark, sf), as_of_us=traffic.end_of_data(spark, sf))
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
     def detect(p):

@@ -11,8 +11,7 @@ approach yields every pair exactly once, without a distinct.
 
 Far-apart and vertically separated traffic never meets in a cell, and a dense
 sector is spread over windows, squares and altitude bands instead of becoming
-one hot join key. A picture of at most `SMALL_PICTURE` tracks is one cell of
-its own: its few pairs cost less than the copies the cells would make.
+one hot join key.
 """
 
 from __future__ import annotations
@@ -34,12 +33,11 @@ PARALLEL_EPSILON = 1e-12
 WINDOW_S = 60.0
 CELL_NM = 25.0
 BAND_FT = 3000.0
-SMALL_PICTURE = 64
 _SLACK = 1e-6
 
 _CARRIED = [
     "scenario_id", "tick_us", "track_id", "callsign", "east_nm", "north_nm", "v_east_kt", "v_north_kt",
-    "altitude_ft", "vertical_rate_fpm", "vanish_tick_us", "tracks",
+    "altitude_ft", "vertical_rate_fpm", "vanish_tick_us",
 ]
 _SIGMAS = ["pos_sigma_nm", "vel_sigma_kt", "alt_sigma_ft", "rate_sigma_fpm"]
 _CELL = ["win", "cx", "cy", "cz"]
@@ -65,10 +63,7 @@ def _cells(k: DataFrame, *, horizontal_nm: float, vertical_ft: float, lookahead_
     """Explode tracks into the space-time cells they sweep."""
     windows = max(1, int(-(-lookahead_s // WINDOW_S)))
     half = WINDOW_S / 2.0
-    dense = F.col("tracks") > SMALL_PICTURE
-    per_window = k.withColumn("dense", dense).withColumn(
-        "win", F.explode(F.sequence(F.lit(0), F.when(dense, windows - 1).otherwise(0)))
-    )
+    per_window = k.withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
     mid, end = F.col("win") * WINDOW_S + half, (F.col("win") + 1) * WINDOW_S
     pad_h, pad_v = F.lit(horizontal_nm / 2.0), F.lit(vertical_ft / 2.0)
     if probabilistic:
@@ -81,7 +76,7 @@ def _cells(k: DataFrame, *, horizontal_nm: float, vertical_ft: float, lookahead_
     def reach(name: str, pos: Column, rate: Column, pad: Column, size: float) -> list[Column]:
         centre, extent = pos + rate * mid, F.abs(rate) * half + pad + _SLACK
         return [
-            F.when(F.col("dense"), F.floor(edge / size).cast("int")).otherwise(0).alias(f"{name}{i}")
+            F.floor(edge / size).cast("int").alias(f"{name}{i}")
             for i, edge in enumerate((centre - extent, centre + extent))
         ]
 
@@ -95,7 +90,7 @@ def _cells(k: DataFrame, *, horizontal_nm: float, vertical_ft: float, lookahead_
         boxed.withColumn("cx", F.explode(F.sequence("x0", "x1")))
         .withColumn("cy", F.explode(F.sequence("y0", "y1")))
         .withColumn("cz", F.explode(F.sequence("z0", "z1")))
-        .drop("x1", "y1", "z1", "tracks")
+        .drop("x1", "y1", "z1")
     )
 
 
@@ -147,11 +142,9 @@ def _candidates(k: DataFrame, sigmas: bool, lookaheads: list[float], horizontal_
         & (F.col("cy") == F.greatest("a_y0", "b_y0"))
         & (F.col("cz") == F.greatest("a_z0", "b_z0"))
     )
-    # Exact vertical rejection before any closest-approach arithmetic.
-    if len(lookaheads) == 1:
-        met = met.withColumn("lookahead_s", F.lit(lookaheads[0]))
-    else:
-        met = met.withColumn("lookahead_s", F.explode(F.array(*[F.lit(x) for x in lookaheads])))
+    # Exact vertical rejection before any closest-approach arithmetic, and for
+    # the longest lookahead before there is a row for each of them.
+    met = met.withColumn("lookahead_s", F.lit(max(lookaheads)))
     slack = F.lit(0.0)
     if sigmas:
         slack = F.coalesce(
@@ -160,11 +153,14 @@ def _candidates(k: DataFrame, sigmas: bool, lookaheads: list[float], horizontal_
             F.lit(0.0),
         )
     closing = F.abs(F.col("b_vertical_rate_fpm") - F.col("a_vertical_rate_fpm")) / 60.0 * F.col("lookahead_s")
-    met = met.where(F.abs(F.col("b_altitude_ft") - F.col("a_altitude_ft")) - closing - slack < vertical_ft)
+    near = F.abs(F.col("b_altitude_ft") - F.col("a_altitude_ft")) - closing - slack < vertical_ft
+    met = met.where(near)
+    if len(lookaheads) > 1:
+        met = met.withColumn("lookahead_s", F.explode(F.array(*[F.lit(x) for x in lookaheads]))).where(near)
     cpa = closest_approach(met, F.col("lookahead_s"))
     last = F.ceil(F.col("lookahead_s") / WINDOW_S).cast("int") - 1
     own_window = F.col("win") == F.least(F.floor(F.col("time_to_cpa_s") / WINDOW_S).cast("int"), last)
-    return cpa.where(~F.col("a_dense") | own_window)
+    return cpa.where(own_window)
 
 
 def _named(p: DataFrame) -> DataFrame:
@@ -213,9 +209,11 @@ def scored_pairs(
     p = p.select("*", sigma_h.alias("sigma_h"), sigma_v.alias("sigma_v")).where(
         F.coalesce(F.col("min_horizontal_nm") - horizontal_nm <= pr.SIGMA_CUTOFF * F.col("sigma_h"),
                    F.col("min_horizontal_nm") < horizontal_nm)
+        & F.coalesce(F.col("min_vertical_ft") - vertical_ft <= pr.SIGMA_CUTOFF * F.col("sigma_v"), F.lit(True))
     )
-    return p.withColumn(
-        "probability",
+    # Judged more than once below; the integral runs once.
+    return computed_once(
+        p, "probability",
         pr.conflict_probability("min_horizontal_nm", "min_vertical_ft", "sigma_h", "sigma_v",
                                 F.lit(horizontal_nm), F.lit(vertical_ft)),
     )

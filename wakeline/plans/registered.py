@@ -20,7 +20,6 @@ from wakeline.session import cut_lineage
 from wakeline.sources import contracts, scenarios, streams, traffic
 
 QUERIES: dict = {}
-END = traffic.END_OF_DATA_US
 EPOCH = traffic.EPOCH_US
 AS_OF = EPOCH + 200_000_000
 
@@ -42,29 +41,29 @@ def rnd(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 
 def sky(spark: SparkSession, sf: str) -> live.Sky:
     """Live view: reports plus silence-driven rows."""
-    return live.sky(traffic.reports(spark, sf), until_us=END)
+    return live.sky(traffic.reports(spark, sf), until_us=traffic.end_of_data(spark, sf))
 
 
 def replay(spark: SparkSession, sf: str) -> live.Sky:
     """Evaluation view: reports only."""
-    return live.sky(traffic.reports(spark, sf), until_us=END, lifecycle=False)
+    return live.sky(traffic.reports(spark, sf), until_us=traffic.end_of_data(spark, sf), lifecycle=False)
 
 
 def updates(spark: SparkSession, sf: str, lifecycle: bool = True) -> DataFrame:
-    return tracking.track_updates(traffic.reports(spark, sf), as_of_us=END, lifecycle=lifecycle)
+    return tracking.track_updates(traffic.reports(spark, sf), as_of_us=traffic.end_of_data(spark, sf), lifecycle=lifecycle)
 
 
 def scenario_table(spark: SparkSession, sf: str) -> DataFrame:
     """One row per scenario with its duration, family and manoeuvre density."""
     u = F.col("user_id")
-    s = F.floor(u / traffic.SECTOR_SIZE)
+    s = traffic.sector(u)
     acts = traffic.activity(spark, sf)
-    turning = F.pmod(F.pmod(u, F.lit(traffic.SECTOR_SIZE)), F.lit(3)) == 0
+    turning = F.pmod(traffic.member(u), F.lit(3)) == 0
     return (
         acts.groupBy(traffic.identity(u)["scenario_id"].alias("scenario_id"), F.pmod(s, F.lit(2)).alias("parity"))
         .agg(F.round(F.count_if(turning) / F.count("*"), 2).alias("density"))
         .select(
-            "scenario_id", F.lit(traffic.SCENARIO_DURATION_S).alias("duration_s"),
+            "scenario_id", F.lit((traffic.end_of_data(spark, sf) - EPOCH) / 1e6).alias("duration_s"),
             F.when(F.col("parity") == 0, "nominal").otherwise("shifted").alias("family"), "density",
         )
     )
@@ -103,7 +102,7 @@ def j03(spark, sf):
 def j04(spark, sf):
     """Every report delivered twice: nothing may change."""
     r = traffic.reports(spark, sf)
-    t = tracking.track_updates(r.unionByName(r), as_of_us=END, lifecycle=False)
+    t = tracking.track_updates(r.unionByName(r), as_of_us=traffic.end_of_data(spark, sf), lifecycle=False)
     return t.groupBy("scenario_id", "icao24").agg(
         F.count("*").alias("n"), F.max("update_count").alias("max_count"), F.round(F.sum("ground_speed_kt"), 3).alias("speed_sum")
     )
@@ -140,7 +139,7 @@ def c06(spark, sf):
 
 @query("d04_tick_picture")
 def d04(spark, sf):
-    p = picture.at_ticks(updates(spark, sf), until_us=END)
+    p = picture.at_ticks(updates(spark, sf), until_us=traffic.end_of_data(spark, sf))
     return rnd(p.select("scenario_id", "track_id", "tick_us", "t_us", "state", "update_count", "lat", "lon", "vanish_tick_us"), 6, "lat", "lon")
 
 
@@ -152,7 +151,7 @@ def f09(spark, sf):
 
 @query("c04_stale_expiry")
 def c04(spark, sf):
-    return picture.vanished(updates(spark, sf), until_us=END)
+    return picture.vanished(updates(spark, sf), until_us=traffic.end_of_data(spark, sf))
 
 
 @query("h03_vanished_tracks")
@@ -162,14 +161,14 @@ def h03(spark, sf):
     p = s.picture.select("scenario_id", "track_id", "tick_us")
     later = p.select("scenario_id", "track_id", (F.col("tick_us") - 1_000_000).alias("tick_us"))
     return (
-        p.where(F.col("tick_us") < END).join(later, ["scenario_id", "track_id", "tick_us"], "left_anti")
+        p.where(F.col("tick_us") < traffic.end_of_data(spark, sf)).join(later, ["scenario_id", "track_id", "tick_us"], "left_anti")
         .select("scenario_id", "track_id", (F.col("tick_us") + 1_000_000).alias("tick_us"))
     )
 
 
 @query("c01_eligible_tracks")
 def c01(spark, sf):
-    p = picture.at_ticks(updates(spark, sf), until_us=END)
+    p = picture.at_ticks(updates(spark, sf), until_us=traffic.end_of_data(spark, sf))
     return picture.eligible(p).groupBy("scenario_id", "tick_us").agg(F.count("*").alias("n"), F.min("update_count").alias("least"))
 
 
@@ -211,13 +210,13 @@ def g01(spark, sf):
 
 @query("c02_emergency_squawks")
 def c02(spark, sf):
-    p = picture.at_ticks(updates(spark, sf), until_us=END)
+    p = picture.at_ticks(updates(spark, sf), until_us=traffic.end_of_data(spark, sf))
     return rules.emergency_squawks(p).select("scenario_id", "tick_us", "track_id", "severity", "summary", F.concat_ws(",", "reason_codes").alias("reason_codes"))
 
 
 @query("c03_excessive_descents")
 def c03(spark, sf):
-    p = picture.at_ticks(updates(spark, sf), until_us=END)
+    p = picture.at_ticks(updates(spark, sf), until_us=traffic.end_of_data(spark, sf))
     return rules.excessive_descents(p).select("scenario_id", "tick_us", "track_id", "severity", "summary", F.concat_ws(",", "reason_codes").alias("reason_codes"))
 
 
@@ -295,7 +294,7 @@ def d14(spark, sf):
     s = sky(spark, sf)
     life = live.alert_stream(s)
     cleared = life.where("state = 'cleared'").select("scenario_id", "alert_key", "updated_us", "track_ids")
-    gone = picture.vanished(s.updates, until_us=END).select("scenario_id", "track_id", F.col("tick_us").alias("updated_us"))
+    gone = picture.vanished(s.updates, until_us=traffic.end_of_data(spark, sf)).select("scenario_id", "track_id", F.col("tick_us").alias("updated_us"))
     hit = cleared.withColumn("track_id", F.explode("track_ids")).join(gone, ["scenario_id", "track_id", "updated_us"])
     return hit.select("scenario_id", "alert_key", "track_id", "updated_us")
 

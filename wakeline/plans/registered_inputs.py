@@ -8,7 +8,7 @@ from wakeline.functions import geo
 from wakeline.functions import probability as pr
 from wakeline.operators import alerts, conflicts, conformance, features, picture, telemetry, views
 from wakeline.plans import live
-from wakeline.plans.registered import AS_OF, END, EPOCH, query, rnd, scenario_table, sky, updates
+from wakeline.plans.registered import AS_OF, EPOCH, query, rnd, scenario_table, sky, updates
 from wakeline.sources import contracts, scenarios, streams, traffic
 
 REF_LAT, REF_LON = 40.6, -100.0
@@ -396,7 +396,7 @@ def e20(spark, sf):
 
 @query("j05_prunable_tracks")
 def j05(spark, sf):
-    return views.prunable(updates(spark, sf), END, 20.0).select("scenario_id", "track_id", "last_report_us")
+    return views.prunable(updates(spark, sf), traffic.end_of_data(spark, sf), 20.0).select("scenario_id", "track_id", "last_report_us")
 
 
 @query("j07_scan_summary")
@@ -417,5 +417,5 @@ def j08(spark, sf):
 
 @query("j10_scan_clock")
 def j10(spark, sf):
-    p = picture.at_ticks(updates(spark, sf), until_us=END)
+    p = picture.at_ticks(updates(spark, sf), until_us=traffic.end_of_data(spark, sf))
     return p.groupBy("tick_us").agg(F.max("t_us").alias("newest_us"), F.count("*").alias("tracks"))

@@ -4,7 +4,8 @@ The provided tables hold no position reports, so reports, truth and manoeuvre
 plans are a deterministic projection of `events`: the report instants are the
 user's event instants on a compressed clock, and the kinematics are closed form
 in (user, time). Everything grows with `events`; nothing is generated apart
-from it. Twenty aircraft share one sector, and every sector is a scenario.
+from it. Aircraft are dealt to eight sectors, so pictures grow with the data;
+every sector is a scenario.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ from wakeline.sources import streams
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
 CLOCK_COMPRESSION = 10_000
-SECTOR_SIZE = 20
+SECTORS = 8
 SECTOR_LAT = 40.6
 LEVEL_OFF_S = 120.0
 TURN_START_S, TURN_END_S, TURN_RATE_DEG_S = 120.0, 150.0, 3.0
 DIVE_START_S, DIVE_END_S = 60.0, 90.0
 CLIMB_FPM, DIVE_FPM = 1500.0, 6500.0
 NOISE_PRIME = 10_007
-END_OF_DATA_US = EPOCH_US + 260_000_000
-SCENARIO_DURATION_S = 260.0
+END_STEP_US = 10_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,20 +44,35 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("t_us", F.lit(EPOCH_US) + F.floor(offset / CLOCK_COMPRESSION).cast("long"))
 
 
-def _sector(u: Column) -> Column:
-    return F.floor(u / SECTOR_SIZE).cast("long")
+def end_of_data(spark: SparkSession, sf_dir: str) -> int:
+    """The first multiple of ten seconds at or after the last report, in microseconds."""
+    last = events(spark, sf_dir).agg(F.max("t_us").alias("t")).first()["t"]
+    return EPOCH_US + -(-((last or EPOCH_US) - EPOCH_US) // END_STEP_US) * END_STEP_US
+
+
+def sector(u: Column) -> Column:
+    return F.pmod(u, F.lit(SECTORS)).cast("long")
+
+
+def member(u: Column) -> Column:
+    """Number of an aircraft within its sector."""
+    return F.floor(u / SECTORS).cast("long")
+
+
+def is_diving(i: Column) -> Column:
+    return F.pmod(i, F.lit(20)) == 7
 
 
 def identity(u: Column) -> dict[str, Column]:
     return {
-        "scenario_id": F.concat(F.lit("sector-"), _sector(u).cast("string")),
+        "scenario_id": F.concat(F.lit("sector-"), sector(u).cast("string")),
         "icao24": F.lower(F.lpad(F.hex(u), 6, "0")),
     }
 
 
 def kinematics(u: Column, t: Column) -> dict[str, Column]:
     """True state of aircraft `u` at `t` seconds after the epoch."""
-    s, i = _sector(u), F.pmod(u, F.lit(SECTOR_SIZE))
+    s, i = sector(u), member(u)
     lon0 = F.pmod(s, F.lit(24)) * 10.0 - 120.0
     bearing = F.pmod(i * 137 + s * 11, F.lit(360)).cast("double")
     start_nm = F.pmod(i * 29 + s * 7, F.lit(40)) + 12.0
@@ -80,7 +95,7 @@ def kinematics(u: Column, t: Column) -> dict[str, Column]:
         .when(F.pmod(i, F.lit(5)) == 1, -CLIMB_FPM)
         .otherwise(0.0)
     )
-    dive = F.when(i == 7, -DIVE_FPM).otherwise(0.0)
+    dive = F.when(is_diving(i), -DIVE_FPM).otherwise(0.0)
     dive_s = F.least(F.greatest(t - DIVE_START_S, F.lit(0.0)), F.lit(DIVE_END_S - DIVE_START_S))
     altitude = (
         F.lit(30000.0)
@@ -199,12 +214,12 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manoeuvres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripted commands of every aircraft: (scenario, icao24, at_s, kind)."""
     u = F.col("user_id")
-    i = F.pmod(u, F.lit(SECTOR_SIZE))
+    i = member(u)
     climbs = F.pmod(i, F.lit(5)).isin(0, 1)
     plan = F.filter(
         F.array(
             F.when(climbs, F.struct(F.lit(0.0).alias("at_s"), F.lit("ClimbTo").alias("kind"))),
-            F.when(i == 7, F.struct(F.lit(DIVE_START_S).alias("at_s"), F.lit("ClimbTo").alias("kind"))),
+            F.when(is_diving(i), F.struct(F.lit(DIVE_START_S).alias("at_s"), F.lit("ClimbTo").alias("kind"))),
             F.when(climbs, F.struct(F.lit(LEVEL_OFF_S).alias("at_s"), F.lit("ClimbTo").alias("kind"))),
             F.when(
                 F.pmod(i, F.lit(3)) == 0,
@@ -255,7 +270,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested scenario documents; a sector has a fixed number of aircraft."""
+    """Nested scenario documents, as a scenario generator would deliver them."""
     plan = manoeuvres(spark, sf_dir).groupBy("scenario_id", "icao24").agg(
         F.array_sort(F.collect_list(F.struct("at_s", "kind"))).alias("plan")
     )
@@ -267,7 +282,7 @@ def scenario_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     a = fleet.join(plan, ["scenario_id", "icao24"], "left")
     return a.groupBy("scenario_id").agg(F.collect_list(F.struct("icao24", "callsign", "entry_time_s", "plan")).alias("aircraft")).select(
-        "scenario_id", F.lit(SCENARIO_DURATION_S).alias("duration_s"), "aircraft"
+        "scenario_id", F.lit((end_of_data(spark, sf_dir) - EPOCH_US) / 1e6).alias("duration_s"), "aircraft"
     )
 
 
