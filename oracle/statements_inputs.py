@@ -77,10 +77,13 @@ SELECT scenario_id, icao24, sec, round(greatest(-90.0,least(90.0,lat+{gau('n')}*
 
 stmt("a01_json_reports", "SELECT report_id, icao24, callsign, t_us, lat, lon, altitude_baro_ft, ground_speed_kt, track_deg, squawk, on_ground, scenario_id FROM rep", "rep")
 stmt("a02_dead_letters", """
-SELECT CASE WHEN value < 5.0 THEN 'malformed_json' WHEN value >= 100.0 AND event_type='click' THEN 'unknown_field'
+SELECT CASE WHEN value < 5.0 THEN 'malformed_json' WHEN value > 25.0 AND value < 26.0 THEN 'bad_timestamp' WHEN value >= 100.0 AND event_type='click' THEN 'unknown_field'
  WHEN value >= 100.0 AND event_type='view' THEN 'lat_range' WHEN value >= 100.0 AND event_type='error' THEN 'icao24_pattern'
  WHEN value >= 100.0 AND event_type='signup' THEN 'squawk_pattern' WHEN value >= 100.0 AND value < 150.0 AND event_type='purchase' THEN 'missing_report_id'
  ELSE 'valid' END AS outcome, count(*) AS n FROM events GROUP BY ALL""")
+stmt("a02_track_dead_letters", """
+SELECT CASE update_count % 10 WHEN 1 THEN 'innovation_nm_range' WHEN 2 THEN 'velocity_uncertainty_kt_range' WHEN 3 THEN 'altitude_uncertainty_ft_range'
+ WHEN 5 THEN 'state_value' WHEN 6 THEN 'update_count_range' ELSE 'valid' END AS outcome, count(*) AS n FROM trk WHERE state IN ('initiating', 'confirmed') GROUP BY ALL""", "trk")
 stmt("a03_keyed_messages", """
 SELECT icao24 AS key, format('{{"icao24":"{}","report_id":"{}","lat":{},"lon":{}}}', icao24, report_id, CAST(lat AS VARCHAR), CAST(lon AS VARCHAR)) AS value FROM rep""", "rep")
 stmt("a04_correlation_ids", """
@@ -167,7 +170,8 @@ SELECT CAST(p AS INT) AS partition, greatest(0, head-(o+1)) AS lag FROM (SELECT
 stmt("e20_run_totals", """
 SELECT 'reports' AS name, count(*) AS n FROM rep UNION ALL SELECT 'updates', count(*) FROM trk UNION ALL SELECT 'terminated', count(*) FROM trk WHERE state='terminated'
 UNION ALL SELECT 'scans', count(*) FROM (SELECT DISTINCT scenario_id, tick_us FROM pic) UNION ALL SELECT 'conflicts', count(*) FROM con""", "rep", "trk", "pic", "con")
-stmt("j05_prunable_tracks", f"SELECT scenario_id, track_id, last_report_us FROM ({newest('trk', f't_us <= {END}')}) WHERE state='terminated' AND last_report_us < {END} - 20000000", "trk")
+_GONE = f"(SELECT coalesce(max(t_us) FILTER (state='terminated'), {END}) FROM trk)"
+stmt("j05_prunable_tracks", f"SELECT scenario_id, track_id, last_report_us FROM ({newest('trk', f't_us <= {_GONE}')}) WHERE state='terminated' AND last_report_us < {_GONE} - 20000000", "trk")
 stmt("j07_scan_summary", "SELECT scenario_id, tick_us, count(*) AS tracks, (SELECT count(*) FROM con c WHERE c.scenario_id=pic.scenario_id AND c.tick_us=pic.tick_us) AS conflicts FROM pic GROUP BY scenario_id, tick_us", "pic", "con")
 stmt("j08_predict_and_check", """
 SELECT scenario_id, track_id, count(*) AS predictions, (SELECT count(*) FROM chkl c WHERE c.scenario_id=t.scenario_id AND c.track_id=t.track_id) AS checked

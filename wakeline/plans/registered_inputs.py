@@ -8,6 +8,7 @@ from wakeline.functions import geo
 from wakeline.functions import probability as pr
 from wakeline.operators import alerts, conflicts, conformance, features, picture, telemetry, views
 from wakeline.plans import live
+from wakeline.session import cut_lineage
 from wakeline.plans.registered import AS_OF, EPOCH, query, rnd, scenario_table, sky, updates
 from wakeline.sources import contracts, scenarios, streams, traffic
 
@@ -176,6 +177,24 @@ def a02(spark, sf):
     return parsed.groupBy(reason.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+@query("a02_track_dead_letters")
+def a02_tracks(spark, sf):
+    """Track records, some with a value out of its range, by what the contract says of them."""
+    n = F.pmod("update_count", F.lit(10))
+    t = updates(spark, sf, lifecycle=False).withColumns({
+        "innovation_nm": F.when(n == 1, -1.0).otherwise(F.col("innovation_nm")),
+        "velocity_uncertainty_kt": F.when(n == 2, -0.5).otherwise(F.col("velocity_uncertainty_kt")),
+        "altitude_uncertainty_ft": F.when(n == 3, -0.5).otherwise(F.col("altitude_uncertainty_ft")),
+        "state": F.when(n == 5, "lost").otherwise(F.col("state")),
+        "update_count": F.when(n == 4, 0).when(n == 6, -1).otherwise(F.col("update_count")).cast("int"),
+        "updated_at": F.timestamp_micros("t_us"), "last_report_at": F.timestamp_micros("last_report_us"), "source": F.lit("simulator"),
+    })
+    names = [f for f in contracts.TRACK_UPDATE.fieldNames() if f in t.columns]
+    parsed = contracts.parse(streams.to_messages(t.select(*names), "icao24"), contracts.TRACKS)
+    reason = F.when(F.size("reasons") == 0, "valid").otherwise(F.concat_ws(",", "reasons"))
+    return parsed.groupBy(reason.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 @query("a03_keyed_messages")
 def a03(spark, sf):
     r = traffic.reports(spark, sf).select("icao24", "report_id", "lat", "lon")
@@ -320,10 +339,9 @@ def h04(spark, sf):
 @query("h05_schema_drift")
 def h05(spark, sf):
     """Observed record fields of two producers compared as data contracts."""
-    m = streams.to_messages(traffic.report_records(spark, sf), "icao24").withColumn("eid", F.get_json_object("value", "$.report_id"))
-    kinds = traffic.load(spark, sf, "events").select(
-        F.concat(traffic.identity(F.col("user_id"))["scenario_id"], F.lit("-"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("eid"), "event_type")
-    fields = m.join(kinds, "eid").select("event_type", F.explode(F.json_object_keys("value")).alias("field"))
+    m = streams.to_messages(traffic.report_records(spark, sf, "event_type"), "icao24", ("event_type",))
+    kinds = traffic.load(spark, sf, "events").select("event_type")
+    fields = m.select("event_type", F.explode(F.json_object_keys("value")).alias("field"))
     per = fields.groupBy("event_type", "field").agg(F.count("*").alias("c"))
     n = kinds.groupBy("event_type").agg(F.count("*").alias("n"))
     listing = per.join(n, "event_type").select("event_type", F.lit("reports").alias("table"), "field", F.lit("observed").alias("type"), (F.col("c") == F.col("n")).alias("required"))
@@ -396,7 +414,11 @@ def e20(spark, sf):
 
 @query("j05_prunable_tracks")
 def j05(spark, sf):
-    return views.prunable(updates(spark, sf), traffic.end_of_data(spark, sf), 20.0).select("scenario_id", "track_id", "last_report_us")
+    u = cut_lineage(updates(spark, sf))
+    # As of the last track to vanish for good, so that there is one to prune.
+    gone = u.where("state = 'terminated'").agg(F.max("t_us").alias("t")).first()["t"]
+    as_of = gone if gone is not None else traffic.end_of_data(spark, sf)
+    return views.prunable(u, as_of, 20.0).select("scenario_id", "track_id", "last_report_us")
 
 
 @query("j07_scan_summary")

@@ -129,13 +129,20 @@ def _noise(event_id: Column, a: int, b: int) -> Column:
     return (F.pmod(event_id * a + b, F.lit(NOISE_PRIME)) / float(NOISE_PRIME) * 2.0 - 1.0) * math.sqrt(3.0)
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noisy, incomplete position reports: what a sensor layer would have seen."""
+#: Columns of the event behind a report that a caller may carry along.
+EVENT = {"event_id": "event_id", "event_type": "event_type", "props": "props", "size": "value", "user_id": "user_id"}
+
+
+def reports(spark: SparkSession, sf_dir: str, *carried: str) -> DataFrame:
+    """Noisy, incomplete position reports: what a sensor layer would have seen.
+
+    `carried` names columns of EVENT to keep beside each report.
+    """
     u, eid = F.col("user_id"), F.col("event_id")
     t = (F.col("t_us") - EPOCH_US) / 1e6
     k = kinematics(u, t)
     base = events(spark, sf_dir).select(
-        "event_id", "event_type", "value", "t_us",
+        "event_id", "event_type", "value", "t_us", *[F.col(EVENT[c]).alias(f"of_{c}") for c in carried],
         *[c.alias(n) for n, c in identity(u).items()],
         F.concat(F.lit("AC"), F.lpad(u.cast("string"), 6, "0")).alias("sign"),
         *[c.alias(n) for n, c in k.items()],
@@ -172,6 +179,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", "1200")
         .alias("squawk"),
         F.lit(False).alias("on_ground"),
+        *[F.col(f"of_{c}").alias(c) for c in carried],
     )
 
 
@@ -235,25 +243,24 @@ def manoeuvres(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_records(spark: SparkSession, sf_dir: str, *carried: str) -> DataFrame:
     """Reports as contract records (timestamps instead of microseconds)."""
-    r = reports(spark, sf_dir)
+    r = reports(spark, sf_dir, *carried)
     return r.select(
         F.lit("wakeline-contracts-v1").alias("schema_version"), "report_id", "icao24", "callsign",
         F.timestamp_micros("t_us").alias("observed_at"), "lat", "lon", "altitude_baro_ft", "ground_speed_kt", "track_deg",
-        "vertical_rate_fpm", "squawk", "on_ground", F.lit("simulator").alias("source"), "scenario_id",
+        "vertical_rate_fpm", "squawk", "on_ground", F.lit("simulator").alias("source"), "scenario_id", *carried,
     )
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports as keyed JSON messages with delivery metadata; extreme event values break their record."""
-    body = streams.to_messages(report_records(spark, sf_dir), "icao24")
-    eid = F.get_json_object("value", "$.report_id")
-    keyed = body.withColumn("event_id", F.substring_index(eid, "-", -1).cast("long"))
-    src = load(spark, sf_dir, "events").select("event_id", "event_type", "props", F.col("value").alias("size"), "user_id")
+    keyed = streams.to_messages(report_records(spark, sf_dir, *EVENT), "icao24", tuple(EVENT))
     big, v, kind = F.col("size") >= 100.0, F.col("value"), F.col("event_type")
     broken = (
         F.when(F.col("size") < 5.0, F.substring(v, 1, 40))
+        .when(F.col("size").between(20.0, 25.0), F.regexp_replace(v, r"(:\d\d)\.\d{6}Z", "$1Z"))
+        .when((F.col("size") > 25.0) & (F.col("size") < 26.0), F.regexp_replace(v, r'"observed_at":"[^"]+"', '"observed_at":"yesterday"'))
         .when(big & (kind == "click"), F.regexp_replace(v, r"^\{", '{"extra":1,'))
         .when(big & (kind == "view"), F.regexp_replace(v, r'"lat":[-0-9.]+', '"lat":95.0'))
         .when(big & (kind == "error"), F.regexp_replace(v, r'"icao24":"[0-9a-f]+"', '"icao24":"XYZ"'))
@@ -262,7 +269,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(v)
     )
     header = F.struct(F.lit("correlation_id").alias("key"), F.get_json_object("props", "$.k").cast("binary").alias("value"))
-    return keyed.join(src, "event_id").select(
+    return keyed.select(
         "key", broken.alias("value"), F.lit("surveillance.reports.v1").alias("topic"),
         F.pmod("user_id", F.lit(6)).cast("int").alias("partition"), F.col("event_id").alias("offset"),
         F.when(kind == "view", F.array(header)).otherwise(F.array().cast(streams.HEADERS)).alias("headers"),
