@@ -230,6 +230,10 @@ stmt("k01_dataset", " UNION ALL ".join(f"SELECT horizon_s, phase, count(*) AS sa
 stmt("k02_splits", """
 SELECT scenario_id, CASE WHEN family='shifted' THEN 'test_shifted' WHEN u < 0.6 THEN 'train' WHEN u < 0.75 THEN 'validation' ELSE 'test_same_family' END AS split
 FROM (SELECT *, CAST('0x' || substr(md5('7|' || scenario_id), 1, 8) AS BIGINT)/4294967296.0 AS u FROM scn)""", "scn")
+part("numnom", num("SELECT scenario_id FROM scn WHERE family='nominal'"), "scn")
+stmt("k02_exact_splits", """
+SELECT scenario_id, CASE WHEN idx < n_all*60//100 THEN 'train' WHEN idx < n_all*60//100 + greatest(n_all*15//100, 1) THEN 'validation' ELSE 'test_same_family' END AS split FROM numnom
+UNION ALL SELECT scenario_id, 'test_shifted' FROM scn WHERE family='shifted'""", "numnom", "scn")
 stmt("d13_split_leaks", """
 SELECT scenario_id, count(DISTINCT CAST('0x' || substr(md5('3|' || icao24), 1, 8) AS BIGINT)/4294967296.0 < 0.9) AS splits FROM act GROUP BY scenario_id
 HAVING count(DISTINCT CAST('0x' || substr(md5('3|' || icao24), 1, 8) AS BIGINT)/4294967296.0 < 0.9) > 1""", "act")

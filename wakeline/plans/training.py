@@ -5,8 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
@@ -20,20 +20,25 @@ HORIZONS_S = [30.0, 60.0, 120.0]
 TRAIN_SHARE, VALIDATION_SHARE = 0.6, 0.15
 RIDGE_ALPHA = 1.0
 MATERIAL_IMPROVEMENT = 0.03
+MODEL_VERSION = "wakeline-residuals-v1"
 SELECTION_STRATUM = "turning"
 TARGETS = ["y_along", "y_cross", "y_alt"]
 _ERROR_BUCKET_NM, _ERROR_BUCKET_FT = 0.01, 1.0
 
 
-def dataset(updates: DataFrame, truth: DataFrame, horizon_s: float, epoch_us: int) -> DataFrame:
+def dataset(updates: DataFrame, truth: DataFrame, horizon_s: float | list[float], epoch_us: int) -> DataFrame:
     """One row per confirmed update with a full window and truth now and at the horizon.
 
+    Several horizons are one pass over the updates, with a row for each.
+
     Targets are the residuals of dead reckoning in the aircraft's own frame.
     `phase` is the true phase now and is only ever used for grouping.
     """
     confirmed = ft.complete(ft.with_features(updates.where("state = 'confirmed'")))
     now = F.bround((F.col("t_us") - epoch_us) / 1e6, 0).cast("int")
-    rows = confirmed.withColumn("sec", now).withColumn("answer_sec", F.col("sec") + int(round(horizon_s)))
+    spans = list(horizon_s) if isinstance(horizon_s, (list, tuple)) else [horizon_s]
+    rows = confirmed.withColumn("sec", now).withColumn("horizon_s", F.explode(F.array(*[F.lit(float(h)) for h in spans])))
+    rows = rows.withColumn("answer_sec", F.col("sec") + F.round("horizon_s").cast("int"))
     t = truth.select("scenario_id", "icao24", "sec", "phase", "lat", "lon", "altitude_ft")
     answer = t.select(
         "scenario_id", "icao24", F.col("sec").alias("answer_sec"), F.col("lat").alias("a_lat"),
@@ -42,14 +47,14 @@ def dataset(updates: DataFrame, truth: DataFrame, horizon_s: float, epoch_us: in
     labelled = rows.join(t.select("scenario_id", "icao24", "sec", "phase"), ["scenario_id", "icao24", "sec"]).join(
         answer, ["scenario_id", "icao24", "answer_sec"]
     )
-    h = F.lit(horizon_s)
+    h = F.col("horizon_s")
     based = computed_once(labelled, "base", geo.project_forward("lat", "lon", "track_deg", "ground_speed_kt", h)).withColumn(
         "base_alt", geo.dead_reckoned_altitude("altitude_ft", "vertical_rate_fpm", h)
     )
     residual = geo.along_cross_error("base.lat", "base.lon", "a_lat", "a_lon", "track_deg")
     out = computed_once(based, "res", residual)
     return out.select(
-        "scenario_id", "icao24", "track_id", "t_us", "sec", h.alias("horizon_s"), "phase", *ft.FEATURE_COLUMNS,
+        "scenario_id", "icao24", "track_id", "t_us", "sec", "horizon_s", "phase", *ft.FEATURE_COLUMNS,
         F.col("res.along").alias("y_along"), F.col("res.cross").alias("y_cross"), (F.col("a_alt") - F.col("base_alt")).alias("y_alt"),
         F.hypot("res.along", "res.cross").alias("baseline_error_nm"),
     )
@@ -68,16 +73,22 @@ def splits(scenarios: DataFrame, shifted: Column | None = None, seed: int = 7) -
     return scenarios.select("scenario_id", s.alias("split"))
 
 
-def ranked_splits(scenarios: DataFrame) -> DataFrame:
-    """The same shares, exact to the scenario: by a dense number in hash order."""
-    ids = numbered(scenarios.select("scenario_id")).withColumn("one", F.lit(1))
+def exact_splits(scenarios: DataFrame, shifted: Column) -> DataFrame:
+    """The same shares of the scenarios of the trained family, exact to the scenario, by a dense number in hash order.
+
+    Validation has one scenario at least. Shifted scenarios are never learned from.
+    """
+    marked = scenarios.select("scenario_id", F.coalesce(shifted, F.lit(False)).alias("shifted"))
+    ids = numbered(marked.where("not shifted").select("scenario_id")).withColumn("one", F.lit(1))
     # One row, whatever the data: safe to broadcast.
     total = F.broadcast(ids.agg(F.count("*").alias("n"), F.lit(1).alias("one")))
-    train, val = F.floor(F.col("n") * 60 / 100), F.floor(F.col("n") * 15 / 100)
-    return ids.join(total, "one").select(
+    train = F.floor(F.col("n") * 60 / 100)
+    val = F.greatest(F.floor(F.col("n") * 15 / 100), F.lit(1))
+    own = ids.join(total, "one").select(
         "scenario_id",
         F.when(F.col("idx") < train, "train").when(F.col("idx") < train + val, "validation").otherwise("test_same_family").alias("split"),
     )
+    return own.unionByName(marked.where("shifted").select("scenario_id", F.lit("test_shifted").alias("split")))
 
 
 def leaks(assigned: DataFrame) -> DataFrame:
@@ -114,8 +125,29 @@ class ResidualModel:
         return {t: dict(zip(ft.FEATURES, map(float, m.coefficients))) for t, m in zip(TARGETS, self.fitted)}
 
     def save(self, path: str) -> None:
+        """Everything that a prediction needs: regressors, feature order, moments and the version of both."""
+        spark = SparkSession.active()
         for m, target in zip(self.fitted, TARGETS):
-            m.write().overwrite().save(f"{path}/{self.name}/{target}")
+            m.write().overwrite().save(f"{path}/{target}")
+        rows = [(i, c, float(mean), float(scale)) for i, c in enumerate(self.columns) for mean, scale in [self.moments[c]]]
+        spark.createDataFrame(rows, "place int, feature string, mean double, scale double").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+        # Last, so that a folder with a card holds a whole model.
+        card = [(MODEL_VERSION, self.name, type(self.fitted[0]).__name__)]
+        spark.createDataFrame(card, "version string, name string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/card")
+
+    @classmethod
+    def load(cls, path: str) -> ResidualModel:
+        """A saved model; one of another version, or over other features, is refused."""
+        spark = SparkSession.active()
+        card = spark.read.parquet(f"{path}/card").first()
+        if card["version"] != MODEL_VERSION:
+            raise ValueError(f"model version {card['version']!r} is not {MODEL_VERSION!r}")
+        rows = spark.read.parquet(f"{path}/features").orderBy("place").collect()
+        columns = [r["feature"] for r in rows]
+        if columns != list(ft.FEATURE_COLUMNS):
+            raise ValueError("the model was fitted on other features")
+        kind = {c.__name__: c for c in (LinearRegressionModel, GBTRegressionModel)}[card["kind"]]
+        return cls(card["name"], columns, {r["feature"]: (r["mean"], r["scale"]) for r in rows}, [kind.load(f"{path}/{t}") for t in TARGETS])
 
 
 def _standardised(rows: DataFrame, columns: list[str], moments: dict[str, tuple[float, float]]) -> DataFrame:
