@@ -250,10 +250,11 @@ def groups(docs: DataFrame) -> DataFrame:
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)))
     dealt = marks.select("rep", F.posexplode(bands).alias("band", "bucket"))
     shared = cut_lineage(dealt.groupBy("band", "bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last").drop("last"))
-    members = cut_lineage(dealt.join(shared, ["band", "bucket"]))
+    # Both sides of these two joins grow with the corpus: a merge at every size, never a broadcast of what happens to be small.
+    members = cut_lineage(dealt.join(shared.hint("merge"), ["band", "bucket"]))
 
     live = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(live, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(live.hint("merge"), "rep", "left_semi")
     sets = cut_lineage(shingle_sets(texts))
 
     # First, each member and the bucket centre that it meets most often.
