@@ -67,7 +67,8 @@ def test_alert_stream_equals_batch(spark, sf):
     assert owed.where(F.col("updated_us") < traffic.EPOCH_US + 240_000_000).count() == 0
 
 
-def test_scan_step_equals_batch_and_replays_cleanly(spark, sf):
+def test_scan_step_equals_batch_and_replays_cleanly(spark):
+    sf = "/root/testdata/sf0.01"  # enough aircraft a sector to meet
     u = tracking.track_updates(traffic.reports(spark, sf), as_of_us=traffic.end_of_data(spark, sf))
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
@@ -82,6 +83,8 @@ def test_scan_step_equals_batch_and_replays_cleanly(spark, sf):
         if i == 1:
             step(part, i)  # a replayed batch
     got = spark.read.parquet(f"{folder}/detections").drop("batch_id")
+    # Batches that have left the look-back are not opened any more.
+    assert len(spark.read.parquet(f"{folder}/frontier/batch_id={len(edges) - 2}").first()["live"]) < len(edges) - 1
     last = spark.read.parquet(f"{folder}/frontier").agg(F.max("scanned_us")).first()[0]
     from wakeline.operators import picture
 

@@ -150,13 +150,14 @@ def with_heartbeats(islands: DataFrame, *, by: list[str] | None = None, every_s:
     """Add `beat` to detections that republish a running alert.
 
     The recurrence looks back to the previous publication, so it is a fold. It
-    rides on the partitioning and order of the island window; one row of state
-    crosses Arrow batches.
+    needs the partitioning of the island window and states its order, which the
+    window leaves for free; one row of state crosses Arrow batches.
     """
     names = [*(by or []), *KEY, "raised_us"]
     every = int(every_s * 1e6)
     schema = StructType([*islands.schema.fields, StructField("beat", BooleanType())])
-    return islands.mapInArrow(lambda it: _beats(it, names, every), schema)
+    ordered = islands.sortWithinPartitions(*(by or []), *KEY, "tick_us")
+    return ordered.mapInArrow(lambda it: _beats(it, names, every), schema)
 
 
 def lifecycle(

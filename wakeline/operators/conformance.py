@@ -98,9 +98,17 @@ def matured(predicted: DataFrame, *, horizon_s: float = HORIZON_S, tolerance_s:
     )
 
 
-def deviations(checked: DataFrame, *, horizon_s: float = HORIZON_S, typical: dict | None = None) -> DataFrame:
-    """Worst deviation beyond its threshold per track and resolving update."""
-    over = checked.withColumn("threshold_nm", threshold("source", horizon_s, typical)).where("error_nm > threshold_nm")
+def deviations(checked: DataFrame, *, horizon_s: float = HORIZON_S, typical: dict | None = None, calibration: DataFrame | None = None) -> DataFrame:
+    """Worst deviation beyond its threshold per track and resolving update.
+
+    Thresholds come from a fitted `calibration` (source, horizon_s, typical_nm)
+    where there is one, else from fixed typical errors.
+    """
+    if calibration is None:
+        judged = checked.withColumn("threshold_nm", threshold("source", horizon_s, typical))
+    else:
+        judged = calibrated_thresholds(checked, calibration.select("source", "horizon_s", "typical_nm")).select(*checked.columns, "threshold_nm")
+    over = judged.where("error_nm > threshold_nm")
     ids = [*_TRACK, "matched_us"]
     rest = [c for c in over.columns if c not in ids]
     # Equal errors go to the older prediction.

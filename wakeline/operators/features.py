@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
@@ -72,15 +73,16 @@ def complete(features: DataFrame) -> DataFrame:
     return features.where(F.col(FEATURE_COLUMNS[0]).isNotNull())
 
 
+def _by_feature(features: DataFrame, **sums: Callable[[Column], Column]) -> DataFrame:
+    """Aggregates of every feature from one pass: feature, then a column for each of `sums`."""
+    each = [F.struct(F.lit(n).alias("feature"), *[f(F.col(c)).alias(name) for name, f in sums.items()]) for n, c in zip(FEATURES, FEATURE_COLUMNS)]
+    return features.agg(F.array(*each).alias("all")).select(F.inline("all"))
+
+
 def non_finite_counts(features: DataFrame) -> DataFrame:
     """Per feature, how many values are NaN or infinite."""
-    stacked = ", ".join(f"'{n}', {c}" for n, c in zip(FEATURES, FEATURE_COLUMNS))
     inf = float("inf")
-    bad = F.isnan("value") | F.col("value").isin(inf, -inf)
-    return (
-        features.selectExpr(f"stack({len(FEATURES)}, {stacked}) as (feature, value)")
-        .groupBy("feature").agg(F.count("*").alias("rows"), F.count_if(bad).alias("non_finite"))
-    )
+    return _by_feature(features, rows=lambda c: F.count("*"), non_finite=lambda c: F.count_if(F.isnan(c) | c.isin(inf, -inf)))
 
 
 def require_finite(features: DataFrame) -> None:
@@ -96,12 +98,7 @@ def require_finite(features: DataFrame) -> None:
 
 def describe(features: DataFrame) -> DataFrame:
     """Mean, population deviation, minimum and maximum of every feature."""
-    stacked = ", ".join(f"'{n}', {c}" for n, c in zip(FEATURES, FEATURE_COLUMNS))
-    return (
-        features.selectExpr(f"stack({len(FEATURES)}, {stacked}) as (feature, value)")
-        .groupBy("feature")
-        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    )
+    return _by_feature(features, mean=F.avg, std=F.stddev_pop, min=F.min, max=F.max)
 
 
 def standardiser(features: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def by_severity(alerts: DataFrame) -> DataFrame:
     return alerts.orderBy(labels.severity_rank("severity"), F.desc("updated_us"))
 
 
-def history_tail(points: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """Newest `limit` points of every track, to be read oldest first.
+def newest_points(points: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+    """Newest `limit` points of every track, in no order.
 
     A rank filter over the window is limited inside each map task as well, so
     a hot track ships at most `limit` rows per task.
@@ -96,12 +96,17 @@ def history_tail(points: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     if not 1 <= limit <= HISTORY_MAX:
         raise ValueError(f"limit must be in 1..{HISTORY_MAX}")
     w = Window.partitionBy(*TRACK).orderBy(F.desc("t_us"))
-    return points.withColumn("age_rank", F.row_number().over(w)).where(F.col("age_rank") <= limit).orderBy(*TRACK, "t_us")
+    return points.withColumn("age_rank", F.row_number().over(w)).where(F.col("age_rank") <= limit)
+
+
+def history_tail(points: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+    """Newest `limit` points of every track, to be read oldest first."""
+    return newest_points(points, limit).orderBy(*TRACK, "t_us")
 
 
 def trails(updates: DataFrame, points: int = TRAIL_POINTS) -> DataFrame:
     """Last `points` positions of every track, oldest first, as one array."""
-    tail = history_tail(updates.where("state <> 'terminated'").select(*TRACK, "t_us", "lat", "lon", "altitude_ft"), points)
+    tail = newest_points(updates.where("state <> 'terminated'").select(*TRACK, "t_us", "lat", "lon", "altitude_ft"), points)
     dot = F.struct("t_us", "lat", "lon", "altitude_ft")
     return tail.groupBy(*TRACK).agg(F.array_sort(F.collect_list(dot)).alias("trail"))
 
