@@ -156,6 +156,13 @@ SELECT field, CASE WHEN nc = 0 THEN 'removed' ELSE 'newly_required' END AS chang
 stmt("c05_confirmed_only", "SELECT scenario_id, count(*) AS n FROM upd WHERE state='confirmed' GROUP BY ALL", "upd")
 stmt("c07_clock_guard", f"SELECT scenario_id, count(*) FILTER (t_us <= {EPOCH + 130000000}) AS on_time, count(*) FILTER (t_us > {EPOCH + 130000000}) AS ahead FROM rep GROUP BY ALL", "rep")
 stmt("e16_counters", "SELECT updated_us//60000000*60000000 AS window_us, kind, st AS state, count(*) AS n FROM life GROUP BY ALL", "life")
+stmt("e16_message_counters", """
+SELECT 'surveillance.reports.v1' AS topic, CAST(user_id % 6 AS INT) AS partition, count(*) AS n,
+ CASE WHEN value < 5.0 OR (value > 25.0 AND value < 26.0) OR (value >= 100.0 AND event_type <> 'purchase') OR (value >= 100.0 AND value < 150.0) THEN 'discarded' ELSE 'consumed' END AS outcome
+FROM events GROUP BY ALL""")
+stmt("e20_alert_totals", "SELECT kind, st AS state, count(*) AS n FROM life GROUP BY ALL", "life")
+stmt("a17_published_results", """
+SELECT run, scenario_id, count(*) AS reports, 'wakeline-contracts-v1' AS code_version FROM rep CROSS JOIN (VALUES ('first'), ('second')) r(run) GROUP BY ALL""", "rep")
 _EDGES = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 part("latency", "SELECT scenario_id, ((t_us+999999)//1000000*1000000-t_us)/1000000.0 AS x FROM trk WHERE state <> 'terminated'", "trk")
 part("ladder", f"""

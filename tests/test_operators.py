@@ -147,7 +147,7 @@ def test_messages_need_a_key_and_files_round_trip(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/m"
     streams.to_messages(df.where("k is not null"), "k").write.json(path)
     assert [r.key for r in streams.read_files(spark, path, streaming=False).collect()] == ["a"]
-    streams.write_results(df, path + "r", stamps={"detector": "v1"})
+    streams.write_results(df, path + "r", "one", stamps={"detector": "v1"})
     assert {r.detector for r in spark.read.parquet(path + "r").collect()} == {"v1"}
 
 

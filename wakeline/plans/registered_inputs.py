@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
 from wakeline.functions import probability as pr
 from wakeline.operators import alerts, conflicts, conformance, features, picture, telemetry, views
 from wakeline.plans import live
-from wakeline.session import cut_lineage
 from wakeline.plans.registered import AS_OF, EPOCH, query, rnd, scenario_table, sky, updates
+from wakeline.session import cut_lineage, shared_folder
 from wakeline.sources import contracts, scenarios, streams, traffic
 
 REF_LAT, REF_LON = 40.6, -100.0
@@ -378,6 +380,31 @@ def e16(spark, sf):
     return telemetry.counters(a, "updated_us", "kind", "state")
 
 
+@query("e16_message_counters")
+def e16_messages(spark, sf):
+    """Messages of each topic that were taken in or discarded, and why."""
+    parsed = contracts.parse(traffic.messages(spark, sf), contracts.REPORTS)
+    fate = F.when(F.size("reasons") == 0, "consumed").otherwise("discarded")
+    return parsed.groupBy("topic", "partition", fate.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("e20_alert_totals")
+def e20_alerts(spark, sf):
+    """Alert messages of the whole run, by kind and state."""
+    return live.alert_stream(sky(spark, sf)).groupBy("kind", "state").agg(F.count("*").alias("n"))
+
+
+@query("a17_published_results")
+def a17(spark, sf):
+    """Results of two runs in one place, one of them published twice."""
+    counted = traffic.reports(spark, sf).groupBy("scenario_id").agg(F.count("*").alias("reports"))
+    path = f"{shared_folder(spark)}/wakeline-results/{uuid.uuid4().hex}"
+    for run in ("first", "second", "first"):
+        streams.write_results(counted, path, run, stamps={"code_version": contracts.CONTRACT_VERSION})
+    stored = spark.read.schema("scenario_id string, reports long, code_version string, run string").option("basePath", path)
+    return stored.parquet(path).select("run", "scenario_id", "reports", "code_version")
+
+
 @query("e17_rates_and_latency")
 def e17(spark, sf):
     v = picture.validity(updates(spark, sf)).withColumn("latency_s", (F.col("from_tick_us") - F.col("t_us")) / 1e6)
