@@ -125,7 +125,7 @@ _STATE = ["lat", "lon", "altitude_ft", "ground_speed_kt", "track_deg", "vertical
 _SIGMA = ["position_uncertainty_m", "velocity_uncertainty_kt", "altitude_uncertainty_ft", "vertical_rate_uncertainty_fpm"]
 stmt("j01_track_estimates", f"SELECT scenario_id, icao24, track_id, t_us, update_count, state, callsign, squawk, {rnd(6, *_STATE, *_SIGMA)} FROM upd", "upd")
 stmt("j02_lifecycle_transitions", "SELECT scenario_id, icao24, t_us, last_report_us, state, update_count FROM trk WHERE state IN ('coasting','terminated')", "trk")
-stmt("j03_coasting_growth", f"SELECT scenario_id, icao24, t_us, {rnd(4, 'lat', 'lon', 'altitude_ft', *_SIGMA)} FROM trk WHERE state = 'coasting'", "trk")
+stmt("j03_coasting_growth", f"SELECT scenario_id, icao24, t_us, {rnd(4, 'lat', 'lon', *_SIGMA)}, {rnd(3, 'altitude_ft')} FROM trk WHERE state = 'coasting'", "trk")
 stmt("j04_late_reports_dropped", "SELECT scenario_id, icao24, count(*) AS n, max(update_count) AS max_count, round(sum(ground_speed_kt), 3) AS speed_sum FROM upd GROUP BY ALL", "upd")
 stmt("f02_turn_rate", f"SELECT scenario_id, icao24, t_us, {rnd(5, 'turn_rate_deg_s')} FROM upd", "upd")
 stmt("f03_update_counts", "SELECT scenario_id, icao24, segment_us, max(update_count) AS updates, count(*) FILTER (state='confirmed') AS confirmed FROM upd GROUP BY ALL", "upd")

@@ -95,7 +95,9 @@ def j02(spark, sf):
 @query("j03_coasting_growth")
 def j03(spark, sf):
     t = updates(spark, sf).where("state = 'coasting'")
-    return rnd(t.select("scenario_id", "icao24", "t_us", "lat", "lon", "altitude_ft", *_SIGMA_COLS), 4, "lat", "lon", "altitude_ft", *_SIGMA_COLS)
+    # Five digits before the point leave the fourth after it to the platform.
+    t = rnd(t.select("scenario_id", "icao24", "t_us", "lat", "lon", "altitude_ft", *_SIGMA_COLS), 4, "lat", "lon", *_SIGMA_COLS)
+    return rnd(t, 3, "altitude_ft")
 
 
 @query("j04_late_reports_dropped")
