@@ -54,7 +54,7 @@ def test_quiet_cruise_stays_silent(spark):
 
 
 def test_sql_functions(spark):
-    assert len(sql.register(spark)) == 9
+    assert len(set(sql.register(spark))) == 22
     r = spark.sql("select haversine_nm(0.0, 0.0, 0.0, 1.0), bearing_difference(350.0, 10.0), bearing_difference(0.0, 180.0), normalize_bearing(-10.0), "
                   "conflict_severity(61.0), disc_probability(0.0D, 5.0D, 2.0D)").first()
     assert r[0] == pytest.approx(60.04, abs=0.01) and tuple(r[1:5]) == (20.0, 180.0, 350.0, "caution") and r[5] == pytest.approx(1 - math.exp(-3.125))
