@@ -128,3 +128,24 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 7), (300, 2), (2, 299), (8, 8)]
     found = {r["node"]: r["comp"] for r in nd.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 100 for i in range(100, 161)}, 5: 5, 7: 5, 9: 5, 300: 2, 299: 2, 2: 2}
+
+
+def unequal_counts(n=40):
+    """Pairs of one set of shingles each but for a few, a quarter of which only one text repeats dozens of times."""
+    rnd = random.Random(21)
+    rows = []
+    for i in range(n):
+        # Every line is a paragraph of its own words: repeating it adds the four shingles across its seam, once.
+        lines = [[f"p{i}l{k}w{j}" for j in range(12)] for k in range(40)]
+        once = [w for line in lines for w in line]
+        again = [w for k, line in enumerate(lines) for w in line * (60 if k < 10 else 1)]
+        again[-rnd.randrange(1, 100)] = "other"
+        rows += [(2 * i, " ".join(once)), (2 * i + 1, " ".join(again))]
+    return rows
+
+
+def test_repeats_do_not_part_equal_sets(make):
+    rows = unequal_counts()
+    want = brute(rows)
+    assert set(want.values()) == {2 * i for i in range(40)}
+    assert got(make(rows)) == want

@@ -1,10 +1,12 @@
 """Near duplicates: ProbMinHash signatures, banding, exact verification, connected groups.
 
-The elements of a document are its shingles of five words, weighted by
-1 + log(count). Each runs a Poisson process of its weight's rate, seeded by its
-hash; every arrival picks a register, and a register keeps the element of its
-first arrival. Two documents agree in a register with the probability Jaccard
-of their weighted sets. An element stops when its next arrival is later than
+The elements of a document are its different shingles of five words, all of
+weight 1, since links are decided on the sets: weights by count would part
+texts that repeat the same shingles a different number of times. Each runs a
+Poisson process of its weight's rate, seeded by its hash; every arrival picks a
+register, and a register keeps the element of its first arrival. Two documents
+agree in a register with the probability Jaccard of their weighted sets, which
+for equal weights is the Jaccard of the sets. An element stops when its next arrival is later than
 every register's, so a long document costs little more than one pass over it.
 """
 
@@ -114,8 +116,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words, counts = word_hashes(batch.column("text"))
-            doc, element, count = shingles(words, counts)
-            found = signatures(doc, element, 1.0 + np.log(count), len(counts))
+            doc, element, _ = shingles(words, counts)
+            found = signatures(doc, element, np.ones(len(doc)), len(counts))
             e = identities(words, counts)
             marks = pa.array([row.tobytes() if n else None for row, n in zip(found, counts)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(e[0]), pa.array(e[1]), marks], ["doc_id", "e1", "e2", "signature"])
