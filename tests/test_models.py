@@ -82,3 +82,20 @@ def test_fitted_model_in_the_conformance_chain(flown, rows, ridge):
     assert all(r["threshold_nm"] == pytest.approx(want[r["source"]]) and r["error_nm"] > r["threshold_nm"] for r in got)
     over = sum(1 for r in checked.select("source", "error_nm").collect() if r["error_nm"] > want[r["source"]])
     assert 0 < len(got) <= over
+
+
+def test_registered_scores_span_horizons_and_held_out_splits(spark, sf):
+    from wakeline.plans import registered_models as rm
+
+    keys = ["horizon_s", "model", "stratum"]
+    found = cut_lineage(rm.k03(spark, sf))
+    assert {(r["split"], r["horizon_s"], r["model"]) for r in found.collect()} == {
+        (s, h, m) for s in ("validation", "test_same_family", "test_shifted") for h in training.HORIZONS_S for m in ("ridge", "dead_reckoning")}
+    # One horizon fitted and scored by itself.
+    splits = training.exact_splits(scenario_table(spark, sf), F.col("family") == "shifted")
+    d = cut_lineage(rm.dataset(spark, sf, 60.0).join(splits, "scenario_id"))
+    test = d.where("split = 'test_same_family'")
+    alone = training.score_table(cut_lineage(training.scored(training.fit_ridge(d.where("split = 'train'")).predict(test), "ridge")))
+    one = found.where("split = 'test_same_family' and horizon_s = 60 and model = 'ridge'")
+    want, got = ({tuple(r[k] for k in keys): (r["samples"], r["median_nm"], r["skill"]) for r in t.collect()} for t in (alone, one))
+    assert want and set(want) == set(got) and all(got[k] == pytest.approx(want[k], abs=2e-4) for k in want)

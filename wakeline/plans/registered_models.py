@@ -128,42 +128,43 @@ def e11_gap(spark, sf):
     return bootstrap.gap_interval(draws, "model", "constant_turn", "dead_reckoning")
 
 
-def _assigned(spark, sf, horizon_s=60.0):
-    """The data set with its splits, kept for the several fits that read it."""
+HELD_OUT = ["validation", "test_same_family", "test_shifted"]
+FITS = {"ridge": training.fit_ridge, "boosted": training.fit_boosted}
+
+
+def _assigned(spark, sf):
+    """The data set of every horizon with its splits, kept for the several fits that read it."""
     splits = training.exact_splits(scenario_table(spark, sf), F.col("family") == "shifted")
     training.require_disjoint(splits)
-    return cut_lineage(dataset(spark, sf, horizon_s).join(splits, "scenario_id"))
+    return cut_lineage(dataset(spark, sf, training.HORIZONS_S).join(splits, "scenario_id"))
+
+
+def _held_out_scores(spark, sf, names):
+    """Scores of each named model and dead reckoning by split and horizon; a model is fitted for each horizon."""
+    d = _assigned(spark, sf)
+    rows = d.where(F.col("split").isin(HELD_OUT))
+    out = training.scored(training.zero_residuals(rows), "dead_reckoning", "split")
+    for h in training.HORIZONS_S:
+        at = F.col("horizon_s") == h
+        train = d.where("split = 'train'").where(at)
+        for n in names:
+            out = out.unionByName(training.scored(FITS[n](train).predict(rows.where(at)), n, "split"))
+    return training.score_table(cut_lineage(out), ["split"])
 
 
 @query("k03_ridge_scores")
 def k03(spark, sf):
-    d = _assigned(spark, sf)
-    ridge = training.fit_ridge(d.where("split = 'train'"))
-    test = d.where("split = 'test_same_family'")
-    both = training.scored(ridge.predict(test), "ridge").unionByName(training.scored(training.zero_residuals(test), "dead_reckoning"))
-    return training.score_table(cut_lineage(both))
+    return _held_out_scores(spark, sf, ["ridge"])
 
 
 @query("k05_boosted_scores")
 def k05(spark, sf):
-    d = _assigned(spark, sf)
-    model = training.fit_boosted(d.where("split = 'train'"))
-    return training.score_table(cut_lineage(training.scored(model.predict(d.where("split = 'test_same_family'")), "boosted")))
+    return _held_out_scores(spark, sf, ["boosted"]).where("model = 'boosted'")
 
 
 def _contest(spark, sf):
-    d = _assigned(spark, sf)
-    train = d.where("split = 'train'")
-    models = [training.fit_ridge(train), training.fit_boosted(train)]
-
-    def score(split):
-        rows = d.where(F.col("split") == split)
-        out = training.scored(training.zero_residuals(rows), "dead_reckoning")
-        for m in models:
-            out = out.unionByName(training.scored(m.predict(rows), m.name))
-        return training.score_table(cut_lineage(out))
-
-    return score("validation"), score("test_same_family")
+    scores = cut_lineage(_held_out_scores(spark, sf, list(FITS)))
+    return tuple(scores.where(F.col("split") == s).drop("split") for s in HELD_OUT)
 
 
 @query("k07_winner")
@@ -173,5 +174,8 @@ def k07(spark, sf):
 
 @query("e15_calibration")
 def e15(spark, sf):
-    validation, test = _contest(spark, sf)
-    return training.calibration(test, training.winner(validation))
+    """Typical errors on the same family, as served, and on the shifted one."""
+    validation, same, shifted = _contest(spark, sf)
+    best = training.winner(validation)
+    tables = [training.calibration(t, best).withColumn("split", F.lit(s)) for t, s in ((same, HELD_OUT[1]), (shifted, HELD_OUT[2]))]
+    return tables[0].unionByName(tables[1])

@@ -212,10 +212,10 @@ def physics_residuals(rows: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def scored(rows: DataFrame, name: str) -> DataFrame:
-    """Residual rows reduced to what scoring needs."""
+def scored(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """Residual rows reduced to what scoring needs, and the columns `more`."""
     return rows.select(
-        F.lit(name).alias("model"), "scenario_id", "horizon_s", "phase", "baseline_error_nm",
+        *more, F.lit(name).alias("model"), "scenario_id", "horizon_s", "phase", "baseline_error_nm",
         F.hypot(F.col("y_along") - F.col("r_along"), F.col("y_cross") - F.col("r_cross")).alias("error_nm"),
         F.abs(F.col("y_alt") - F.col("r_alt")).alias("altitude_error_ft"),
     )
