@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontamination, html_text, language, mixing, near_duplicates, syncmers, token_files, token_rollups, toxicity, warc
+from wakeline.llm import decontamination, html_text, language, mixing, near_duplicates, packing, syncmers, token_files, token_rollups, toxicity, warc
 
 QUERIES: dict = {}
 STATEMENTS: dict[str, str] = {}
@@ -139,3 +139,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after inserts, deletes and revisions of all documents."""
     return token_rollups.rolled_up(table(spark, sf_dir, "documents"))
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document."""
+    return packing.packed(table(spark, sf_dir, "documents")).drop("ids", "width").withColumn("length", F.col("length").cast("long"))
