@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontamination, html_text, language, mixing, near_duplicates, packing, syncmers, token_files, token_rollups, toxicity, warc
+from wakeline.llm import decontamination, html_text, language, mixing, near_duplicates, packing, periodic_runs, syncmers, token_files, token_rollups, toxicity, warc
 
 QUERIES: dict = {}
 STATEMENTS: dict[str, str] = {}
@@ -145,3 +145,19 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document."""
     return packing.packed(table(spark, sf_dir, "documents")).drop("ids", "width").withColumn("length", F.col("length").cast("long"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, the run of the most periods (start, length, period, exponent_milli), runs_sha256, collapsed_sha256 of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.looped().alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    # Runs are in order of start, then period: the first of the most periods stays.
+    most = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    listed = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("most", most).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period",
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
