@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontamination, html_text, language, mixing, near_duplicates, packing, periodic_runs, syncmers, token_files, token_rollups, toxicity, warc
+from wakeline.llm import conversation_trie, decontamination, html_text, language, mixing, near_duplicates, packing, periodic_runs, syncmers, token_files, token_rollups, toxicity, warc
 
 QUERIES: dict = {}
 STATEMENTS: dict[str, str] = {}
@@ -161,3 +161,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * most.length div most.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_conversation_trie")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix tree of the rebuilt conversations."""
+    convs = conversation_trie.conversations(table(spark, sf_dir, "conversations"))
+    return conversation_trie.conversation_trie(conversation_trie.shared_starts(convs)).drop("key")
