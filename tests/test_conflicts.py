@@ -115,7 +115,6 @@ def brute(rows, lookahead, threshold=None):
 
 @pytest.mark.parametrize("n", [40, 150])
 def test_pruned_scan_equals_brute_force(spark, n):
-    """Both the one-cell path and, above its limit, the space-time cells."""
     rows = sky(n, n)
     got = conflicts.predicted_conflicts(frame(spark, rows), lookahead_s=[60.0, 120.0, 300.0]).collect()
     assert len(got) == len({(r.lookahead_s, r.first_track_id, r.second_track_id) for r in got})
@@ -132,6 +131,41 @@ def test_probable_scan_equals_brute_force_when_dense(spark):
         assert found == brute(rows, 300.0, level) and found
 
 
+def test_wide_and_fast_traffic_meets_once_in_many_squares(spark):
+    rows = sky(140, 4, spread=5.0)
+    rows = [(*r[:7], r[7] * (4.0 if i % 9 == 0 else 1.0), *r[8:]) for i, r in enumerate(rows)]
+    got = conflicts.predicted_conflicts(frame(spark, rows)).collect()
+    found = [(r.first_track_id, r.second_track_id) for r in got]
+    assert len(found) == len(set(found)) and set(found) == brute(rows, 300.0) and found
+    assert all(a < b for a, b in found)
+
+
+def test_scan_size_counts_each_overlapping_pair_once(spark):
+    rows = sky(150, 3)
+    r = conflicts.scan_size(frame(spark, rows)).first()
+    assert r.all_pairs == 150 * 149 // 2 and len(brute(rows, 300.0)) <= r.pairs_met < 0.7 * r.all_pairs
+    r = conflicts.scan_size(frame(spark, rows), probabilistic=True).first()
+    assert len(brute(rows, 300.0, 0.01)) <= r.pairs_met <= r.all_pairs
+
+
+def test_callsigns_stay_with_their_tracks(spark):
+    rows = [("s", 0, r[2], "c-" + r[2], *r[4:]) for r in sky(60, 8)]
+    got = conflicts.predicted_conflicts(frame(spark, rows)).collect()
+    assert got and all((r.first_callsign, r.second_callsign) == ("c-" + r.first_track_id, "c-" + r.second_track_id) for r in got)
+
+
+def test_error_function_in_bulk():
+    x = np.concatenate([np.linspace(-7, 7, 20_001), [0.0, 1e-9, -1e-9, np.inf, -np.inf]])
+    assert np.abs(pr.erf(x) - [math.erf(v) for v in x]).max() < 3e-16
+
+
+@pytest.mark.parametrize("level", [0.01, 0.5, 0.9, 1.0])
+def test_a_level_leaves_out_no_pair_that_reaches_it(spark, level):
+    rows = sky(90, 6)
+    every = conflicts.scored_pairs(frame(spark, rows)).where(F.col("probability") >= level).count()
+    assert conflicts.probable_conflicts(frame(spark, rows), level).where("probability is not null").count() == every
+
+
 def test_disc_probability_against_its_definition():
     """Numerical integration of the Gaussian over the disc, and the limits."""
     rng = np.random.default_rng(0)

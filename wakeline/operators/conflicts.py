@@ -1,21 +1,23 @@
 """Predicted loss of separation between pairs of tracks, per scan tick.
 
-The scan is a theta self-join. It is run as an equi-join on space-time cells:
-the lookahead is cut into windows, and for every window a track occupies the
-box it sweeps, widened by half a standard (and, for the probabilistic scan, by
-its nine-sigma uncertainty). Both sides list the cells their box covers. Two
-tracks whose closest approach breaches the standards in some window must share
-a cell of that window, whatever their speed, so nothing is lost; and keeping a
-pair only in its lowest common cell of the window that holds its closest
-approach yields every pair exactly once, without a distinct.
-
-Far-apart and vertically separated traffic never meets in a cell, and a dense
-sector is spread over windows, squares and altitude bands instead of becoming
-one hot join key.
+The scan is a theta self-join, run as an equi-join in which every pair whose
+swept boxes overlap meets, and meets once. A track's box is what it sweeps
+within the lookahead, widened by half a standard (and, for the probabilistic
+scan, by its nine-sigma uncertainty at the end of it); two tracks that breach
+the standards have overlapping boxes, whatever their speed.
+
+Altitude, which tells traffic apart best, is swept: of two overlapping boxes
+the one with the higher floor has it within the other's height, so each track
+stands in the band of its floor and asks in all bands of its height. East and
+north, both list the squares they touch, which are wide enough that most touch
+one, and a pair is kept in its lowest common square. A dense sky is spread over
+bands and squares instead of becoming one hot join key.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ VERTICAL_FT = 1000.0
 LOOKAHEAD_S = 300.0
 PARALLEL_EPSILON = 1e-12
 
-# Cell geometry; any values give the same result.
-WINDOW_S = 60.0
-CELL_NM = 25.0
-BAND_FT = 3000.0
+# Cell geometry; any values give the same result. A square is about three boxes wide.
+CELL_NM_PER_S = 128.0 / 300.0
+BAND_FT = 1000.0
+SIGMA_BAND_FT = 8000.0
 _SLACK = 1e-6
 
 _CARRIED = [
@@ -40,7 +42,7 @@ _CARRIED = [
     "altitude_ft", "vertical_rate_fpm", "vanish_tick_us",
 ]
 _SIGMAS = ["pos_sigma_nm", "vel_sigma_kt", "alt_sigma_ft", "rate_sigma_fpm"]
-_CELL = ["win", "cx", "cy", "cz"]
+_CELL = ["cx", "cy", "cz"]
 
 
 def _with_sigmas(k: DataFrame) -> DataFrame:
@@ -59,39 +61,33 @@ def _with_sigmas(k: DataFrame) -> DataFrame:
     )
 
 
-def _cells(k: DataFrame, *, horizontal_nm: float, vertical_ft: float, lookahead_s: float, probabilistic: bool) -> DataFrame:
-    """Explode tracks into the space-time cells they sweep."""
-    windows = max(1, int(-(-lookahead_s // WINDOW_S)))
-    half = WINDOW_S / 2.0
-    per_window = k.withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
-    mid, end = F.col("win") * WINDOW_S + half, (F.col("win") + 1) * WINDOW_S
-    pad_h, pad_v = F.lit(horizontal_nm / 2.0), F.lit(vertical_ft / 2.0)
+def _boxes(k: DataFrame, *, horizontal_nm: float, vertical_ft: float, lookahead_s: float, probabilistic: bool) -> DataFrame:
+    """Add the box each track sweeps (x, y, z, each with _lo and _hi) and the squares it touches (x0..x1, y0..y1)."""
+    pad_h, pad_v = F.lit(horizontal_nm / 2.0 + _SLACK), F.lit(vertical_ft / 2.0 + _SLACK)
     if probabilistic:
         # sqrt(a^2 + b^2) <= a + b: half each of the pair's cutoff is a superset.
-        span_h = pr.projected_sigma(F.col("pos_sigma_nm"), 0.0, F.col("vel_sigma_kt") / 3600.0, 0.0, end)
-        span_v = pr.projected_sigma(F.col("alt_sigma_ft"), 0.0, F.col("rate_sigma_fpm") / 60.0, 0.0, end)
+        span_h = pr.projected_sigma(F.col("pos_sigma_nm"), 0.0, F.col("vel_sigma_kt") / 3600.0, 0.0, F.lit(lookahead_s))
+        span_v = pr.projected_sigma(F.col("alt_sigma_ft"), 0.0, F.col("rate_sigma_fpm") / 60.0, 0.0, F.lit(lookahead_s))
         pad_h = pad_h + F.coalesce(span_h * pr.SIGMA_CUTOFF, F.lit(0.0))
         pad_v = pad_v + F.coalesce(span_v * pr.SIGMA_CUTOFF, F.lit(0.0))
 
-    def reach(name: str, pos: Column, rate: Column, pad: Column, size: float) -> list[Column]:
-        centre, extent = pos + rate * mid, F.abs(rate) * half + pad + _SLACK
+    def reach(name: str, pos: str, rate: Column, pad: Column) -> list[Column]:
+        moved = rate * lookahead_s
         return [
-            F.floor(edge / size).cast("int").alias(f"{name}{i}")
-            for i, edge in enumerate((centre - extent, centre + extent))
+            (F.col(pos) + F.least(F.lit(0.0), moved) - pad).alias(f"{name}_lo"),
+            (F.col(pos) + F.greatest(F.lit(0.0), moved) + pad).alias(f"{name}_hi"),
         ]
 
-    boxed = per_window.select(
+    boxed = k.select(
         "*",
-        *reach("x", F.col("east_nm"), F.col("v_east_kt") / 3600.0, pad_h, CELL_NM),
-        *reach("y", F.col("north_nm"), F.col("v_north_kt") / 3600.0, pad_h, CELL_NM),
-        *reach("z", F.col("altitude_ft"), F.col("vertical_rate_fpm") / 60.0, pad_v, BAND_FT),
-    )
-    return (
-        boxed.withColumn("cx", F.explode(F.sequence("x0", "x1")))
-        .withColumn("cy", F.explode(F.sequence("y0", "y1")))
-        .withColumn("cz", F.explode(F.sequence("z0", "z1")))
-        .drop("x1", "y1", "z1")
+        *reach("x", "east_nm", F.col("v_east_kt") / 3600.0, pad_h),
+        *reach("y", "north_nm", F.col("v_north_kt") / 3600.0, pad_h),
+        *reach("z", "altitude_ft", F.col("vertical_rate_fpm") / 60.0, pad_v),
     )
+    # The origin of the frame is the middle of a square: a small picture is in one.
+    size = CELL_NM_PER_S * max(lookahead_s, 60.0)
+    squares = [F.floor(F.col(f"{n}_{end}") / size + 0.5).cast("int").alias(f"{n}{i}") for n in "xy" for i, end in enumerate(("lo", "hi"))]
+    return boxed.select("*", *squares)
 
 
 def closest_approach(p: DataFrame, lookahead_s: Column) -> DataFrame:
@@ -125,26 +121,41 @@ _OUT = [
 ]
 
 
-def _candidates(k: DataFrame, sigmas: bool, lookaheads: list[float], horizontal_nm: float, vertical_ft: float) -> DataFrame:
-    """Pairs with their closest approach, each once per lookahead."""
-    cells = _cells(
+def _meetings(k: DataFrame, sigmas: bool, lookahead_s: float, horizontal_nm: float, vertical_ft: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join on a picture's squares and bands: tracks asking in the bands of their height, tracks at their floor."""
+    boxes = _boxes(
         k.select(*_CARRIED, *(_SIGMAS if sigmas else [])), horizontal_nm=horizontal_nm, vertical_ft=vertical_ft,
-        lookahead_s=max(lookaheads), probabilistic=sigmas,
+        lookahead_s=lookahead_s, probabilistic=sigmas,
     )
+    squares = boxes.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1"))).drop("x1", "y1")
+    band = SIGMA_BAND_FT if sigmas else BAND_FT
+    floor, top = (F.floor(F.col(c) / band).cast("int") for c in ("z_lo", "z_hi"))
     shared = ["scenario_id", "tick_us", *_CELL]
-    own = [c for c in cells.columns if c not in shared]
-    a = cells.select(*shared, *[F.col(c).alias(f"a_{c}") for c in own])
-    b = cells.select(*shared, *[F.col(c).alias(f"b_{c}") for c in own])
-    # Size estimates do not see the cells' copies: never broadcast this side.
-    met = a.join(b.hint("merge"), shared).where(
-        (F.col("a_track_id") < F.col("b_track_id"))
+    sides = squares.withColumn("cz", F.explode(F.sequence(floor, top))), squares.withColumn("cz", floor)
+    return tuple(
+        side.select(*shared, *[F.col(c).alias(f"{n}_{c}") for c in side.columns if c not in shared]) for n, side in zip("ab", sides)
+    )
+
+
+def _met(sides: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Pairs with overlapping boxes, each once, in no order of ids."""
+    a, b = sides
+    # Size estimates do not see the squares' and bands' copies: never broadcast this side.
+    return a.join(b.hint("merge"), ["scenario_id", "tick_us", *_CELL]).where(
+        ((F.col("a_z_lo") < F.col("b_z_lo")) | ((F.col("a_z_lo") == F.col("b_z_lo")) & (F.col("a_track_id") < F.col("b_track_id"))))
+        & (F.col("b_z_lo") <= F.col("a_z_hi"))
         & (F.col("cx") == F.greatest("a_x0", "b_x0"))
         & (F.col("cy") == F.greatest("a_y0", "b_y0"))
-        & (F.col("cz") == F.greatest("a_z0", "b_z0"))
+        & (F.col("a_x_lo") <= F.col("b_x_hi")) & (F.col("b_x_lo") <= F.col("a_x_hi"))
+        & (F.col("a_y_lo") <= F.col("b_y_hi")) & (F.col("b_y_lo") <= F.col("a_y_hi"))
     )
-    # Exact vertical rejection before any closest-approach arithmetic, and for
-    # the longest lookahead before there is a row for each of them.
-    met = met.withColumn("lookahead_s", F.lit(max(lookaheads)))
+
+
+def _candidates(k: DataFrame, sigmas: bool, lookaheads: list[float], horizontal_nm: float, vertical_ft: float) -> DataFrame:
+    """Pairs with their closest approach, each once per lookahead."""
+    longest = max(lookaheads)
+    met = _met(_meetings(k, sigmas, longest, horizontal_nm, vertical_ft)).withColumn("lookahead_s", F.lit(longest))
+    # Exact vertical rejection before any closest-approach arithmetic.
     slack = F.lit(0.0)
     if sigmas:
         slack = F.coalesce(
@@ -154,26 +165,38 @@ def _candidates(k: DataFrame, sigmas: bool, lookaheads: list[float], horizontal_
         )
     closing = F.abs(F.col("b_vertical_rate_fpm") - F.col("a_vertical_rate_fpm")) / 60.0 * F.col("lookahead_s")
     near = F.abs(F.col("b_altitude_ft") - F.col("a_altitude_ft")) - closing - slack < vertical_ft
-    met = met.where(near)
-    if len(lookaheads) > 1:
-        met = met.withColumn("lookahead_s", F.explode(F.array(*[F.lit(x) for x in lookaheads]))).where(near)
-    cpa = closest_approach(met, F.col("lookahead_s"))
-    last = F.ceil(F.col("lookahead_s") / WINDOW_S).cast("int") - 1
-    own_window = F.col("win") == F.least(F.floor(F.col("time_to_cpa_s") / WINDOW_S).cast("int"), last)
-    return cpa.where(own_window)
+    found = closest_approach(met.where(near), F.col("lookahead_s"))
+    if len(lookaheads) == 1:
+        return found
+    # A shorter look never comes closer: only pairs that do so at the longest are judged again for each.
+    close = found.where(F.col("min_horizontal_nm") < horizontal_nm).select(*met.columns)
+    each = close.withColumn("lookahead_s", F.explode(F.array(*[F.lit(x) for x in lookaheads]))).where(near)
+    return closest_approach(each, F.col("lookahead_s"))
+
+
+def scan_size(picture: DataFrame, *, probabilistic: bool = False, lookahead_s: float = LOOKAHEAD_S, horizontal_nm: float = HORIZONTAL_NM,
+              vertical_ft: float = VERTICAL_FT, min_updates: int = MIN_UPDATES) -> DataFrame:
+    """One row: rows on both sides of the scan's join, pairs that meet, and all unordered pairs of the pictures."""
+    k = _with_sigmas(in_shared_frame(eligible(picture, min_updates)))
+    sides = _meetings(k, probabilistic, lookahead_s, horizontal_nm, vertical_ft)
+    n = F.count("*")
+    every = k.groupBy("scenario_id", "tick_us").agg((n * (n - 1) / 2).alias("p")).agg(F.sum("p").cast("long").alias("all_pairs"))
+    counts = [side.agg(n.alias(name)) for name, side in (("asking_rows", sides[0]), ("standing_rows", sides[1]), ("pairs_met", _met(sides)))]
+    for c in counts:
+        every = every.crossJoin(c)  # one row each
+    return every
 
 
 def _named(p: DataFrame) -> DataFrame:
-    return p.select(
-        *[
-            F.col({"first_track_id": "a_track_id", "second_track_id": "b_track_id", "first_callsign": "a_callsign",
-                   "second_callsign": "b_callsign"}.get(c, c)).alias(c)
-            if c != "vanish_tick_us"
-            else F.least("a_vanish_tick_us", "b_vanish_tick_us").alias(c)
-            for c in _OUT
-        ],
-        *[c for c in ("threshold", ) if c in p.columns],
-    )
+    """Pairs in the order of their ids, with the columns of a conflict."""
+    swapped = F.col("a_track_id") > F.col("b_track_id")
+    given = {
+        "first_track_id": F.least("a_track_id", "b_track_id"), "second_track_id": F.greatest("a_track_id", "b_track_id"),
+        "first_callsign": F.when(swapped, F.col("b_callsign")).otherwise(F.col("a_callsign")),
+        "second_callsign": F.when(swapped, F.col("a_callsign")).otherwise(F.col("b_callsign")),
+        "vanish_tick_us": F.least("a_vanish_tick_us", "b_vanish_tick_us"),
+    }
+    return p.select(*[given.get(c, F.col(c)).alias(c) for c in _OUT], *[c for c in ("threshold", ) if c in p.columns])
 
 
 def predicted_conflicts(
@@ -193,11 +216,12 @@ def predicted_conflicts(
 
 def scored_pairs(
     picture: DataFrame, *, horizontal_nm: float = HORIZONTAL_NM, vertical_ft: float = VERTICAL_FT,
-    lookahead_s: float = LOOKAHEAD_S, min_updates: int = MIN_UPDATES,
+    lookahead_s: float = LOOKAHEAD_S, min_updates: int = MIN_UPDATES, least: float | None = None,
 ) -> DataFrame:
     """Every pair that could breach, with P(both standards breached).
 
-    `probability` is null where either track carries no uncertainty.
+    `probability` is null where either track carries no uncertainty. `least`
+    leaves out pairs that cannot have that probability, without working it out.
     """
     k = _with_sigmas(in_shared_frame(eligible(picture, min_updates)))
     p = _candidates(k, True, [float(lookahead_s)], horizontal_nm, vertical_ft)
@@ -205,11 +229,13 @@ def scored_pairs(
                                  F.col("b_vel_sigma_kt") / 3600.0, "time_to_cpa_s")
     sigma_v = pr.projected_sigma("a_alt_sigma_ft", "b_alt_sigma_ft", F.col("a_rate_sigma_fpm") / 60.0,
                                  F.col("b_rate_sigma_fpm") / 60.0, "time_to_cpa_s")
-    # Pairs beyond the cutoff have probability zero and can never be accepted.
+    # Pairs beyond the cutoff have probability zero and can never be accepted. Disc and band lie in half-planes whose
+    # chance has a closed form: where that is below `least`, so is the pair's.
+    reach = pr.SIGMA_CUTOFF if least is None else min(pr.SIGMA_CUTOFF, NormalDist().inv_cdf(1.0 - least) + 1e-9 if least < 1.0 else 0.0)
     p = p.select("*", sigma_h.alias("sigma_h"), sigma_v.alias("sigma_v")).where(
-        F.coalesce(F.col("min_horizontal_nm") - horizontal_nm <= pr.SIGMA_CUTOFF * F.col("sigma_h"),
+        F.coalesce(F.col("min_horizontal_nm") - horizontal_nm <= reach * F.col("sigma_h"),
                    F.col("min_horizontal_nm") < horizontal_nm)
-        & F.coalesce(F.col("min_vertical_ft") - vertical_ft <= pr.SIGMA_CUTOFF * F.col("sigma_v"), F.lit(True))
+        & F.coalesce(F.col("min_vertical_ft") - vertical_ft <= reach * F.col("sigma_v"), F.lit(True))
     )
     # Judged more than once below; the integral runs once.
     return computed_once(
@@ -233,8 +259,10 @@ def probable_conflicts(
     levels = list(thresholds) if many else [thresholds]
     if any(x is not None and not 0.0 < x <= 1.0 for x in levels):
         raise ValueError("thresholds must be in (0, 1]")
+    # A pair that breaches by its point estimates has to stay for its deterministic verdict.
+    least = min([float(x) for x in levels if x is not None] + [0.5] * (None in levels), default=None)
     p = scored_pairs(picture, horizontal_nm=horizontal_nm, vertical_ft=vertical_ft, lookahead_s=lookahead_s,
-                     min_updates=min_updates)
+                     min_updates=min_updates, least=least)
     breach = (F.col("min_horizontal_nm") < horizontal_nm) & (F.col("min_vertical_ft") < vertical_ft)
     if not many:
         return _named(p.where(F.coalesce(F.col("probability") >= float(levels[0]), breach)))
