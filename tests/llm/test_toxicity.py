@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,3 +74,34 @@ def test_empty_tables(spark, make):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert tx.toxicity(make([]), none).count() == 0
     assert [r["predicted"] for r in tx.toxicity(make([(1, "a text")]), none).collect()] == [0]
+
+
+def _plain(model, text):
+    """The noisy-or over all sentences of a text, each from all features of all its words."""
+    clean, found = 1.0, []
+    for start, end, words in tx.sentences(text):
+        x = model.bias + sum(model.weights.get(f, 0.0) for f in {f for w in words for f in tx.features(w)})
+        p = 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, x))))
+        clean *= 1.0 - p
+        if p >= 0.5:
+            found.append((start, end - start, p))
+    return 1.0 - clean, found
+
+
+@pytest.mark.parametrize("bias", [-6.0, 0.5])
+def test_scores_are_those_of_all_sentences(documents, bias):
+    """Whole texts of the table, with weights on words that many of them have, some of which cancel."""
+    texts = [r["text"] or "" for r in documents.select("text").collect()]
+    counts = Counter(w for t in texts for _, _, words in tx.sentences(t) for w in words)
+    rng = random.Random(5)
+    weights = {f: rng.choice([-2.0, -0.5, 0.5, 2.0, 7.0]) for w in rng.sample(sorted(counts), 400) for f in tx.features(w)[:2]}
+    weights |= {"=the": 3.0, "^thei": -3.0, "=und": 1.5}
+    model = tx.ToxicityModel(weights, bias)
+    scorer, some = model.scorer(), 0
+    for t in [*texts, "", "...", "The the. THE!\n\nund", "no end", "a" * 50_000]:
+        score, found = scorer.score(t)
+        expected, spans = _plain(model, t)
+        assert score == pytest.approx(expected, abs=1e-12)
+        assert [f[:2] for f in found] == [s[:2] for s in spans] and [f[2] for f in found] == pytest.approx([s[2] for s in spans], abs=1e-12)
+        some += bool(found)
+    assert some > 20

@@ -74,35 +74,44 @@ class Scorer:
         self._weights, self._bias, self._words = model.weights, model.bias, {}
         self._clean = math.log1p(-1.0 / (1.0 + math.exp(-model.bias)))  # log chance that a sentence without evidence is clean
 
-    def _weight(self, word: str) -> float:
-        """Of a token as written; NaN for a sentence end."""
+    def _evidence(self, word: str) -> float:
+        """How much the features of a token as written weigh, whatever their signs; NaN for a sentence end."""
         if word[0] in ENDS:
             return math.nan
-        return sum(self._weights.get(f, 0.0) for f in set(features(word.lower())))
+        return sum(abs(self._weights.get(f, 0.0)) for f in set(features(word.lower())))
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score, and start, length and score of each sentence of a score of one half or more."""
+        """The document's score, and start, length and score of each sentence of a score of one half or more.
+
+        Only sentences with a word that weighs anything are looked at; all
+        others are equally likely to be clean.
+        """
         tokens, known = TOKEN.findall(text), self._words
         if len(known) > REMEMBERED_WORDS:
             known.clear()
         for t in set(tokens).difference(known):
-            known[t] = self._weight(t)
+            known[t] = self._evidence(t)
         w = np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
         ends = np.isnan(w)
         # A sentence begins at each word that follows an end or nothing.
-        n = int((~ends & np.concatenate([[True], ends[:-1]])).sum()) if len(w) else 0
+        number = np.cumsum(~ends & np.concatenate([[True], ends[:-1]])) if len(w) else w
+        n = int(number[-1]) if len(w) else 0
         if not n:
             return 0.0, []
-        if not (w > 0).any() and not (w < 0).any():
-            return -math.expm1(n * self._clean), []
-        log_clean, found = 0.0, []
-        for start, end, words in sentences(text):
-            x = self._bias + sum(self._weights.get(f, 0.0) for f in {f for v in words for f in features(v)})
+        telling: dict[int, set[str]] = {}
+        for i in np.flatnonzero(w > 0.0).tolist():
+            telling.setdefault(int(number[i]) - 1, set()).update(features(tokens[i].lower()))
+        log_clean, found = (n - len(telling)) * self._clean, {}
+        for k, own in telling.items():
+            x = self._bias + sum(self._weights.get(f, 0.0) for f in own)
             p = 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, x))))
             log_clean += math.log1p(-p)
             if p >= 0.5:
-                found.append((start, end - start, p))
-        return -math.expm1(log_clean), found
+                found[k] = p
+        if self._bias >= 0.0:  # a sentence without evidence is offending too
+            found = {k: found.get(k, 1.0 - math.exp(self._clean)) for k in range(n) if k in found or k not in telling}
+        spans = sentences(text) if found else []
+        return -math.expm1(log_clean), [(spans[k][0], spans[k][1] - spans[k][0], found[k]) for k in sorted(found)]
 
 
 def train(texts: list[str], toxic: list[int], weights: np.ndarray) -> ToxicityModel:
