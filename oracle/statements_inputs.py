@@ -183,6 +183,7 @@ stmt("j07_scan_summary", "SELECT scenario_id, tick_us, count(*) AS tracks, (SELE
 stmt("j08_predict_and_check", """
 SELECT scenario_id, track_id, count(*) AS predictions, (SELECT count(*) FROM chkl c WHERE c.scenario_id=t.scenario_id AND c.track_id=t.track_id) AS checked
 FROM trk t WHERE state <> 'terminated' GROUP BY scenario_id, track_id""", "trk", "chkl")
+stmt("j08_streamed_checks", "SELECT scenario_id, track_id, predicted_us, matched_us, round(error_nm,4)+0.0 AS error_nm, round(error_nm,4)+0.0 AS baseline_error_nm FROM chkl", "chkl")
 stmt("j10_scan_clock", "SELECT tick_us, max(t_us) AS newest_us, count(*) AS tracks FROM pic GROUP BY ALL", "pic")
 
 # -- data sets --------------------------------------------------------------

@@ -4,9 +4,10 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from wakeline.operators import alerts, conflicts, tracking
+from wakeline.operators import alerts, conflicts, conformance, tracking
 from wakeline.plans import live
 from wakeline.sources import traffic
+from wakeline.streaming import checks
 from wakeline.streaming.alerts import lifecycle_stream
 from wakeline.streaming.scan import scan_step
 from wakeline.streaming.tracking import track_updates_stream
@@ -91,3 +92,37 @@ def test_scan_step_equals_batch_and_replays_cleanly(spark):
     want = detect(picture.at_ticks(u, until_us=last))
     assert want.count() > 50
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_streamed_checks_equal_batch_with_restart_and_duplicates(spark, sf):
+    u = tracking.track_updates(traffic.reports(spark, sf), as_of_us=traffic.end_of_data(spark, sf))
+    path, root = _files(u, "t_us", 4, CUTS[:2])
+    read = lambda: spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    _run(checks.matured_stream(read()), f"{root}/out", f"{root}/chk")
+    u.where(F.col("t_us") >= CUTS[1]).coalesce(1).write.mode("append").parquet(path)  # delivered again
+    _run(checks.matured_stream(read()), f"{root}/out", f"{root}/chk")
+    cols = ["scenario_id", "track_id", "predicted_us", "matched_us", "source", *[F.round(c, 6).alias(c) for c in ("error_nm", "baseline_error_nm")]]
+    got, want = spark.read.parquet(f"{root}/out").select(*cols), conformance.matured(conformance.predictions(u)).select(*cols)
+    assert want.count() > 100
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_pending_predictions_resolve_once_or_are_dropped():
+    s = 1_000_000
+
+    def run(times, *, at_once=False):
+        pending, last, done = [], None, []
+        for part in [times] if at_once else [[t] for t in times]:
+            pending, last, found = checks.resolve(pending, last, [((t * s, 0.0), ()) for t in part], 57 * s, 63 * s)
+            done += [(d[0] // s, d[-1] // s) for d in found]
+        return done, [p[0] // s for p in pending]
+
+    steady = list(range(0, 130, 5))
+    done, left = run(steady)
+    assert done == [(t, t + 60) for t in range(0, 70, 5)] and left == list(range(70, 130, 5)) and run(steady, at_once=True) == (done, left)
+    # One update resolves several; the first in time counts; a late one resolves none.
+    assert run([0, 2, 4, 14, 24, 34, 44, 54, 61])[0] == [(0, 61), (2, 61), (4, 61)]
+    assert run([0, 10, 20, 30, 40, 50, 64, 75]) == ([], [20, 30, 40, 50, 64, 75])
+    assert run([0, 5, 5, 4, 15, 30, 45, 60])[0] == [(0, 60)]
+    # Gone from the picture in between: nothing survives, not even at the right distance.
+    assert run([0, 10, 27, 44, 61])[0] == []

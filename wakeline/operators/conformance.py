@@ -88,6 +88,11 @@ def matured(predicted: DataFrame, *, horizon_s: float = HORIZON_S, tolerance_s:
     ahead = order.rangeBetween(lo, hi)
     hit = F.first(F.struct("t_us", "lat", "lon", "callsign", "run_no")).over(ahead)
     found = drop_halo(run.withColumn("hit", hit)).where(F.col("hit.run_no") == F.col("run_no"))
+    return judged(found)
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Errors of predictions that have met the update that resolves them (`hit`)."""
     found = computed_once(found, "error_nm", geo.haversine_nm("p_lat", "p_lon", "hit.lat", "hit.lon"))
     return found.select(
         *_TRACK, F.col("icao24"), F.col("t_us").alias("predicted_us"), F.col("hit.t_us").alias("matched_us"),

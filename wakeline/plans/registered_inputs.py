@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
@@ -13,6 +14,7 @@ from wakeline.plans import live
 from wakeline.plans.registered import AS_OF, EPOCH, query, rnd, scenario_table, sky, updates
 from wakeline.session import cut_lineage, shared_folder
 from wakeline.sources import contracts, scenarios, streams, traffic
+from wakeline.streaming import checks
 
 REF_LAT, REF_LON = 40.6, -100.0
 
@@ -464,6 +466,39 @@ def j08(spark, sf):
     return made.join(m, ["scenario_id", "track_id"], "left").fillna(0, ["checked"])
 
 
+def streamed(stream_of, table: DataFrame, time: str, parts: int = 4) -> DataFrame:
+    """What a stream over `table`, delivered in `parts` files in order of time, has written when all is read.
+
+    The first half is read before a restart from the checkpoint.
+    """
+    spark = table.sparkSession
+    folder = f"{shared_folder(spark)}/wakeline/stream-{uuid.uuid4().hex}"
+    held = cut_lineage(table)
+    edges = held.agg(F.percentile_approx(time, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    provider, chosen = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, chosen)
+    bounds = [None, *sorted(set(edges)), None]
+    try:
+        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            part = held.where((F.lit(lo is None) | (F.col(time) > F.lit(lo))) & (F.lit(hi is None) | (F.col(time) <= F.lit(hi))))
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            if k in (1, len(bounds) - 2):
+                source = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+                sink = stream_of(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+                sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("j08_streamed_checks")
+def j08_streamed(spark, sf):
+    """The checks of d05 from a stream of track updates, over a restart."""
+    m = streamed(checks.matured_stream, updates(spark, sf), "t_us")
+    return rnd(m.select("scenario_id", "track_id", "predicted_us", "matched_us", "error_nm", "baseline_error_nm"), 4, "error_nm", "baseline_error_nm")
+
+
 @query("j10_scan_clock")
 def j10(spark, sf):
     p = picture.at_ticks(updates(spark, sf), until_us=traffic.end_of_data(spark, sf))
