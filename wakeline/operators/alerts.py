@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from wakeline.functions import labels
+from wakeline.operators import segments
+from wakeline.operators.slices import SLICE_S
 
 # Fixed values that results depend on.
 CLEAR_AFTER_SCANS = 3
@@ -90,86 +93,145 @@ def last_per_scan(detections: DataFrame, arrival: str) -> DataFrame:
 
 
 def with_islands(detections: DataFrame, *, by: list[str] | None = None, tick_s: float = 1.0,
-                 clear_after: int = CLEAR_AFTER_SCANS) -> DataFrame:
+                 clear_after: int = CLEAR_AFTER_SCANS, slice_s: float = SLICE_S) -> DataFrame:
     """Mark the uninterrupted spell (island) every detection belongs to.
 
     A spell survives fewer than `clear_after` missed scans, and ends at once
     when a member track vanishes. Adds `raised_us`, `opens` and `clear_us`
-    (the scan that clears the spell, on its last detection only).
-    There is at most one row per key and scan, so a window over a key is
-    bounded by the number of scans.
+    (the scan that clears the spell, on its last detection only). There is at
+    most one row per key and scan; a key is scanned slice by slice, so one that
+    alerts for ever is not one task's work.
     """
-    tick = int(tick_s * 1e6)
-    keys = [*(by or []), *KEY]
-    w = Window.partitionBy(*keys).orderBy("tick_us")
-    t = F.col("tick_us")
-    prev, prev_gone, nxt = F.lag("tick_us").over(w), F.lag("vanish_tick_us").over(w), F.lead("tick_us").over(w)
+    tick, arms = int(tick_s * 1e6), by or []
+    keys = [*arms, *KEY]
+    t, prev, nxt = F.col("tick_us"), F.col("prev.tick_us"), F.col("next.tick_us")
     limit = (clear_after + 1) * tick
-    opens = prev.isNull() | (t - prev >= limit) | F.coalesce(prev_gone < t, F.lit(False))
+    beside = segments.neighbours(segments.sliced(detections, "tick_us", slice_s * 1e6), keys, "tick_us", ["tick_us", "vanish_tick_us"], arms)
+    opens = prev.isNull() | (t - prev >= limit) | F.coalesce(F.col("prev.vanish_tick_us") < t, F.lit(False))
     ends = nxt.isNull() | (nxt - t >= limit) | F.coalesce(F.col("vanish_tick_us") < nxt, F.lit(False))
-    marked = detections.select("*", opens.alias("opens"), ends.alias("ends"))
-    return marked.select(
-        "*",
-        F.last(F.when(F.col("opens"), t), ignorenulls=True)
-        .over(w.rowsBetween(Window.unboundedPreceding, 0))
-        .alias("raised_us"),
-        F.when(F.col("ends"), F.least(t + clear_after * tick, F.col("vanish_tick_us"))).alias("clear_us"),
-    ).drop("ends")
-
-
-def _beats(batches: Iterator[pa.RecordBatch], key_names: list[str], every_us: int):
-    """Greedy heartbeat: flag detections at least `every_us` after the last publication."""
-    carry_key, last_pub = None, 0
+    marked = beside.select(*detections.columns, segments.SLICE, opens.alias("opens"), F.when(ends, F.least(t + clear_after * tick, F.col("vanish_tick_us"))).alias("clear_us"))
+    return segments.filled(marked, keys, "tick_us", "raised_us", F.when(F.col("opens"), t), arms)
+
+
+def _spells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    """Key and ticks of each spell's part in a slice, whole even where batches cut it."""
+    key, held = None, []
     for batch in batches:
         n = batch.num_rows
-        flags = np.zeros(n, dtype=bool)
-        if n:
-            ticks = batch.column("tick_us").to_numpy()
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in key_names]
-            change = np.ones(n, dtype=bool)
-            change[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            starts = np.append(np.flatnonzero(change), n)
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                key = tuple(c[lo] for c in cols)
-                if key != carry_key:
-                    last_pub = ticks[lo]
-                pos = lo
-                while True:
-                    pos = lo + int(np.searchsorted(ticks[lo:hi], last_pub + every_us))
-                    if pos >= hi:
-                        break
-                    flags[pos] = True
-                    last_pub = ticks[pos]
-                carry_key = key
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(flags)], names=[*batch.schema.names, "beat"]
-        )
+        if not n:
+            continue
+        ticks = batch.column("tick_us").to_numpy()
+        columns = [batch.column(k).to_pylist() for k in names]
+        cuts = [0, *(i for i in range(1, n) if any(c[i] != c[i - 1] for c in columns)), n]
+        for lo, hi in zip(cuts, cuts[1:]):
+            own = tuple(c[lo] for c in columns)
+            if key is not None and own != key:
+                yield key, np.concatenate(held)
+                held = []
+            key = own
+            held.append(ticks[lo:hi])
+    if key is not None:
+        yield key, np.concatenate(held)
+
+
+def _publications(ticks: np.ndarray, last: int, every_us: int) -> list[int]:
+    """Places in `ticks` that are published, each the first at least `every_us` after the one before, from `last` on."""
+    out, at = [], 0
+    while (at := at + int(np.searchsorted(ticks[at:], last + every_us))) < len(ticks):
+        out.append(at)
+        last = int(ticks[at])
+    return out
+
+
+def _summaries(batches: Iterator[pa.RecordBatch], names: list[str], every_us: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """For each part of a spell: the ticks that may be its first publication, and the last publication each leads to."""
+    rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    for key, ticks in _spells(batches, names):
+        # The publication before was made at the part's first tick at the latest.
+        starts = ticks[: int(np.searchsorted(ticks, ticks[0] + every_us)) + 1]
+        exits = [int(ticks[p[-1]]) if (p := _publications(ticks, int(s), every_us)) else int(s) for s in starts]
+        rows.append((*key, starts.tolist(), exits))
+        if len(rows) == 4096:
+            yield batch()
+            rows = []
+    if rows:
+        yield batch()
+
+
+def _chained(batches: Iterator[pa.RecordBatch], names: list[str], every_us: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of each part in order of slice, the publication before it. A spell is published when it is raised."""
+    key, last = None, 0
+    for batch in batches:
+        rows = batch.to_pylist()
+        for r in rows:
+            if (own := tuple(r[k] for k in names)) != key:
+                key, last = own, r["raised_us"]
+            r["published_us"] = last
+            start = int(np.searchsorted(r["starts"], last + every_us))
+            last = r["exits"][start] if start < len(r["starts"]) else last
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _beats(batches: Iterator[pa.RecordBatch], names: list[str], every_us: int) -> Iterator[pa.RecordBatch]:
+    """Flag the detections that are published, from the publication before their slice on."""
+    key, last = None, 0
+    for batch in batches:
+        flags, n = np.zeros(batch.num_rows, bool), batch.num_rows
+        ticks, before = batch.column("tick_us").to_numpy(), batch.column("published_us").to_numpy()
+        columns = [batch.column(k).to_pylist() for k in names]
+        cuts = [0, *(i for i in range(1, n) if any(c[i] != c[i - 1] for c in columns)), n] if n else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            own = tuple(c[lo] for c in columns)
+            if own != key:
+                key, last = own, int(before[lo])
+            for at in _publications(ticks[lo:hi], last, every_us):
+                flags[lo + at] = True
+                last = int(ticks[lo + at])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], names=[*batch.schema.names, "beat"])
 
 
 def with_heartbeats(islands: DataFrame, *, by: list[str] | None = None, every_s: float = HEARTBEAT_S) -> DataFrame:
-    """Add `beat` to detections that republish a running alert.
+    """Add `beat` to detections that republish a running alert (rows of `with_islands`).
 
-    The recurrence looks back to the previous publication, so it is a fold. It
-    needs the partitioning of the island window and states its order, which the
-    window leaves for free; one row of state crosses Arrow batches.
+    Each publication depends on the one before, along the whole spell. What a
+    slice does to it is a small table: for each of the few detections that may
+    be published first, the last one that then is. Tables are chained along a
+    spell, and every slice is replayed from what it inherits.
     """
-    names = [*(by or []), *KEY, "raised_us"]
-    every = int(every_s * 1e6)
-    schema = StructType([*islands.schema.fields, StructField("beat", BooleanType())])
-    ordered = islands.sortWithinPartitions(*(by or []), *KEY, "tick_us")
-    return ordered.mapInArrow(lambda it: _beats(it, names, every), schema)
+    arms = by or []
+    names, every = [*arms, *KEY, "raised_us"], int(every_s * 1e6)
+    fields = [f for f in islands.schema.fields if f.name in (*names, segments.SLICE)]
+    order = {f.name: f for f in fields}
+    parts = [*names, segments.SLICE]
+    keyed = StructType([order[n] for n in parts])
+    table = StructType([*keyed.fields, StructField("starts", ArrayType(LongType())), StructField("exits", ArrayType(LongType()))])
+    chain = StructType([*keyed.fields, StructField("published_us", LongType())])
+    table_arrow, chain_arrow = to_arrow_schema(table), to_arrow_schema(chain)
+    width = max(1, int(islands.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = islands.repartition(width, *parts).sortWithinPartitions(*parts, "tick_us")
+    summed = rows.select(*parts, "tick_us").mapInArrow(lambda it: _summaries(it, parts, every, table_arrow), table)
+    linked = summed.repartition(width, *names).sortWithinPartitions(*parts).mapInArrow(lambda it: _chained(it, names, every, chain_arrow), chain)
+    inherited = segments.inherit(islands, linked, names, arms)
+    dealt = inherited.repartition(width, *parts).sortWithinPartitions(*parts, "tick_us")
+    schema = StructType([*inherited.schema.fields, StructField("beat", BooleanType())])
+    return dealt.mapInArrow(lambda it: _beats(it, parts, every), schema).drop("published_us", segments.SLICE)
 
 
 def lifecycle(
     detections: DataFrame, *, last_tick_us: int, by: list[str] | None = None, tick_s: float = 1.0,
-    clear_after: int = CLEAR_AFTER_SCANS, heartbeat_s: float = HEARTBEAT_S, sustain: bool = True,
+    clear_after: int = CLEAR_AFTER_SCANS, heartbeat_s: float = HEARTBEAT_S, sustain: bool = True, slice_s: float = SLICE_S,
 ) -> DataFrame:
     """NEW, SUSTAINED and CLEARED alerts for detections at scan ticks.
 
     `by` names extra columns (sweep arms) that keep independent lifecycles.
     """
     arms = by or []
-    spells = with_islands(detections, by=arms, tick_s=tick_s, clear_after=clear_after)
+    spells = with_islands(detections, by=arms, tick_s=tick_s, clear_after=clear_after, slice_s=slice_s)
     if sustain:
         spells = with_heartbeats(spells, by=arms, every_s=heartbeat_s)
     else:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.operators.quantiles import Quantile, quantiles
+from wakeline.operators.slices import SLICE_S, drop_halo, with_halo
 from wakeline.operators.truth import PAIR
 
 # Fixed values that results depend on.
@@ -137,16 +138,21 @@ def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
 _AIRCRAFT = ["scenario_id", "icao24"]
 
 
-def attribute(advisories: DataFrame, manoeuvres: DataFrame, window_s: float = ATTRIBUTION_WINDOW_S) -> DataFrame:
+def attribute(advisories: DataFrame, manoeuvres: DataFrame, window_s: float = ATTRIBUTION_WINDOW_S, slice_s: float = SLICE_S) -> DataFrame:
     """Each advisory (`at_s`) with the most recent manoeuvre at most `window_s` before it.
 
     An as-of join over the union of both streams, so no advisory meets more
     than one manoeuvre. Manoeuvres sort before advisories at the same instant.
+    An aircraft is cut into time slices, which see manoeuvres of the window before.
     """
-    m = manoeuvres.select(*_AIRCRAFT, "at_s", F.lit(0).alias("is_advisory"), F.struct("at_s", "kind").alias("m"))
+    # Of manoeuvres at one instant the first by name stands for all.
+    m = manoeuvres.groupBy(*_AIRCRAFT, "at_s").agg(F.min("kind").alias("kind"))
+    m = m.select(*_AIRCRAFT, "at_s", F.lit(0).alias("is_advisory"), F.struct("at_s", "kind").alias("m"))
     a = advisories.select(*_AIRCRAFT, "at_s", F.lit(1).alias("is_advisory"), F.lit(None).cast("struct<at_s:double,kind:string>").alias("m"))
-    w = Window.partitionBy(*_AIRCRAFT).orderBy("at_s", "is_advisory", F.col("m.kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    near = m.unionByName(a).withColumn("cause", F.last("m", ignorenulls=True).over(w)).where("is_advisory = 1")
+    both = m.unionByName(a).withColumn("t_us", (F.col("at_s") * 1e6).cast("long"))
+    seen = with_halo(both, before_s=window_s + 1.0, slice_s=slice_s)
+    w = Window.partitionBy(*_AIRCRAFT, "slice").orderBy("at_s", "is_advisory").rowsBetween(Window.unboundedPreceding, 0)
+    near = drop_halo(seen.withColumn("cause", F.last("m", ignorenulls=True).over(w))).where("is_advisory = 1")
     lag = F.col("at_s") - F.col("cause.at_s")
     ok = F.coalesce(lag <= window_s, F.lit(False))
     return near.select(

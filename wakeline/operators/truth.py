@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
 from wakeline.functions.once import computed_once
+from wakeline.operators import segments
+from wakeline.operators.slices import SLICE_S
 
 # Fixed values that results depend on.
 EVENT_BRIDGE_S = 30
@@ -56,14 +58,16 @@ def violations(truth: DataFrame, *, horizontal_nm: float = 5.0, vertical_ft: flo
     return measured.where(F.col("horizontal_nm") < horizontal_nm).drop("a_lat", "a_lon", "b_lat", "b_lon")
 
 
-def conflict_events(found: DataFrame, bridge_s: int = EVENT_BRIDGE_S) -> DataFrame:
-    """Merge violations of a pair no more than `bridge_s` apart into events."""
-    w = Window.partitionBy(*PAIR).orderBy("sec")
-    gap = F.col("sec") - F.lag("sec").over(w)
-    marked = found.withColumn("opens", F.coalesce(gap > bridge_s, F.lit(True)).cast("int"))
+def conflict_events(found: DataFrame, bridge_s: int = EVENT_BRIDGE_S, slice_s: float = SLICE_S) -> DataFrame:
+    """Merge violations of a pair no more than `bridge_s` apart into events.
+
+    A pair's violations are scanned slice by slice, however many they are.
+    """
+    beside = segments.neighbours(segments.sliced(found, "sec", slice_s), PAIR, "sec", ["sec"])
+    gap = F.col("sec") - F.col("prev.sec")
     return (
-        marked.withColumn("event_no", F.sum("opens").over(w).cast("int"))
-        .groupBy(*PAIR, "event_no")
+        segments.counted(beside, PAIR, "sec", "event_no", F.coalesce(gap > bridge_s, F.lit(True)))
+        .groupBy(*PAIR, F.col("event_no").cast("int").alias("event_no"))
         .agg(
             F.min("sec").alias("started_s"), F.max("sec").alias("ended_s"),
             F.min("horizontal_nm").alias("min_horizontal_nm"), F.min("vertical_ft").alias("min_vertical_ft"),
