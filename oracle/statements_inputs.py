@@ -248,10 +248,17 @@ HAVING count(DISTINCT CAST('0x' || substr(md5('3|' || icao24), 1, 8) AS BIGINT)/
 _w2, _v2 = "radians(f_turn_rate_deg_s)", "(f_ground_speed_kt/3600.0)"
 _ra = f"CASE WHEN abs({_w2}) > 1e-9 THEN {_v2}/nullif({_w2},0)*sin({_w2}*60.0)-{_v2}*60.0 ELSE 0.0 END"
 _rc = f"CASE WHEN abs({_w2}) > 1e-9 THEN {_v2}/nullif({_w2},0)*(1.0-cos({_w2}*60.0)) ELSE 0.0 END"
-part("scored", f"""
-SELECT 'dead_reckoning' AS model, scenario_id, horizon_s, phase, base_nm, sqrt(y_along*y_along+y_cross*y_cross) AS e, abs(y_alt) AS ae FROM ds60
-UNION ALL SELECT 'persistence', scenario_id, horizon_s, phase, base_nm, sqrt(power(y_along+{_v2}*60.0,2)+y_cross*y_cross), abs(y_alt+f_vertical_rate_fpm/60.0*60.0) FROM ds60
-UNION ALL SELECT 'constant_turn', scenario_id, horizon_s, phase, base_nm, sqrt(power(y_along-({_ra}),2)+power(y_cross-({_rc}),2)), abs(y_alt) FROM ds60""", "ds60")
+def physics(h: float) -> str:
+    """Scores of the three physics models at a horizon."""
+    ra, rc = _ra.replace("*60.0", f"*{h}"), _rc.replace("*60.0", f"*{h}")
+    ds = f"ds{int(h)}"
+    return f"""
+SELECT 'dead_reckoning' AS model, scenario_id, horizon_s, phase, base_nm, sqrt(y_along*y_along+y_cross*y_cross) AS e, abs(y_alt) AS ae FROM {ds}
+UNION ALL SELECT 'persistence', scenario_id, horizon_s, phase, base_nm, sqrt(power(y_along+{_v2}*{h},2)+y_cross*y_cross), abs(y_alt+f_vertical_rate_fpm/60.0*{h}) FROM {ds}
+UNION ALL SELECT 'constant_turn', scenario_id, horizon_s, phase, base_nm, sqrt(power(y_along-({ra}),2)+power(y_cross-({rc}),2)), abs(y_alt) FROM {ds}"""
+
+
+part("scored", " UNION ALL ".join(physics(h) for h in (30.0, 60.0, 120.0)), "ds30", "ds60", "ds120")
 part("strat", """
 SELECT *, 'all' AS stratum FROM scored UNION ALL
 SELECT *, CASE phase WHEN 'cruise' THEN 'cruise' WHEN 'turn' THEN 'turning' ELSE 'climbing_or_descending' END FROM scored""", "scored")
@@ -259,7 +266,7 @@ stmt("e10_scores_by_stratum", """
 SELECT horizon_s, model, stratum, round(median(e),4) AS median_nm, round(quantile_cont(e, 0.9),4) AS p90_nm, round(avg(e),4) AS mean_nm, round(median(ae),1) AS median_altitude_ft,
  round(CASE WHEN median(base_nm) > 0 THEN (median(base_nm)-median(e))/median(base_nm) ELSE 0.0 END,4) AS skill, count(*) AS samples FROM strat GROUP BY horizon_s, model, stratum""", "strat")
 stmt("k04_zero_model", "SELECT scenario_id, count(*) AS n, count(*) AS same FROM ds60 GROUP BY ALL", "ds60")
-stmt("k08_strata", "SELECT stratum, count(*) AS samples FROM strat WHERE model='dead_reckoning' GROUP BY ALL", "strat")
+stmt("k08_strata", "SELECT stratum, count(*) AS samples FROM strat WHERE model='dead_reckoning' AND horizon_s=60.0 GROUP BY ALL", "strat")
 stmt("k09_round_trip", "SELECT 60.0::DOUBLE AS horizon_s, count(*) AS \"rows\", true AS exact FROM ds60", "ds60")
 _ang = pmod(f"track_deg+degrees(atan2({_rc},{_ra}))")
 _dd = f"sqrt(power({_ra},2)+power({_rc},2))"
@@ -269,15 +276,59 @@ stmt("k06_predictions_with_fallback", f"""
 SELECT scenario_id, track_id, t_us, CASE WHEN usable THEN 'model' ELSE 'dead_reckoning' END AS source,
  round(CASE WHEN usable AND dd >= 1e-9 THEN {dest_lat('bla', 'ang', 'dd')} ELSE bla END,6)+0.0 AS p_lat, round(CASE WHEN usable AND dd >= 1e-9 THEN {dest_lon('bla', 'blo', 'ang', 'dd')} ELSE blo END,6)+0.0 AS p_lon,
  round(greatest(0.0, altitude_ft+vertical_rate_fpm/60.0*60.0),6)+0.0 AS p_altitude_ft FROM pk6""", "pk6")
-part("terr", "SELECT scenario_id, model, round(round(e,4),4) AS x FROM scored WHERE phase='turn' AND model <> 'persistence'", "scored")
+part("terr", "SELECT scenario_id, horizon_s, model, round(round(e,4),4) AS x FROM scored WHERE phase='turn' AND model <> 'persistence'", "scored")
 part("num_t", num("SELECT DISTINCT scenario_id FROM terr"), "terr")
 part("pk_t", picks(400, 4242, "terr").replace("FROM num ", "FROM num_t ").replace("JOIN num ", "JOIN num_t "), "num_t")
 part("draws", """
-SELECT model, b, (max(x) FILTER (lo_hit) + max(x) FILTER (hi_hit))/2.0 AS m FROM (
- SELECT model, b, x, upto > (n-1)//2 AND upto-w <= (n-1)//2 AS lo_hit, upto > n//2 AND upto-w <= n//2 AS hi_hit FROM (
-  SELECT model, b, x, w, sum(w) OVER (PARTITION BY model, b ORDER BY x) AS upto, sum(w) OVER (PARTITION BY model, b) AS n FROM (
-   SELECT model, b, x, sum(times) AS w FROM terr JOIN pk_t USING (scenario_id) GROUP BY model, b, x))) GROUP BY model, b""", "terr", "pk_t")
-stmt("e11_median_bootstrap", "SELECT model, count(*) AS resamples, round(quantile_cont(m,0.025),4) AS ci95_low, round(quantile_cont(m,0.975),4) AS ci95_high FROM draws GROUP BY model", "draws")
+SELECT horizon_s, model, b, (max(x) FILTER (lo_hit) + max(x) FILTER (hi_hit))/2.0 AS m FROM (
+ SELECT horizon_s, model, b, x, upto > (n-1)//2 AND upto-w <= (n-1)//2 AS lo_hit, upto > n//2 AND upto-w <= n//2 AS hi_hit FROM (
+  SELECT horizon_s, model, b, x, w, sum(w) OVER (PARTITION BY horizon_s, model, b ORDER BY x) AS upto, sum(w) OVER (PARTITION BY horizon_s, model, b) AS n FROM (
+   SELECT horizon_s, model, b, x, sum(times) AS w FROM terr JOIN pk_t USING (scenario_id) GROUP BY ALL))) GROUP BY horizon_s, model, b""", "terr", "pk_t")
+stmt("e11_median_bootstrap", "SELECT horizon_s, model, count(*) AS resamples, round(quantile_cont(m,0.025),4) AS ci95_low, round(quantile_cont(m,0.975),4) AS ci95_high FROM draws GROUP BY horizon_s, model", "draws")
 stmt("e11_gap_bootstrap", """
-SELECT 'constant_turn' AS model, 'dead_reckoning' AS over, round(quantile_cont(g,0.025),4) AS ci95_low, round(quantile_cont(g,0.975),4) AS ci95_high, round(quantile_cont(g,0.025),4) > 0 AS beats
-FROM (SELECT round((y.m-x.m)/y.m,6) AS g FROM draws x JOIN draws y USING (b) WHERE x.model='constant_turn' AND y.model='dead_reckoning' AND y.m > 0)""", "draws")
+SELECT horizon_s, 'constant_turn' AS model, 'dead_reckoning' AS over, round(quantile_cont(g,0.025),4) AS ci95_low, round(quantile_cont(g,0.975),4) AS ci95_high, round(quantile_cont(g,0.025),4) > 0 AS beats
+FROM (SELECT horizon_s, round((y.m-x.m)/y.m,6) AS g FROM draws x JOIN draws y USING (horizon_s, b) WHERE x.model='constant_turn' AND y.model='dead_reckoning' AND y.m > 0) GROUP BY horizon_s""", "draws")
+
+# -- ridge regression: sums of products, then elimination column by column ----
+
+_TARGETS = ["y_along", "y_cross", "y_alt"]
+part("asg", """
+SELECT d.*, s.split FROM (SELECT * FROM ds30 UNION ALL SELECT * FROM ds60 UNION ALL SELECT * FROM ds120) d JOIN (
+ SELECT scenario_id, CASE WHEN idx < n_all*60//100 THEN 'train' WHEN idx < n_all*60//100 + greatest(n_all*15//100, 1) THEN 'validation' ELSE 'test_same_family' END AS split FROM numnom
+ UNION ALL SELECT scenario_id, 'test_shifted' FROM scn WHERE family='shifted') s USING (scenario_id)""", "ds30", "ds60", "ds120", "numnom", "scn")
+part("mom", "SELECT horizon_s, " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) < 1e-9 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}" for c in _FC)
+     + ", " + ", ".join(f"avg({y}) AS m_{y}" for y in _TARGETS) + " FROM asg WHERE split='train' GROUP BY horizon_s", "asg")
+part("zed", "SELECT horizon_s, " + ", ".join(f"({c}-m_{c})/s_{c} AS z{i}" for i, c in enumerate(_FC)) + ", " + ", ".join(f"{y}-m_{y} AS z{20 + i}" for i, y in enumerate(_TARGETS))
+     + " FROM asg JOIN mom USING (horizon_s) WHERE split='train'", "asg", "mom")
+part("sums", "SELECT horizon_s, [" + ", ".join("[" + ", ".join(f"sum(z{i}*z{j})" + ("+1.0" if i == j else "") for j in range(23)) + "]" for i in range(20)) + "] AS g FROM zed GROUP BY horizon_s", "zed")
+part("solved", """
+SELECT horizon_s, g FROM (WITH RECURSIVE step(horizon_s, k, g) AS (
+ SELECT horizon_s, 1, g FROM sums
+ UNION ALL SELECT horizon_s, k+1, list_transform(g, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v/g[k][k]) ELSE list_transform(r, lambda v, j: v-r[k]/g[k][k]*g[k][j]) END) FROM step WHERE k <= 20)
+SELECT horizon_s, g FROM step WHERE k = 21)""", "sums")
+stmt("k03_ridge_coefficients", " UNION ALL ".join(
+    [f"SELECT horizon_s, '{y}' AS target, '{n}' AS feature, round(g[{i + 1}][{21 + t}],4)+0.0 AS weight FROM solved" for t, y in enumerate(_TARGETS) for i, n in enumerate(_NAMES)]
+    + [f"SELECT horizon_s, '{y}', 'intercept', round(m_{y},4)+0.0 FROM mom" for y in _TARGETS]), "solved", "mom")
+
+
+def ridge(t: int) -> str:
+    return f"m_{_TARGETS[t]}+" + "+".join(f"({c}-m_{c})/s_{c}*g[{i + 1}][{21 + t}]" for i, c in enumerate(_FC))
+
+
+part("rscored", f"""
+SELECT 'dead_reckoning' AS model, split, horizon_s, phase, base_nm, sqrt(y_along*y_along+y_cross*y_cross) AS e, abs(y_alt) AS ae FROM asg WHERE split <> 'train'
+UNION ALL SELECT 'ridge', split, horizon_s, phase, base_nm, sqrt(power(y_along-({ridge(0)}),2)+power(y_cross-({ridge(1)}),2)), abs(y_alt-({ridge(2)}))
+FROM asg JOIN mom USING (horizon_s) JOIN solved USING (horizon_s) WHERE split <> 'train'""", "asg", "mom", "solved")
+part("rstrat", """
+SELECT *, 'all' AS stratum FROM rscored UNION ALL
+SELECT *, CASE phase WHEN 'cruise' THEN 'cruise' WHEN 'turn' THEN 'turning' ELSE 'climbing_or_descending' END FROM rscored""", "rscored")
+stmt("k03_ridge_scores", """
+SELECT split, horizon_s, model, stratum, round(median(e),4) AS median_nm, round(quantile_cont(e, 0.9),4) AS p90_nm, round(avg(e),4) AS mean_nm, round(median(ae),1) AS median_altitude_ft,
+ round(CASE WHEN median(base_nm) > 0 THEN (median(base_nm)-median(e))/median(base_nm) ELSE 0.0 END,4) AS skill, count(*) AS samples FROM rstrat GROUP BY split, horizon_s, model, stratum""", "rstrat")
+part("pk6f", f"""
+SELECT *, {dest_lat('lat', 'track_deg', _D)} AS bla, {dest_lon('lat', 'lon', 'track_deg', _D)} AS blo, sqrt(ra*ra+rc*rc) AS dd, {pmod("track_deg+degrees(atan2(rc,ra))")} AS ang FROM (
+ SELECT f.*, {ridge(0)} AS ra, {ridge(1)} AS rc, {ridge(2)} AS rv FROM fea f, mom JOIN solved USING (horizon_s) WHERE horizon_s=60.0)""", "fea", "mom", "solved")
+stmt("k06_fitted_predictions", f"""
+SELECT scenario_id, track_id, t_us, CASE WHEN whole THEN 'model' ELSE 'dead_reckoning' END AS source,
+ round(CASE WHEN whole AND dd >= 1e-9 THEN {dest_lat('bla', 'ang', 'dd')} ELSE bla END,4)+0.0 AS p_lat, round(CASE WHEN whole AND dd >= 1e-9 THEN {dest_lon('bla', 'blo', 'ang', 'dd')} ELSE blo END,4)+0.0 AS p_lon,
+ round(greatest(0.0, greatest(0.0, altitude_ft+vertical_rate_fpm/60.0*60.0)+CASE WHEN whole THEN rv ELSE 0.0 END),1)+0.0 AS p_altitude_ft FROM pk6f""", "pk6f")

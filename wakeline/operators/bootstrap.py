@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.operators.quantiles import Quantile, quantiles
+from wakeline.operators.quantiles import Quantile, quantiles, resampled_medians
+from wakeline.session import cut_lineage
 
 PAIRED_RESAMPLES = 10_000
 MEDIAN_RESAMPLES = 400
@@ -76,17 +77,15 @@ def paired_precision_delta(per_scenario: DataFrame, *, arm: str, baseline: Colum
     )
 
 
-def median_draws(errors: DataFrame, keys: list[str], resamples: int = MEDIAN_RESAMPLES, seed: int = 4242, digits: int = 5) -> DataFrame:
+def median_draws(errors: DataFrame, keys: list[str], resamples: int = MEDIAN_RESAMPLES, seed: int = 4242, digits: int = 5, width: float = 0.05) -> DataFrame:
     """Bootstrap medians per key: (keys, b, median_nm).
 
-    `errors` has scenario_id, keys and error_nm. Errors are first counted per
-    (scenario, rounded value), so each resample handles the distinct values of
-    a scenario once, weighted, instead of its rows.
+    `errors` has scenario_id, keys and error_nm, which is rounded. `width` is the
+    bucket size of the histograms; any value gives the same result.
     """
-    counts = errors.groupBy(*keys, "scenario_id", F.round("error_nm", digits).alias("error_nm")).agg(F.count("*").alias("c"))
-    p = picks(errors.select("scenario_id").distinct(), resamples, seed)
-    weighted = counts.join(p, "scenario_id").withColumn("w", F.col("c") * F.col("times"))
-    return quantiles(weighted, [*keys, "b"], "error_nm", [Quantile("median_nm", 0.5, "median")], weight="w").drop("n")
+    counts = cut_lineage(errors.groupBy(*keys, "scenario_id", F.round("error_nm", digits).alias("error_nm")).agg(F.count("*").alias("c")))
+    p = cut_lineage(picks(counts.select("scenario_id").distinct(), resamples, seed))
+    return resampled_medians(counts, p, keys, "scenario_id", "error_nm", width).withColumnRenamed("median", "median_nm")
 
 
 def median_intervals(draws: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,13 +94,13 @@ def median_intervals(draws: DataFrame, keys: list[str]) -> DataFrame:
     return q.select(*keys, F.col("n").alias("resamples"), F.round("ci95_low", 4).alias("ci95_low"), F.round("ci95_high", 4).alias("ci95_high"))
 
 
-def gap_interval(draws: DataFrame, model: str, better: str, worse: str) -> DataFrame:
-    """Interval of the relative improvement of one model over another, same picks."""
-    a = draws.where(F.col(model) == better).select("b", F.col("median_nm").alias("x"))
-    z = draws.where(F.col(model) == worse).select("b", F.col("median_nm").alias("y"))
-    gaps = a.join(z, "b").where("y > 0").select(F.round((F.col("y") - F.col("x")) / F.col("y"), 6).alias("gap"))
-    q = quantiles(gaps, [], "gap", [Quantile("ci95_low", 0.025, "linear"), Quantile("ci95_high", 0.975, "linear")])
+def gap_interval(draws: DataFrame, keys: list[str], model: str, better: str, worse: str) -> DataFrame:
+    """Per key, the interval of the relative improvement of one model over another, same picks."""
+    a = draws.where(F.col(model) == better).select(*keys, "b", F.col("median_nm").alias("x"))
+    z = draws.where(F.col(model) == worse).select(*keys, "b", F.col("median_nm").alias("y"))
+    gaps = a.join(z, [*keys, "b"]).where("y > 0").select(*keys, F.round((F.col("y") - F.col("x")) / F.col("y"), 6).alias("gap"))
+    q = quantiles(gaps, keys, "gap", [Quantile("ci95_low", 0.025, "linear"), Quantile("ci95_high", 0.975, "linear")])
     return q.select(
-        F.lit(better).alias("model"), F.lit(worse).alias("over"), F.round("ci95_low", 4).alias("ci95_low"),
+        *keys, F.lit(better).alias("model"), F.lit(worse).alias("over"), F.round("ci95_low", 4).alias("ci95_low"),
         F.round("ci95_high", 4).alias("ci95_high"), (F.col("ci95_low") > 0).alias("beats"),
     )

@@ -85,3 +85,30 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: list[Quantile]
             val = F.when(F.first(n) >= q.min_count, val)
         out.append(val.alias(q.name))
     return picked.groupBy(*keys).agg(F.first("n").alias("n"), *out)
+
+
+def resampled_medians(values: DataFrame, times: DataFrame, keys: list[str], unit: str, value: str, width: float) -> DataFrame:
+    """Median per key and resample `b`: (keys, b, median).
+
+    `values` has keys, `unit`, `value` and how often it occurs (`c`); `times`
+    has b, `unit` and how often the resample drew the unit. Values are first
+    counted in buckets, so a resample is a histogram; only buckets that hold the
+    median of some resample are then looked at value by value. What is shuffled
+    is bounded by buckets times resamples, not by values.
+    """
+    ids = [*keys, "b"]
+    bucketed = values.withColumn("bucket", F.floor(F.col(value) / width))
+    coarse = bucketed.groupBy(*keys, unit, "bucket").agg(F.sum("c").alias("c"))
+    hist = coarse.join(times, unit).groupBy(*ids, "bucket").agg(F.sum(F.col("c") * F.col("times")).alias("c"))
+    along, whole = Window.partitionBy(*ids).orderBy("bucket"), Window.partitionBy(*ids)
+    cum = hist.select("*", F.sum("c").over(along).alias("upto"), F.sum("c").over(whole).alias("n"))
+    middle = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    below = F.col("upto") - F.col("c")
+    held = cum.withColumn("rank", F.explode(F.filter(middle, lambda r: (r >= below) & (r < F.col("upto"))))).select(*ids, "bucket", (F.col("rank") - below).alias("place"))
+    some = bucketed.join(held.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi")
+    inside = some.join(times, unit).join(held.select(*ids, "bucket").distinct(), [*ids, "bucket"], "left_semi")
+    counts = inside.groupBy(*ids, "bucket", value).agg(F.sum(F.col("c") * F.col("times")).alias("c"))
+    exact = counts.select("*", F.sum("c").over(Window.partitionBy(*ids, "bucket").orderBy(value)).alias("upto"))
+    found = held.join(exact, [*ids, "bucket"]).where((F.col("place") >= F.col("upto") - F.col("c")) & (F.col("place") < F.col("upto")))
+    # One row where the middle is one value, else two.
+    return found.groupBy(*ids).agg(((F.min(value) + F.max(value)) / 2.0).alias("median"))

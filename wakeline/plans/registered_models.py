@@ -72,8 +72,8 @@ def e14(spark, sf):
     return rnd(features.describe(f), 4, "mean", "std", "min", "max")
 
 
-def _physics_scores(spark, sf, horizon_s=60.0):
-    d = cut_lineage(dataset(spark, sf, horizon_s))
+def _physics_scores(spark, sf):
+    d = cut_lineage(dataset(spark, sf, training.HORIZONS_S))
     out = None
     for kind in ("persistence", "dead_reckoning", "constant_turn"):
         s = training.scored(training.physics_residuals(d, kind), kind)
@@ -114,22 +114,23 @@ def k06(spark, sf):
     return rnd(p.select("scenario_id", "track_id", "t_us", "source", "p_lat", "p_lon", "p_altitude_ft"), 6, "p_lat", "p_lon", "p_altitude_ft")
 
 
+def _median_draws(spark, sf):
+    s = _physics_scores(spark, sf).where("phase = 'turn' and model <> 'persistence'").withColumn("error_nm", F.round("error_nm", 4))
+    return cut_lineage(bootstrap.median_draws(s, ["horizon_s", "model"], digits=4))
+
+
 @query("e11_median_bootstrap")
 def e11(spark, sf):
-    s = cut_lineage(_physics_scores(spark, sf).where("phase = 'turn' and model <> 'persistence'").withColumn("error_nm", F.round("error_nm", 4)))
-    draws = cut_lineage(bootstrap.median_draws(s, ["model"], digits=4))
-    return bootstrap.median_intervals(draws, ["model"])
+    return bootstrap.median_intervals(_median_draws(spark, sf), ["horizon_s", "model"])
 
 
 @query("e11_gap_bootstrap")
 def e11_gap(spark, sf):
-    s = cut_lineage(_physics_scores(spark, sf).where("phase = 'turn' and model <> 'persistence'").withColumn("error_nm", F.round("error_nm", 4)))
-    draws = cut_lineage(bootstrap.median_draws(s, ["model"], digits=4))
-    return bootstrap.gap_interval(draws, "model", "constant_turn", "dead_reckoning")
+    return bootstrap.gap_interval(_median_draws(spark, sf), ["horizon_s"], "model", "constant_turn", "dead_reckoning")
 
 
 HELD_OUT = ["validation", "test_same_family", "test_shifted"]
-FITS = {"ridge": training.fit_ridge, "boosted": training.fit_boosted}
+FITS = {"ridge": training.fit_linear, "boosted": training.fit_boosted}
 
 
 def _assigned(spark, sf):
@@ -157,6 +158,26 @@ def k03(spark, sf):
     return _held_out_scores(spark, sf, ["ridge"])
 
 
+@query("k03_ridge_coefficients")
+def k03_coefficients(spark, sf):
+    """Weights of the standardised features for each horizon and target, and the intercept."""
+    d = _assigned(spark, sf).where("split = 'train'")
+    rows = []
+    for h in training.HORIZONS_S:
+        m = training.fit_linear(d.where(F.col("horizon_s") == h))
+        for target, b0 in zip(training.TARGETS, m.intercepts):
+            rows += [(h, target, "intercept", b0), *((h, target, f, w) for f, w in m.coefficients()[target].items())]
+    return rnd(spark.createDataFrame(rows, "horizon_s double, target string, feature string, weight double"), 4, "weight")
+
+
+@query("k06_fitted_predictions")
+def k06_fitted(spark, sf):
+    """Where the fitted model of 60 s, with its fallback, puts each update; the source says which was used."""
+    m = training.fit_linear(_assigned(spark, sf).where("split = 'train' and horizon_s = 60.0"))
+    p = conformance.predictions(m.predict(features.with_features(updates(spark, sf, lifecycle=False))))
+    return rnd(p.select("scenario_id", "track_id", "t_us", "source", "p_lat", "p_lon", "p_altitude_ft"), 4, "p_lat", "p_lon").withColumn("p_altitude_ft", F.round("p_altitude_ft", 1) + 0.0)
+
+
 @query("k05_boosted_scores")
 def k05(spark, sf):
     return _held_out_scores(spark, sf, ["boosted"]).where("model = 'boosted'")
