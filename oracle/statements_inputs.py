@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from oracle.parts import EPOCH, R, bdiff, bearing, dest_lat, dest_lon, enu_e, enu_n, hav, part, pmod, statement, un_lat, un_lon, wrap180
-from oracle.statements import END, erf, picks, num, rnd, stmt
+import re
+
+from oracle.parts import DEPS, EPOCH, PARTS, R, bdiff, bearing, dest_lat, dest_lon, enu_e, enu_n, hav, part, pmod, statement, un_lat, un_lon, wrap180
+from oracle.statements import _REC, END, erf, picks, num, rnd, stmt
 
 AS_OF = EPOCH + 200000000
 A, O = "40.6", "-100.0"
@@ -332,3 +334,27 @@ stmt("k06_fitted_predictions", f"""
 SELECT scenario_id, track_id, t_us, CASE WHEN whole THEN 'model' ELSE 'dead_reckoning' END AS source,
  round(CASE WHEN whole AND dd >= 1e-9 THEN {dest_lat('bla', 'ang', 'dd')} ELSE bla END,4)+0.0 AS p_lat, round(CASE WHEN whole AND dd >= 1e-9 THEN {dest_lon('bla', 'blo', 'ang', 'dd')} ELSE blo END,4)+0.0 AS p_lon,
  round(greatest(0.0, greatest(0.0, altitude_ft+vertical_rate_fpm/60.0*60.0)+CASE WHEN whole THEN rv ELSE 0.0 END),1)+0.0 AS p_altitude_ft FROM pk6f""", "pk6f")
+
+# -- the fitted model in the conformance chain ---------------------------------
+
+part("cal", """
+SELECT CASE model WHEN 'ridge' THEN 'model' ELSE model END AS source, 60.0::DOUBLE AS horizon_s, round(median(e),4) AS typical_nm, count(*) AS samples
+FROM rscored WHERE split='test_same_family' AND phase='turn' AND horizon_s=60.0 GROUP BY model""", "rscored")
+stmt("e15_served_calibration", "SELECT * FROM cal", "cal")
+_USED = "whole AND dd >= 1e-9"
+part("chkf", f"""
+SELECT x.scenario_id, x.track_id, x.icao24, x.t_us AS predicted_us, y.t_us AS matched_us, y.callsign, x.source,
+ {hav('x.plat', 'x.plon', 'y.lat', 'y.lon')} AS error_nm, {hav('x.bla', 'x.blo', 'y.lat', 'y.lon')} AS base_nm FROM (
+ SELECT r.scenario_id, r.track_id, r.icao24, r.t_us, r.run_no, q.bla, q.blo, CASE WHEN whole THEN 'model' ELSE 'dead_reckoning' END AS source,
+  CASE WHEN {_USED} THEN {dest_lat('q.bla', 'ang', 'dd')} ELSE q.bla END AS plat, CASE WHEN {_USED} THEN {dest_lon('q.bla', 'q.blo', 'ang', 'dd')} ELSE q.blo END AS plon,
+  (SELECT min(u.t_us) FROM runr u WHERE u.scenario_id=r.scenario_id AND u.track_id=r.track_id AND u.t_us BETWEEN r.t_us+57000000 AND r.t_us+63000000) AS m_us
+ FROM runr r JOIN pk6f q USING (scenario_id, track_id, t_us)) x
+JOIN runr y ON y.scenario_id=x.scenario_id AND y.track_id=x.track_id AND y.t_us=x.m_us AND y.run_no=x.run_no""", "runr", "pk6f")
+part("devf", """
+SELECT * FROM (SELECT c.*, coalesce(greatest(1.5, 3.0*typical_nm), 1.5) AS threshold_nm FROM chkf c LEFT JOIN cal USING (source)) WHERE error_nm > threshold_nm
+QUALIFY row_number() OVER (PARTITION BY scenario_id, track_id, matched_us ORDER BY error_nm DESC, predicted_us) = 1""", "chkf", "cal")
+stmt("e02_fitted_deviations", f"SELECT scenario_id, track_id, matched_us, predicted_us, source, round(error_nm,3)+0.0 AS error_nm, round(base_nm,3)+0.0 AS baseline_error_nm, round(threshold_nm,3)+0.0 AS threshold_nm FROM devf", "devf")
+_FITTED = {"devr": "devf", "scanr": "scanf", "cdet": "cdetf", "cisl": "cislf", "adv": "advf", "att": "attf", "cout": "coutf"}
+for _old, _new in list(_FITTED.items())[1:]:
+    part(_new, re.sub(r"\b(" + "|".join(_FITTED) + r")\b", lambda m: _FITTED[m[0]], PARTS[_old]), *[_FITTED.get(d, d) for d in DEPS[_old]])
+stmt("k12_fitted_evaluation", f"SELECT family, kind, {_REC} FROM coutf JOIN scn USING (scenario_id) GROUP BY ALL", "coutf", "scn")

@@ -71,10 +71,14 @@ def forensics(s: Sky, truth_rows: DataFrame) -> DataFrame:
     return scoring.against_truth(raised, truth.closest_approach(truth_rows, raised))
 
 
-def advisories(s: Sky, epoch_us: int, predicted: DataFrame | None = None) -> DataFrame:
-    """Every NEW non-conformance alert as (scenario, aircraft, seconds)."""
+def advisories(s: Sky, epoch_us: int, predicted: DataFrame | None = None, calibration: DataFrame | None = None) -> DataFrame:
+    """Every NEW non-conformance alert as (scenario, aircraft, seconds).
+
+    `predicted` are a model's predictions instead of dead reckoning, and
+    `calibration` its fitted typical errors instead of the fixed ones.
+    """
     p = conformance.predictions(s.updates) if predicted is None else predicted
-    found = conformance.per_scan(conformance.deviations(conformance.matured(p)), s.picture)
+    found = conformance.per_scan(conformance.deviations(conformance.matured(p), calibration=calibration), s.picture)
     life = alerts.lifecycle(alerts.from_deviations(found), last_tick_us=s.until_us, sustain=False)
     return life.where("state = 'new'").select(
         "scenario_id", F.substring_index(F.col("track_ids")[0], "-", -1).alias("icao24"),
@@ -83,8 +87,8 @@ def advisories(s: Sky, epoch_us: int, predicted: DataFrame | None = None) -> Dat
 
 
 def conformance_evaluation(s: Sky, manoeuvres: DataFrame, scenarios: DataFrame, epoch_us: int,
-                           predicted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                           predicted: DataFrame | None = None, calibration: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scorecard, manoeuvre outcomes, attributed advisories)."""
-    attributed = cut_lineage(scoring.attribute(advisories(s, epoch_us, predicted), manoeuvres))
+    attributed = cut_lineage(scoring.attribute(advisories(s, epoch_us, predicted, calibration), manoeuvres))
     outcome = cut_lineage(scoring.manoeuvre_outcomes(manoeuvres, attributed))
     return scoring.conformance_scorecard(outcome, attributed, scenarios), outcome, attributed

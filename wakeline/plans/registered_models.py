@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.operators import bootstrap, conformance, features
-from wakeline.plans import training
-from wakeline.plans.registered import EPOCH, query, rnd, scenario_table, updates
+from wakeline.operators import bootstrap, conformance, features, scoring
+from wakeline.plans import evaluation, training
+from wakeline.plans.registered import EPOCH, evaluation_inputs, query, rnd, scenario_table, updates
 from wakeline.session import cut_lineage
 from wakeline.sources import traffic
 
@@ -170,11 +170,47 @@ def k03_coefficients(spark, sf):
     return rnd(spark.createDataFrame(rows, "horizon_s double, target string, feature string, weight double"), 4, "weight")
 
 
+def _served(spark, sf):
+    """The model fitted for 60 s, and typical errors of its predictions and of dead reckoning in turns of the same family."""
+    d = _assigned(spark, sf).where(F.col("horizon_s") == conformance.HORIZON_S)
+    m = training.fit_linear(d.where("split = 'train'"))
+    test = d.where("split = 'test_same_family'")
+    errors = training.scored(training.zero_residuals(test), "dead_reckoning").unionByName(training.scored(m.predict(test), m.name))
+    chosen = spark.createDataFrame([(conformance.HORIZON_S, m.name)], "horizon_s double, winner string")
+    return m, cut_lineage(training.calibration(training.score_table(cut_lineage(errors)), chosen))
+
+
+def _model_predictions(model, updated):
+    return conformance.predictions(model.predict(features.with_features(updated)))
+
+
+@query("e15_served_calibration")
+def e15_served(spark, sf):
+    return _served(spark, sf)[1]
+
+
+@query("e02_fitted_deviations")
+def e02_fitted(spark, sf):
+    """Worst deviations from the fitted model, and from dead reckoning where it falls back, beyond their fitted thresholds."""
+    m, calibration = _served(spark, sf)
+    found = conformance.deviations(conformance.matured(_model_predictions(m, updates(spark, sf, lifecycle=False))), calibration=calibration)
+    return rnd(found.select("scenario_id", "track_id", "matched_us", "predicted_us", "source", "error_nm", "baseline_error_nm", "threshold_nm"), 3, "error_nm", "baseline_error_nm", "threshold_nm")
+
+
+@query("k12_fitted_evaluation")
+def k12_fitted(spark, sf):
+    """k12 with the fitted model and its fitted thresholds in the chain."""
+    m, calibration = _served(spark, sf)
+    s, _, sc = evaluation_inputs(spark, sf)
+    out = evaluation.conformance_evaluation(s, traffic.manoeuvres(spark, sf), sc, EPOCH, _model_predictions(m, s.updates), calibration)[1]
+    return scoring.recall_by(out.join(sc.select("scenario_id", "family"), "scenario_id"), "family", "kind")
+
+
 @query("k06_fitted_predictions")
 def k06_fitted(spark, sf):
     """Where the fitted model of 60 s, with its fallback, puts each update; the source says which was used."""
     m = training.fit_linear(_assigned(spark, sf).where("split = 'train' and horizon_s = 60.0"))
-    p = conformance.predictions(m.predict(features.with_features(updates(spark, sf, lifecycle=False))))
+    p = _model_predictions(m, updates(spark, sf, lifecycle=False))
     return rnd(p.select("scenario_id", "track_id", "t_us", "source", "p_lat", "p_lon", "p_altitude_ft"), 4, "p_lat", "p_lon").withColumn("p_altitude_ft", F.round("p_altitude_ft", 1) + 0.0)
 
 
