@@ -158,6 +158,13 @@ SELECT field, CASE WHEN nc = 0 THEN 'removed' ELSE 'newly_required' END AS chang
 stmt("c05_confirmed_only", "SELECT scenario_id, count(*) AS n FROM upd WHERE state='confirmed' GROUP BY ALL", "upd")
 stmt("c07_clock_guard", f"SELECT scenario_id, count(*) FILTER (t_us <= {EPOCH + 130000000}) AS on_time, count(*) FILTER (t_us > {EPOCH + 130000000}) AS ahead FROM rep GROUP BY ALL", "rep")
 stmt("e16_counters", "SELECT updated_us//60000000*60000000 AS window_us, kind, st AS state, count(*) AS n FROM life GROUP BY ALL", "life")
+stmt("e16_live_tracks", """
+SELECT scenario_id, m*60000000 AS at_us, (SELECT count(*) FROM pic p WHERE p.scenario_id=g.scenario_id AND p.tick_us=m*60000000) AS n FROM (
+ SELECT scenario_id, unnest(generate_series((min(tick_us)+59999999)//60000000, (max(tick_us)+1000000+59999999)//60000000)) AS m FROM pic GROUP BY scenario_id) g""", "pic")
+part("spell", f"SELECT scenario_id, kind, raised_us AS s, max(clear_us) FILTER (clear_us <= {END}) AS e FROM isl GROUP BY scenario_id, kind, alert_key, raised_us", "isl")
+stmt("e16_active_alerts", """
+SELECT scenario_id, kind, m*60000000 AS at_us, (SELECT count(*) FROM spell p WHERE p.scenario_id=g.scenario_id AND p.kind=g.kind AND p.s <= m*60000000 AND (p.e IS NULL OR p.e > m*60000000)) AS n FROM (
+ SELECT scenario_id, kind, unnest(generate_series((min(s)+59999999)//60000000, (max(greatest(s, coalesce(e, s)))+59999999)//60000000)) AS m FROM spell GROUP BY scenario_id, kind) g""", "spell")
 stmt("e16_message_counters", """
 SELECT 'surveillance.reports.v1' AS topic, CAST(user_id % 6 AS INT) AS partition, count(*) AS n,
  CASE WHEN value < 5.0 OR (value > 25.0 AND value < 26.0) OR (value >= 100.0 AND event_type <> 'purchase') OR (value >= 100.0 AND value < 150.0) THEN 'discarded' ELSE 'consumed' END AS outcome
@@ -185,6 +192,7 @@ stmt("j07_scan_summary", "SELECT scenario_id, tick_us, count(*) AS tracks, (SELE
 stmt("j08_predict_and_check", """
 SELECT scenario_id, track_id, count(*) AS predictions, (SELECT count(*) FROM chkl c WHERE c.scenario_id=t.scenario_id AND c.track_id=t.track_id) AS checked
 FROM trk t WHERE state <> 'terminated' GROUP BY scenario_id, track_id""", "trk", "chkl")
+stmt("j06_streamed_scan", "SELECT scenario_id, tick_us, first_track_id, second_track_id FROM con WHERE tick_us <= (SELECT (max(t_us)-2000000)//1000000*1000000 FROM trk)", "con", "trk")
 stmt("j08_streamed_checks", "SELECT scenario_id, track_id, predicted_us, matched_us, round(error_nm,4)+0.0 AS error_nm, round(error_nm,4)+0.0 AS baseline_error_nm FROM chkl", "chkl")
 stmt("j10_scan_clock", "SELECT tick_us, max(t_us) AS newest_us, count(*) AS tracks FROM pic GROUP BY ALL", "pic")
 
@@ -358,3 +366,4 @@ _FITTED = {"devr": "devf", "scanr": "scanf", "cdet": "cdetf", "cisl": "cislf", "
 for _old, _new in list(_FITTED.items())[1:]:
     part(_new, re.sub(r"\b(" + "|".join(_FITTED) + r")\b", lambda m: _FITTED[m[0]], PARTS[_old]), *[_FITTED.get(d, d) for d in DEPS[_old]])
 stmt("k12_fitted_evaluation", f"SELECT family, kind, {_REC} FROM coutf JOIN scn USING (scenario_id) GROUP BY ALL", "coutf", "scn")
+stmt("e16_predictions_by_source", "SELECT t_us//60000000*60000000 AS window_us, scenario_id, CASE WHEN whole THEN 'model' ELSE 'dead_reckoning' END AS source, count(*) AS n FROM fea GROUP BY ALL", "fea")

@@ -1,6 +1,7 @@
 """Alerts, rules, conformance, quantiles, contracts, views and models on small inputs."""
 
 import json
+import random
 import tempfile
 
 import numpy as np
@@ -250,3 +251,17 @@ def test_geometry_properties(spark, rows):
     assert r.sym < 1e-6 and r.dist < 1e-4 and 0 <= r.lo and r.hi < 360 and r.trip < 1e-4 and r.wrap <= 180
     tiny = df.limit(1).select(geo.normalize_bearing(F.lit(-1e-64)), geo.bearing_difference(F.lit(350.0), F.lit(10.0)), geo.bearing_difference(F.lit(0.0), F.lit(180.0))).first()
     assert tuple(tiny) == (0.0, 20.0, 180.0)
+
+
+def test_gauge_counts_what_holds_each_minute(spark):
+    from wakeline.operators import telemetry
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), s := rng.randrange(0, 900) * 1_000_000, None if rng.random() < 0.1 else s + rng.randrange(0, 400) * 1_000_000) for _ in range(200)]
+    got = telemetry.gauge(spark.createDataFrame(rows, "k string, s long, e long"), "s", "e", "k").collect()
+    assert len(got) == len({(r.k, r.at_us) for r in got}) and {r.k for r in got} == {"a", "b"}
+    for r in got:
+        assert r.n == sum(k == r.k and s <= r.at_us and (e is None or e > r.at_us) for k, s, e in rows)
+    for k in "ab":
+        minutes = sorted(r.at_us // 60_000_000 for r in got if r.k == k)
+        assert minutes == list(range(minutes[0], minutes[-1] + 1))

@@ -1,5 +1,6 @@
 """Streaming operators give the batch answer, across restarts and duplicates."""
 
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -86,6 +87,7 @@ def test_scan_step_equals_batch_and_replays_cleanly(spark):
     got = spark.read.parquet(f"{folder}/detections").drop("batch_id")
     # Batches that have left the look-back are not opened any more.
     assert len(spark.read.parquet(f"{folder}/frontier/batch_id={len(edges) - 2}").first()["live"]) < len(edges) - 1
+    assert len(os.listdir(f"{folder}/frontier")) == 2
     last = spark.read.parquet(f"{folder}/frontier").agg(F.max("scanned_us")).first()[0]
     from wakeline.operators import picture
 
@@ -126,3 +128,16 @@ def test_pending_predictions_resolve_once_or_are_dropped():
     assert run([0, 5, 5, 4, 15, 30, 45, 60])[0] == [(0, 60)]
     # Gone from the picture in between: nothing survives, not even at the right distance.
     assert run([0, 10, 27, 44, 61])[0] == []
+
+
+def test_the_stored_picture_does_not_grow(spark):
+    """One update a batch, ten seconds apart: only batches within the look-back stay."""
+    folder, step = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), None
+    row = tracking.track_updates(traffic.reports(spark, "/root/testdata/sf0.001"), as_of_us=traffic.EPOCH_US).limit(1)
+    row = spark.createDataFrame(row.collect(), row.schema)
+    step = scan_step(lambda p: p.select("scenario_id", "tick_us", "track_id"), folder)
+    sizes = []
+    for i in range(10):
+        step(row.withColumn("t_us", F.lit(traffic.EPOCH_US + i * 10_000_000)), i)
+        sizes.append(len(os.listdir(f"{folder}/updates")))
+    assert max(sizes) == sizes[-1] <= 4 and len(os.listdir(f"{folder}/frontier")) == 2

@@ -45,6 +45,24 @@ def histogram_quantiles(hist: DataFrame, *dims: str, qs: tuple[float, ...] = LAT
     return each.groupBy(*dims, "q").agg(F.coalesce(F.max(F.when(hit, inside)), F.max("le")).alias("value"))
 
 
+def gauge(intervals: DataFrame, start_us: str, end_us: str, *dims: str, every_s: int = 60) -> DataFrame:
+    """How many intervals hold each full minute (or `every_s`): dims, at_us, n.
+
+    An interval holds its start and not its end; without an end it never ends.
+    A sweep: starts count up and ends count down at the next minute, and a
+    running sum is repeated until it changes. No interval is laid out minute by
+    minute, and only one number a minute is shuffled and sorted. Minutes run
+    from a label's first start to its last start or end.
+    """
+    step = every_s * 1_000_000
+    marks = F.array(F.struct(F.ceil(F.col(start_us) / step).alias("m"), F.lit(1).alias("d")), F.struct(F.ceil(F.col(end_us) / step).alias("m"), F.lit(-1).alias("d")))
+    deltas = intervals.select(*dims, F.explode(marks).alias("x")).where("x.m is not null").groupBy(*dims, F.col("x.m").alias("m")).agg(F.sum("x.d").alias("d"))
+    along = Window.partitionBy(*dims).orderBy("m")
+    held = deltas.select(*dims, "m", F.sum("d").over(along).alias("n"), F.lead("m").over(along).alias("until"))
+    each = held.select(*dims, "n", F.explode(F.sequence(F.col("m"), F.coalesce(F.col("until") - 1, F.col("m")))).alias("m"))
+    return each.select(*dims, (F.col("m") * step).alias("at_us"), "n")
+
+
 def consumer_lag(consumed: DataFrame, heads: DataFrame) -> DataFrame:
     """Messages not yet consumed per assigned partition; lost partitions drop out."""
     done = consumed.groupBy("topic", "partition").agg(F.max("offset").alias("offset"))

@@ -14,7 +14,7 @@ from wakeline.plans import live
 from wakeline.plans.registered import AS_OF, EPOCH, query, rnd, scenario_table, sky, updates
 from wakeline.session import cut_lineage, shared_folder
 from wakeline.sources import contracts, scenarios, streams, traffic
-from wakeline.streaming import checks
+from wakeline.streaming import checks, scan
 
 REF_LAT, REF_LON = 40.6, -100.0
 
@@ -382,6 +382,22 @@ def e16(spark, sf):
     return telemetry.counters(a, "updated_us", "kind", "state")
 
 
+@query("e16_live_tracks")
+def e16_live(spark, sf):
+    """Tracks in the picture at each full minute."""
+    end = traffic.end_of_data(spark, sf)
+    v = picture.validity(updates(spark, sf)).withColumn("until_tick_us", F.least("until_tick_us", F.lit(end))).where("from_tick_us <= until_tick_us")
+    return telemetry.gauge(v.withColumn("end_us", F.col("until_tick_us") + 1_000_000), "from_tick_us", "end_us", "scenario_id")
+
+
+@query("e16_active_alerts")
+def e16_active(spark, sf):
+    """Alerts raised and not yet cleared at each full minute, by kind."""
+    a = live.alert_stream(sky(spark, sf))
+    spans = a.groupBy("scenario_id", "kind", "alert_id").agg(F.min("raised_us").alias("start_us"), F.max(F.when(F.col("state") == "cleared", F.col("updated_us"))).alias("end_us"))
+    return telemetry.gauge(spans, "start_us", "end_us", "scenario_id", "kind")
+
+
 @query("e16_message_counters")
 def e16_messages(spark, sf):
     """Messages of each topic that were taken in or discarded, and why."""
@@ -450,6 +466,18 @@ def j05(spark, sf):
     return views.prunable(u, as_of, 20.0).select("scenario_id", "track_id", "last_report_us")
 
 
+@query("j06_streamed_scan")
+def j06(spark, sf):
+    """Conflicts found by the scan on a stream of updates, as stored batch by batch over a restart."""
+    folder = f"{shared_folder(spark)}/wakeline/scan-{uuid.uuid4().hex}"
+
+    def detect(ticks):
+        return conflicts.predicted_conflicts(ticks).select("scenario_id", "tick_us", "first_track_id", "second_track_id")
+
+    streamed(None, updates(spark, sf), "t_us", each=scan.scan_step(detect, folder))
+    return spark.read.parquet(f"{folder}/detections").drop("batch_id")
+
+
 @query("j07_scan_summary")
 def j07(spark, sf):
     s = sky(spark, sf)
@@ -466,10 +494,11 @@ def j08(spark, sf):
     return made.join(m, ["scenario_id", "track_id"], "left").fillna(0, ["checked"])
 
 
-def streamed(stream_of, table: DataFrame, time: str, parts: int = 4) -> DataFrame:
+def streamed(stream_of, table: DataFrame, time: str, parts: int = 4, each=None) -> DataFrame | None:
     """What a stream over `table`, delivered in `parts` files in order of time, has written when all is read.
 
-    The first half is read before a restart from the checkpoint.
+    The first half is read before a restart from the checkpoint. With `each`,
+    every micro-batch is handed to that function instead.
     """
     spark = table.sparkSession
     folder = f"{shared_folder(spark)}/wakeline/stream-{uuid.uuid4().hex}"
@@ -485,11 +514,14 @@ def streamed(stream_of, table: DataFrame, time: str, parts: int = 4) -> DataFram
             part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
             if k in (1, len(bounds) - 2):
                 source = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-                sink = stream_of(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-                sink.trigger(availableNow=True).start().awaitTermination()
+                if each is not None:
+                    sink = source.writeStream.foreachBatch(each)
+                else:
+                    sink = stream_of(source).writeStream.format("parquet").option("path", f"{folder}/out")
+                sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out") if each is None else None
 
 
 @query("j08_streamed_checks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.operators import bootstrap, conformance, features, scoring
+from wakeline.operators import bootstrap, conformance, features, scoring, telemetry
 from wakeline.plans import evaluation, training
 from wakeline.plans.registered import EPOCH, evaluation_inputs, query, rnd, scenario_table, updates
 from wakeline.session import cut_lineage
@@ -214,6 +214,13 @@ def k06_fitted(spark, sf):
     return rnd(p.select("scenario_id", "track_id", "t_us", "source", "p_lat", "p_lon", "p_altitude_ft"), 4, "p_lat", "p_lon").withColumn("p_altitude_ft", F.round("p_altitude_ft", 1) + 0.0)
 
 
+@query("e16_predictions_by_source")
+def e16_predictions(spark, sf):
+    """Predictions made each minute, by what made them."""
+    m = training.fit_linear(_assigned(spark, sf).where("split = 'train' and horizon_s = 60.0"))
+    return telemetry.counters(_model_predictions(m, updates(spark, sf, lifecycle=False)), "t_us", "scenario_id", "source")
+
+
 @query("k05_boosted_scores")
 def k05(spark, sf):
     return _held_out_scores(spark, sf, ["boosted"]).where("model = 'boosted'")
