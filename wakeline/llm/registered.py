@@ -78,29 +78,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Without seeds: all places where an item's and a document's token agree, counted by alignment.
 STATEMENTS["op8_decontamination"] = r"""
-with d as (
-  select row_number() over () as r, doc_id, [x for x in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if x <> ''] as w from documents
-), b as (
-  select min(item_id) as item_id, w, len(w) as n
-  from (select item_id, [x for x in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if x <> ''] as w from benchmark)
-  where len(w) >= 6 group by w
-), dt as (select r, doc_id, unnest(w) as t, generate_subscripts(w, 1) as i from d),
-bt as (select item_id, n, unnest(w) as t, generate_subscripts(w, 1) as p from b),
-m as (
-  select doc_id, item_id, n, count(*) over (partition by r, item_id, i - p order by p range between 15 preceding and current row) as c
-  from dt join bt using (t)
-)
-select doc_id, item_id, max(c) as matched from m where c >= case when n < 16 then n else 13 end group by doc_id, item_id
-"""
-
-
-@query("op8_scaled_decontamination")
-def op8_scaled_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with substitutions in items shorter than a window too: the rule by which the pipeline drops documents."""
-    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scaled=True)
-
-
-STATEMENTS["op8_scaled_decontamination"] = r"""
 with d as (
   select row_number() over () as r, doc_id, [x for x in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if x <> ''] as w from documents
 ), b as (
