@@ -141,6 +141,14 @@ def test_pieces_are_encoded_as_whole_texts(tokenizer):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [*(tokenizer.encode(t, add_special_tokens=False).ids for t in texts), []]
 
 
+def test_every_text_of_the_table_is_encoded_whole(documents, tokenizer):
+    import pyarrow as pa
+
+    texts = [r["text"] or "" for r in documents.select("text").collect()]
+    ids, counts = ByteEncoder(tokenizer_path("byte_bpe_50k.json")).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_another_kind_of_tokenizer_gets_whole_texts():
     import pyarrow as pa
     from tokenizers import Tokenizer

@@ -13,6 +13,7 @@ from wakeline.llm.tokens import JOINED, REMEMBERED_WORDS, WordEncoder
 
 # White space beyond ASCII: a text with any of it is encoded in one piece.
 WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WIDE_LEADS = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")  # first bytes of those
 
 
 @lru_cache(maxsize=2)
@@ -25,8 +26,9 @@ class ByteEncoder(WordEncoder):
     """Ids of texts, equal to `Tokenizer.encode(text, add_special_tokens=False).ids`.
 
     Byte-level pre-tokenizers let a token begin at every single space or line
-    end between two other characters, and let none reach across it. Texts are
-    cut there, without a copy; every other white space stays inside its piece.
+    end between two other characters, and at every sign after a letter, and let
+    none reach across it. Texts are cut there, without a copy; every other white
+    space stays inside its piece.
     A tokenizer with a normalizer or another pre-tokenizer gets whole texts.
     Strings that look like special tokens are ordinary text.
     """
@@ -48,7 +50,7 @@ class ByteEncoder(WordEncoder):
         texts = ["".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
         found = [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.uint32), *found])
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        ends = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64))
         return ids, np.diff(np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1, prepend=0)
 
     def _learn(self, words: list[str]) -> np.ndarray:
@@ -77,8 +79,14 @@ class ByteEncoder(WordEncoder):
             cut = np.zeros(b - a, bool)
             cut[1:-1] = ((raw[1:-1] == 32) | (raw[1:-1] == 10)) & ink[:-2] & ink[2:]
             cut[bounds[1:] - a - 1] = False  # a text's last byte; its first one begins a piece anyway
-            for i in np.flatnonzero(pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)).tolist():
-                cut[bounds[i] - a : bounds[i + 1] - a] = False
+            letter = (raw | 32) - np.uint8(97) < 26
+            sign = ink & (raw < 127) & ~letter & (raw - np.uint8(48) >= 10)
+            # Two bytes, U+00C0 to U+00FF, are a letter but for two signs.
+            letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+            cut[1:] |= sign[1:] & letter[:-1]
+            if any(lead in held for held in (raw.tobytes(),) for lead in _WIDE_LEADS):
+                for i in np.flatnonzero(pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)).tolist():
+                    cut[bounds[i] - a : bounds[i + 1] - a] = False
             cut[starts - a] = True
             starts = np.flatnonzero(cut) + a
         counts = np.diff(np.searchsorted(starts, bounds)).astype(np.int64)
