@@ -60,21 +60,6 @@ stmt("b18_disc_probability", f"SELECT {_P3}, round(pd,6)+0.0 AS p FROM pdisc", "
 stmt("b19_conflict_probability", f"SELECT {_P3}, round(pd*pb,6)+0.0 AS p FROM pdisc", "pdisc")
 stmt("b20_flight_phase", "SELECT scenario_id, icao24, sec, phase FROM tru", "tru")
 
-
-def uni(field: str) -> str:
-    return f"((CAST('0x' || substr(md5('1|' || scenario_id || '|' || icao24 || '|' || sec || '|{field}'), 1, 8) AS BIGINT)+0.5)/4294967296.0)"
-
-
-def gau(field: str) -> str:
-    return f"(sqrt(-2.0*ln({uni(field + '1')}))*cos({uni(field + '2')}*2.0*pi()))"
-
-
-stmt("b23_sensor_degradation", f"""
-SELECT scenario_id, icao24, sec, round(greatest(-90.0,least(90.0,lat+{gau('n')}*(30.0/(1852.0*60.0)))),5)+0.0 AS lat,
- round({wrap180(f"lon+{gau('e')}*(30.0/(1852.0*60.0))/greatest(0.01,abs(cos(radians(lat))))")},5)+0.0 AS lon,
- round(altitude_ft+{gau('z')}*25.0,5)+0.0 AS altitude_baro_ft, round(greatest(0.0,ground_speed_kt+{gau('v')}*2.0),5)+0.0 AS ground_speed_kt,
- round({pmod(f"track_deg+{gau('h')}*0.5")},5)+0.0 AS track_deg, vertical_rate_fpm FROM tru WHERE {uni('drop')} >= 0.02""", "tru")
-
 # -- records ----------------------------------------------------------------
 
 stmt("a01_json_reports", "SELECT report_id, icao24, callsign, t_us, lat, lon, altitude_baro_ft, ground_speed_kt, track_deg, squawk, on_ground, scenario_id FROM rep", "rep")
@@ -130,10 +115,22 @@ stmt("g05_top_points_per_track", "SELECT scenario_id, track_id, t_us, state, CAS
 stmt("f07_track_trails", """
 SELECT scenario_id, track_id, CAST(count(*) AS INT) AS points, string_agg(CAST(round(lat,4) AS VARCHAR) || '@' || t_us, ';' ORDER BY t_us) AS trail
 FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id, track_id ORDER BY t_us DESC) AS r FROM trk WHERE state <> 'terminated') WHERE r <= 90 GROUP BY scenario_id, track_id""", "trk")
+
+
+def dealt(src: str, ident: str) -> str:
+    """Rows with their part: forty a part, by a hash of the id."""
+    return f"""(SELECT *, CAST(CAST('0x' || substr(md5('5|' || {ident}), 1, 8) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY scenario_id)/40.0) AS BIGINT) AS INT) AS part FROM {src})"""
+
+
 stmt("a13_snapshot_frames", f"""
-SELECT coalesce(t.scenario_id, a.scenario_id) AS scenario_id, 1::BIGINT AS parts, coalesce(tracks, '') AS tracks, coalesce(alerts, '') AS alerts
-FROM (SELECT scenario_id, string_agg(coalesce(callsign, icao24), ',' ORDER BY coalesce(callsign, icao24)) AS tracks FROM {live(20)} GROUP BY ALL) t
-FULL JOIN (SELECT scenario_id, string_agg(alert_key, ',' ORDER BY alert_key) AS alerts FROM actv GROUP BY ALL) a ON a.scenario_id=t.scenario_id""", "known", "actv")
+SELECT coalesce(t.scenario_id, a.scenario_id) AS scenario_id, coalesce(t.part, a.part) AS part, coalesce(tracks, '') AS tracks, coalesce(alerts, '') AS alerts
+FROM (SELECT scenario_id, part, string_agg(coalesce(callsign, icao24), ',' ORDER BY coalesce(callsign, icao24)) AS tracks FROM {dealt(live(20), 'track_id')} GROUP BY ALL) t
+FULL JOIN (SELECT scenario_id, part, string_agg(alert_key, ',' ORDER BY alert_key) AS alerts FROM {dealt('actv', 'alert_key')} GROUP BY ALL) a ON a.scenario_id=t.scenario_id AND a.part=t.part""", "known", "actv")
+stmt("a02_alert_dead_letters", """
+SELECT kind, CASE d WHEN '0' THEN 'conflict.lookahead_s_range' WHEN '1' THEN 'conflict.min_vertical_sep_ft_range' WHEN '2' THEN 'conflict.missing_min_vertical_sep_ft'
+ WHEN '3' THEN 'severity_value' ELSE 'missing_summary' END AS reasons, count(*) AS n
+FROM (SELECT kind, substr(sha256(scenario_id || '|' || alert_key || '|' || CAST(raised_us AS VARCHAR)), 1, 1) AS d FROM life)
+WHERE d IN ('3', '4') OR (kind='predicted_conflict' AND d IN ('0', '1', '2')) GROUP BY ALL""", "life")
 stmt("a14_flight_plans", "SELECT scenario_id, icao24, at_s, kind FROM plan", "plan")
 part("spec", f"SELECT scenario_id, icao24, substr('AC' || lpad(CAST(user_id AS VARCHAR),6,'0'),1,7) AS callsign, (first_us-{EPOCH})/1000000.0 AS entry_s FROM act", "act")
 stmt("a15_scenario_violations", """

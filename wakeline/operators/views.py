@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import labels
+from wakeline.operators.bootstrap import draw
 
 # Fixed values that results depend on.
 LIVE_WINDOW_S = 20.0
@@ -114,8 +115,9 @@ def trails(updates: DataFrame, points: int = TRAIL_POINTS) -> DataFrame:
 def snapshot_frames(tracks: DataFrame, alerts: DataFrame, part_size: int = FRAME_PART) -> DataFrame:
     """The whole picture of every scenario as numbered document parts.
 
-    A small scenario is one document. A big one is split over parts of about
-    `part_size` entries, so no single row has to hold a whole sky.
+    A scenario has a part for each `part_size` of its tracks, and of its alerts,
+    and entries are dealt to parts by a hash of their id, so no single row has
+    to hold a whole sky.
     """
 
     def parts(df: DataFrame, ident: str, body: Column, what: str) -> DataFrame:
@@ -123,7 +125,7 @@ def snapshot_frames(tracks: DataFrame, alerts: DataFrame, part_size: int = FRAME
         n_parts = F.ceil(F.col("n") / part_size)
         return (
             df.join(size, "scenario_id")
-            .groupBy("scenario_id", F.pmod(F.xxhash64(ident), n_parts).cast("int").alias("part"))
+            .groupBy("scenario_id", F.pmod(draw(5, F.col(ident)), n_parts).cast("int").alias("part"))
             .agg(F.array_sort(F.collect_list(body)).alias(what))
         )
 

@@ -157,12 +157,6 @@ def b20(spark, sf):
     return traffic.truth(spark, sf).select("scenario_id", "icao24", "sec", "phase")
 
 
-@query("b23_sensor_degradation")
-def b23(spark, sf):
-    d = traffic.degrade(traffic.truth(spark, sf))
-    return rnd(d, 5, "lat", "lon", "altitude_baro_ft", "ground_speed_kt", "track_deg")
-
-
 # -- records ----------------------------------------------------------------
 
 
@@ -306,15 +300,35 @@ def f07(spark, sf):
 
 @query("a13_snapshot_frames")
 def a13(spark, sf):
+    """Every part of every scenario's frame, at forty entries a part."""
     s = sky(spark, sf)
-    f = views.snapshot_frames(views.live_tracks(s.updates, AS_OF), views.active_alerts(live.alert_stream(s), AS_OF))
-    return f.groupBy("scenario_id").agg(
-        F.count("*").alias("parts"),
-        F.concat_ws(",", F.sort_array(F.flatten(F.collect_list(F.transform("tracks", lambda t: t["label"]))))).alias("tracks"),
-        F.concat_ws(",", F.sort_array(F.flatten(F.collect_list(F.transform("alerts", lambda a: a["alert_key"]))))).alias("alerts"),
+    f = views.snapshot_frames(views.live_tracks(s.updates, AS_OF), views.active_alerts(live.alert_stream(s), AS_OF), 40)
+    return f.select(
+        "scenario_id", "part",
+        F.concat_ws(",", F.sort_array(F.transform("tracks", lambda t: t["label"]))).alias("tracks"),
+        F.concat_ws(",", F.sort_array(F.transform("alerts", lambda a: a["alert_key"]))).alias("alerts"),
     )
 
 
+@query("a02_alert_dead_letters")
+def a02_alerts(spark, sf):
+    """Alert messages of which some were damaged on the way, and what their contract says of each, nested evidence included."""
+    a = live.alert_stream(sky(spark, sf))
+    digit, c = F.substring("alert_id", 1, 1), F.col("conflict")
+    damaged = c.withField("lookahead_s", F.when(digit == "0", F.lit(0.0)).otherwise(c["lookahead_s"]))
+    damaged = damaged.withField("min_vertical_sep_ft", F.when(digit == "1", F.lit(-1.0)).when(digit == "2", F.lit(None)).otherwise(c["min_vertical_sep_ft"]))
+    records = a.select(
+        F.lit(contracts.CONTRACT_VERSION).alias("schema_version"), "alert_id", "alert_key", "kind",
+        F.when(digit == "3", "fatal").otherwise(F.col("severity")).alias("severity"), "state",
+        F.timestamp_micros("raised_us").alias("raised_at"), F.timestamp_micros("updated_us").alias("updated_at"), "track_ids", "reason_codes",
+        F.when(digit != "4", F.col("summary")).alias("summary"), F.when(c.isNotNull(), damaged).alias("conflict"),
+        F.when(F.col("conformance").isNotNull(), F.col("conformance").dropFields("predicted_us").withField("predicted_at", F.timestamp_micros("conformance.predicted_us"))).alias("conformance"),
+        F.lit("simulator").alias("source"), "scenario_id",
+    )
+    parsed = contracts.parse(streams.to_messages(records.withColumn("of", F.col("kind")), "alert_key", ("of",)), contracts.ALERTS)
+    return contracts.dead_letters(parsed).groupBy(F.col("of").alias("kind"), F.concat_ws(",", "reasons").alias("reasons")).agg(F.count("*").alias("n"))
+
+
 @query("a14_flight_plans")
 def a14(spark, sf):
     docs = traffic.scenario_documents(spark, sf).select(F.to_json(F.struct("*")).alias("j"))

@@ -44,9 +44,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("t_us", F.lit(EPOCH_US) + F.floor(offset / CLOCK_COMPRESSION).cast("long"))
 
 
+_ends: dict[tuple[str, str], int | None] = {}
+
+
 def end_of_data(spark: SparkSession, sf_dir: str) -> int:
-    """The first multiple of ten seconds at or after the last report, in microseconds."""
-    last = events(spark, sf_dir).agg(F.max("t_us").alias("t")).first()["t"]
+    """The first multiple of ten seconds at or after the last report, in microseconds.
+
+    Plans of one application ask for it several times; a table is read for it once.
+    """
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _ends:
+        _ends[known] = events(spark, sf_dir).agg(F.max("t_us").alias("t")).first()["t"]
+    last = _ends[known]
     return EPOCH_US + -(-((last or EPOCH_US) - EPOCH_US) // END_STEP_US) * END_STEP_US
 
 
@@ -291,32 +300,3 @@ def scenario_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("scenario_id").agg(F.collect_list(F.struct("icao24", "callsign", "entry_time_s", "plan")).alias("aircraft")).select(
         "scenario_id", F.lit((end_of_data(spark, sf_dir) - EPOCH_US) / 1e6).alias("duration_s"), "aircraft"
     )
-
-
-def degrade(truth_rows: DataFrame, seed: int = 1, *, dropout: float = 0.02, position_m: float = 30.0, altitude_ft: float = 25.0,
-            speed_kt: float = 2.0, track_deg: float = 0.5) -> DataFrame:
-    """Sensor view of a truth table: independent dropout and Gaussian error per row.
-
-    Every draw is a hash of (seed, aircraft, second, field), so the result does
-    not depend on partitioning or order.
-    """
-
-    def uniform(field: str) -> Column:
-        text = F.concat_ws("|", F.lit(str(seed)), "scenario_id", "icao24", F.col("sec").cast("string"), F.lit(field))
-        return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") + 0.5) / float(2**32)
-
-    def gauss(field: str) -> Column:
-        return F.sqrt(F.log(uniform(field + "1")) * -2.0) * F.cos(uniform(field + "2") * (2.0 * math.pi))
-
-    per_m = 1.0 / (1852.0 * 60.0)
-    kept = truth_rows.where(uniform("drop") >= dropout)
-    shrink = F.greatest(F.lit(0.01), F.abs(F.cos(F.radians("lat"))))
-    return kept.select(
-        "scenario_id", "icao24", "sec",
-        F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat") + gauss("n") * (position_m * per_m))).alias("lat"),
-        geo.wrap_longitude(F.col("lon") + gauss("e") * (position_m * per_m) / shrink).alias("lon"),
-        (F.col("altitude_ft") + gauss("z") * altitude_ft).alias("altitude_baro_ft"),
-        F.greatest(F.lit(0.0), F.col("ground_speed_kt") + gauss("v") * speed_kt).alias("ground_speed_kt"),
-        geo.normalize_bearing(F.col("track_deg") + gauss("h") * track_deg).alias("track_deg"),
-        "vertical_rate_fpm",
-    )
