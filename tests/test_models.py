@@ -1,5 +1,6 @@
 """A fitted model kept, served and judged: split, fit, save, load, predict, calibrate, check."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,7 +96,24 @@ def test_registered_scores_span_horizons_and_held_out_splits(spark, sf):
     splits = training.exact_splits(scenario_table(spark, sf), F.col("family") == "shifted")
     d = cut_lineage(rm.dataset(spark, sf, 60.0).join(splits, "scenario_id"))
     test = d.where("split = 'test_same_family'")
-    alone = training.score_table(cut_lineage(training.scored(training.fit_ridge(d.where("split = 'train'")).predict(test), "ridge")))
+    alone = training.score_table(cut_lineage(training.scored(training.fit_linear(d.where("split = 'train'")).predict(test), "ridge")))
     one = found.where("split = 'test_same_family' and horizon_s = 60 and model = 'ridge'")
     want, got = ({tuple(r[k] for k in keys): (r["samples"], r["median_nm"], r["skill"]) for r in t.collect()} for t in (alone, one))
     assert want and set(want) == set(got) and all(got[k] == pytest.approx(want[k], abs=2e-4) for k in want)
+
+
+def test_ridge_is_solved_exactly(spark, rows):
+    """Weights that minimise the plain sum of squares plus alpha, from the collected rows; MLlib's come within its scaling of alpha."""
+    train = rows.where("split = 'train' and horizon_s = 60")
+    m, data = training.fit_linear(train), train.toPandas()
+    x = np.array([(data[c] - m.moments[c][0]) / m.moments[c][1] for c in m.columns]).T
+    y = data[training.TARGETS].to_numpy()
+    want = np.linalg.solve(x.T @ x + np.eye(x.shape[1]), x.T @ (y - y.mean(0)))
+    assert np.allclose(m.weights, want.T, rtol=1e-7, atol=1e-8) and np.allclose(m.intercepts, y.mean(0))
+    mllib = training.fit_ridge(train).coefficients()
+    for t, own in m.coefficients().items():
+        scale = max(map(abs, own.values()))
+        assert all(abs(own[f] - mllib[t][f]) < 1e-2 * scale for f in own)
+    predicted = m.predict(rows).where("r_along is not null").limit(50).toPandas()
+    z = np.array([(predicted[c] - m.moments[c][0]) / m.moments[c][1] for c in m.columns]).T
+    assert np.allclose(predicted[["r_along", "r_cross", "r_alt"]].to_numpy(), z @ m.weights.T + m.intercepts)
