@@ -518,9 +518,14 @@ def streamed(stream_of, table: DataFrame, time: str, parts: int = 4, each=None)
     folder = f"{shared_folder(spark)}/wakeline/stream-{uuid.uuid4().hex}"
     held = cut_lineage(table)
     edges = held.agg(F.percentile_approx(time, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
-    provider, chosen = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, chosen)
+    # State partitions are fixed at the first start and never coalesced: one for each core.
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     bounds = [None, *sorted(set(edges)), None]
     try:
         for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
@@ -534,7 +539,8 @@ def streamed(stream_of, table: DataFrame, time: str, parts: int = 4, each=None)
                     sink = stream_of(source).writeStream.format("parquet").option("path", f"{folder}/out")
                 sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     return spark.read.parquet(f"{folder}/out") if each is None else None
 
 
