@@ -1,6 +1,7 @@
 import html
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,47 @@ def test_pages_of_the_table(spark, sf):
         assert got[r["page_id"]] == (want, len(want))
 
 
+def _bare(page):
+    """The page without classes, ids and roles, its telling elements turned into div."""
+    page = re.sub(r"<(/?)(?:article|nav|header|footer|aside)\b", r"<\1div", page)
+    return re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def _shares(rows):
+    """Characters of the articles that are kept, and of other blocks in what is kept and among all other blocks, on bare pages."""
+    text = kept = other = other_kept = 0
+    for r in rows:
+        bare = _bare(r["html"])
+        want = Counter(ht.main_text(r["html"]).split("\n\n"))
+        got = Counter(ht.main_text(bare).split("\n\n"))
+        size = lambda c: sum(len(x) * n for x, n in c.items())
+        text, kept, other_kept = text + size(want), kept + size(want & got), other_kept + size(got - want)
+        other += size(Counter(b.text for b in ht.blocks(bare)[0]) - want)
+    return kept / text, other_kept / (kept + other_kept or 1), other_kept / other
+
+
+def test_rules_decide_where_elements_say_nothing(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()
+    text, in_output, of_other = _shares(rows)
+    assert text >= 0.9 and in_output <= 0.1 and of_other <= 0.25
+    monkeypatch.setattr(ht, "STOP_DENSITY", 9)
+    monkeypatch.setattr(ht, "LINK_DENSITY", 9)
+    assert _shares(rows)[0] < 0.9 or _shares(rows)[2] > 0.25
+
+
+def test_class_words_do_not_drop_running_text():
+    long = f"{TEXT} {MORE} {MORE}"
+    for name in ("related", "related-work", "promo", "ad sidebar"):
+        page = f"<article><h1 class=post-header>Title</h1><p>{TEXT}</p><section class='{name}'><p>{long}</p></section><p>{MORE}</p></article>"
+        assert ht.main_text(page) == f"Title\n\n{TEXT}\n\n{long}\n\n{MORE}"
+    assert long not in ht.main_text(f"<article><p>{TEXT}</p><div class=comments><p>{long}</p></div></article>")
+
+
+def test_undecided_blocks_inherit_from_boilerplate_too():
+    links = "<nav><a href=x>" + "link words here " * 5 + "</a></nav>"
+    assert ht.main_text(f"{links}<div>An advert.</div><div><h1>Title</h1><p>{TEXT}</p></div><div>&copy; Someone and the rest of it</div>") == f"Title\n\n{TEXT}"
+
+
 @pytest.mark.parametrize(
     "boilerplate",
     [

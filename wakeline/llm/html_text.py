@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.batches import slices, texts_of
 
-# Rules of the first pass.
-LINK_DENSITY = 0.5  # a block with more of its characters in links is boilerplate
-STOP_DENSITY = 0.2  # a block with so many stop words ...
-LONG = 60  # ... and so many characters is text
+# Rules of the first pass. A block scores points for and against being text; 0 is undecided.
+LINK_DENSITY = 0.5  # more of its characters in links: LINKS
+STOP_DENSITY = 0.2  # so many stop words, and at least ...
+LONG = 60  # ... so many characters: 1
+RUNNING = 200  # ... so many characters: 2
+LINKS = -4
+RIGHTS = -3  # starts with a copyright sign
+# Further evidence: what the page says of the elements around the block.
+IN_MAIN, OUTSIDE_MAIN = 3, -3  # in an article; not in one although the page has one
+LEFT_OUT_ELEMENT = -4  # navigation, footers, forms, comments, what is hidden
+HINTED, HALF_HINTED = -2, -1  # all words of a class are hints; some are
+TITLE = 2  # a heading of the first level
+ASIDE_OF_TEXT = -1  # not below the element that directly holds most of the text
 
 # The commonest function words of four languages.
 STOP_WORDS = frozenset(
@@ -55,6 +64,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
+WORD = re.compile(r"[^\W\d_]+")
 NAME_PART = re.compile(r"[A-Za-z]+")
 
 
@@ -63,40 +73,49 @@ class Block:
     text: str
     linked: int  # characters in links
     left_out: bool  # by the elements around it
-    section: int  # number of the innermost article or main, 0 outside
+    hint: int  # HINTED, HALF_HINTED or 0, by class words between the block and its article
+    main: bool  # in an article or main element
+    title: bool  # in a heading of the first level
+    holder: int  # number of the element that holds its paragraph
 
 
-def _hidden_or_hinted(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes mark it as no part of the main text."""
+def _hidden_or_hinted(tag: str, attributes: str) -> tuple[bool, int]:
+    """What an element's attributes say against it: left out for certain, and points by its class words."""
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, 0
+    hint = 0
     for name, *values, bare in ATTRIBUTE.findall(attributes):
         name, value = (name or bare).lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+            return True, 0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, 0
         if name in ("class", "id"):
-            parts = set(NAME_PART.findall(value))
-            if parts & (COMMENTS if tag in MAIN else HINTS):
-                return True
-    return False
+            for one in value.split():
+                parts = set(NAME_PART.findall(one))
+                if parts & COMMENTS:
+                    return True, 0
+                if tag not in MAIN and parts & HINTS:
+                    hint = min(hint, HINTED if parts <= HINTS else HALF_HINTED)
+    return False, hint
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's runs of text between block elements, in page order, white space as one space."""
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The page's runs of text between block elements, in page order, white space as one space; and each holder's parent."""
     out: list[Block] = []
-    # Open elements: name, left out, section, inside a link.
-    stack: list[tuple[str, bool | str, int, bool]] = [("", False, 0, False)]
+    parents = [0]
+    # Open elements: name, left out, hint, inside main, inside a title, holder, inside a link.
+    stack: list[tuple[str, bool | str, int, bool, bool, int, bool]] = [("", False, 0, False, False, 0, False)]
     parts: list[str] = []
-    linked, sections, at = 0, 0, 0
+    linked, at = 0, 0
     open_now: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append(Block(text, linked, bool(stack[-1][1]), stack[-1][2]))
+                _, left_out, hint, main, title, holder, _ = stack[-1]
+                out.append(Block(text, linked, bool(left_out), hint, main, title, holder))
             parts.clear()
         linked = 0
 
@@ -104,7 +123,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if run:
             parts.append(run)
-            if stack[-1][3]:
+            if stack[-1][-1]:
                 linked += len("".join(html.unescape(run).split()))
 
     def close(to: int) -> None:
@@ -153,30 +172,63 @@ def blocks(page: str) -> list[Block]:
                     first = i
             if first:
                 close(first)
-        _, left_out, section, link = stack[-1]
+        _, left_out, hint, main, title, holder, link = stack[-1]
         if tag in MAIN:
-            sections += 1
-            section = sections
+            main, hint = True, 0
         if left_out is BY_HEADER and tag in HEADINGS:
             left_out = False
-        own = tag in LEFT_OUT or _hidden_or_hinted(tag, m[3])
-        left_out = True if own else left_out or (tag == "header" and (BY_HEADER if section else True))
+        own, points = _hidden_or_hinted(tag, m[3])
+        hint = min(hint, points)
+        left_out = True if own or tag in LEFT_OUT else left_out or (tag == "header" and (BY_HEADER if main else True))
+        if tag in BLOCKS and tag not in HEADINGS and tag != "p":
+            parents.append(holder)
+            holder = len(parents) - 1
         if not m[3].endswith("/") or tag in BLOCKS or tag == "a":
-            stack.append((tag, left_out, section, link or tag == "a"))
+            stack.append((tag, left_out, hint, main, title or tag == "h1", holder, link or tag == "a"))
             open_now[tag] += 1
     add(page[at:])
     flush()
-    return out
+    return out, parents
 
 
-def _first_pass(b: Block) -> bool | None:
-    """Text, boilerplate, or undecided."""
-    size = len(b.text)
-    if b.left_out or b.linked > LINK_DENSITY * len(b.text.replace(" ", "")):
-        return False
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
-    return True if size >= LONG and stops >= STOP_DENSITY * len(words) else None
+def _by_rules(b: Block) -> int:
+    """Points by link density, length and stop words."""
+    if b.linked > LINK_DENSITY * len(b.text.replace(" ", "")):
+        return LINKS
+    if b.text.startswith(("\u00a9", "(c) ")):
+        return RIGHTS
+    if len(b.text) < LONG:
+        return 0
+    words = WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words)
+    return 0 if stops < STOP_DENSITY * len(words) else 2 if len(b.text) >= RUNNING else 1
+
+
+def _by_elements(b: Block, has_main: bool, below_text: bool) -> int:
+    """Points by the elements around the block."""
+    if b.left_out:
+        return LEFT_OUT_ELEMENT
+    points = b.hint + (TITLE if b.title and b.hint else 0) + (0 if below_text or b.main else ASIDE_OF_TEXT)
+    if has_main and not b.main:
+        return points + OUTSIDE_MAIN
+    return points + (IN_MAIN if b.main and b.hint != HINTED else 0)
+
+
+def _first_pass(found: list[Block], parents: list[int]) -> list[bool | None]:
+    """Text, boilerplate, or undecided, for each block."""
+    has_main = any(b.main and not b.left_out for b in found)
+    rules = [_by_rules(b) for b in found]
+    held: Counter[int] = Counter()
+    for b, points in zip(found, rules):
+        if points > 0 and not b.left_out:
+            held[b.holder] += len(b.text)
+    most = max(held, key=lambda h: (held[h], -h), default=0)
+    below = [h == most for h in range(len(parents))]
+    for h in range(1, len(parents)):  # parents come before their children
+        below[h] = below[h] or below[parents[h]]
+    points = [r + _by_elements(b, has_main, below[b.holder]) for b, r in zip(found, rules)]
+    # A title or short block beside the text has no sign against it but its place.
+    return [None if x == 0 or x == ASIDE_OF_TEXT and r == 0 and not b.hint else x > 0 for b, r, x in zip(found, rules, points)]
 
 
 def _inherited(labels: list[bool | None], default: bool) -> list[bool]:
@@ -198,28 +250,25 @@ def _inherited(labels: list[bool | None], default: bool) -> list[bool]:
 def main_text(page: str) -> str:
     """The page's text blocks, two line ends between them.
 
-    First pass: what navigation, forms, notices and the like enclose is
-    boilerplate, as is a block mostly of links; a long enough block with enough
-    stop words is text. Second pass: a block still undecided (short, or without
-    stop words) takes the label of the nearest decided block of its article, or
-    else is text. Where a page has an article or main element with text, blocks
-    outside of it are boilerplate.
+    First pass: link density, length and density of stop words give points, and
+    the elements around a block further ones; a block with points left on one
+    side is decided. Second pass: the others (short, without stop words, or with
+    signs both ways) take the label of the nearest decided block, whichever it
+    is; text wins a tie. A page without any decided block is text. Class words
+    alone take no long block of running text out, except those of comments.
     """
-    found = blocks(page)
-    has_main = any(b.section and not b.left_out for b in found)
-    kept = [False] * len(found)
-    for section in {b.section for b in found}:
-        if section == 0 and has_main:
-            continue
-        at = [i for i, b in enumerate(found) if b.section == section and not (section and b.left_out)]
-        labels = [_first_pass(found[i]) for i in at]
-        for i, keep in zip(at, _inherited(labels, default=True)):
-            kept[i] = keep
+    found, parents = blocks(page)
+    kept = _inherited(_first_pass(found, parents), default=True)
     return "\n\n".join(b.text for b, keep in zip(found, kept) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page; a null page is empty."""
+    """page_id, url, text, n_chars of every page.
+
+    A null or empty page has an empty text. Every row gives one row, repeated
+    ones and those without page_id or url too; further columns are ignored, and
+    an empty table gives an empty one.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
