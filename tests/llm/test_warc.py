@@ -78,3 +78,13 @@ def test_neighbouring_ranges_are_read_together(monkeypatch):
     monkeypatch.setattr(warc, "RUN_BYTES", 100)
     assert warc.coalesced([]) == []
     assert warc.coalesced([(0, 5), (5, 5), (20, 10), (41, 5), (46, 90), (136, 6), (136, 5)]) == [(0, 3), (3, 5), (5, 7)]
+
+
+def test_tasks_read_stretches_of_one_file(spark, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH_BYTES", 2000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 4000)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 9) for i in range(300)], PAGES).coalesce(1)
+    folder = new_folder(spark, "warc")
+    rows = warc.read_archives(warc.write_archives(pages, folder), folder).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(300))
+    assert len({r["task"] for r in rows}) > 5

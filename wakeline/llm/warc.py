@@ -24,6 +24,8 @@ from wakeline.session import cut_lineage
 
 FILE_BYTES = 64 << 20  # a task starts another file after so many
 RUN_BYTES = 4 << 20  # most that one read asks for, unless a single record is longer
+STRETCH_BYTES = 4 * RUN_BYTES  # of a file, dealt to one task together
+TASK_BYTES = 64 << 20  # about what one task reads
 GAP_BYTES = 64 << 10  # ranges no farther apart are read together
 LEAST_BYTES = 0  # smaller payloads are never revisits
 
@@ -150,7 +152,7 @@ def coalesced(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def read_archives(selected: DataFrame, folder: str, *, with_payload: bool = True) -> DataFrame:
     """The records of the selected index rows: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload].
 
-    Rows are dealt by file and sorted by offset. A response whose payload does
+    Rows are dealt by stretches of files and sorted by offset. A response whose payload does
     not have the digest of its header is an error. A revisit has no payload; its
     size is in its HTTP header.
     """
@@ -191,7 +193,11 @@ def read_archives(selected: DataFrame, folder: str, *, with_payload: bool = True
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
                 at = stop
 
-    dealt = selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # An explicit number of partitions: index rows are small, so adaptive coalescing would give one task gigabytes of archive.
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    parts = max(-(-total // TASK_BYTES), selected.sparkSession.sparkContext.defaultParallelism)
+    stretch = F.floor(F.col("offset") / F.lit(STRETCH_BYTES))
+    dealt = selected.select("file", "offset", "length").repartition(parts, "file", stretch).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, schema)
 
 
