@@ -372,8 +372,29 @@ SELECT scenario_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('0|' ||
  count(*) OVER () AS n_all FROM ({ids})"""
 
 
-part("num", num("SELECT DISTINCT scenario_id FROM scn"), "scn")
-part("pk", picks(10000, 20260816, "scn"), "num")
+# Scenarios of equal outcomes are one class; a resample splits its draws down a binary tree over the classes.
+part("cls", """
+SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5('0|' || key), 1, 8) AS BIGINT) % 1024, key) - 1 AS idx FROM (
+ SELECT key, min(scenario_id) AS rep, count(*) AS c FROM (
+  SELECT scenario_id, string_agg(threshold || ':' || alerts || ':' || falses, ',' ORDER BY threshold) AS key FROM armed GROUP BY scenario_id) GROUP BY key)""", "armed")
+part("clst", "SELECT CASE max(idx) WHEN 0 THEN 0 ELSE length(bin(max(idx))) END AS depth, sum(c)::BIGINT AS total FROM cls", "cls")
+part("clsn", """
+SELECT level, idx >> (depth-level) AS node, sum(c)::BIGINT AS size, sum(c) FILTER ((idx >> (depth-level-1)) % 2 = 0)::BIGINT AS lft
+FROM cls CROSS JOIN (SELECT depth, unnest(range(depth)) AS level FROM clst) GROUP BY ALL""", "cls", "clst")
+part("clsb", """
+SELECT level, node, n, list(cdf ORDER BY j) AS cdfs FROM (
+ SELECT level, node, n, j, sum(exp(lgamma(n+1)-lgamma(j+1)-lgamma(n-j+1) + j*ln(lft/size) + (n-j)*ln(1-lft/size))) OVER (PARTITION BY level, node, n ORDER BY j) AS cdf FROM (
+  SELECT *, unnest(range(n+1)) AS j FROM (SELECT clsn.*, unnest(range(total+1)) AS n FROM clsn CROSS JOIN clst WHERE lft < size))) GROUP BY ALL""", "clsn", "clst")
+part("pk", """
+WITH RECURSIVE t AS (
+ SELECT b, 0::BIGINT AS level, 0::BIGINT AS node, total AS n FROM range(10000) r(b) CROSS JOIN clst
+ UNION ALL
+ SELECT b, level+1, 2*node+h, CASE h WHEN 0 THEN k ELSE n-k END FROM (
+  SELECT t.*, CASE WHEN clsn.lft=clsn.size THEN t.n ELSE least(t.n, len(list_filter(clsb.cdfs, lambda x:
+    x <= (CAST('0x' || substr(md5('20260816|' || t.b || '|' || (t.level+1) || '|' || t.node), 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE)/4294967296::DOUBLE))) END AS k
+  FROM t JOIN clsn ON clsn.level=t.level AND clsn.node=t.node LEFT JOIN clsb ON clsb.level=t.level AND clsb.node=t.node AND clsb.n=t.n
+  WHERE t.n > 0) CROSS JOIN (VALUES (0),(1)) v(h))
+SELECT b, rep AS scenario_id, n AS times FROM t JOIN clst ON level=depth JOIN cls ON idx=node WHERE n > 0""", "clst", "clsn", "clsb", "cls")
 part("pdelta", """
 SELECT threshold, round(any_value(pd),4) AS precision_delta, round(lo,4) AS ci95_low, round(hi,4) AS ci95_high, lo > 0 OR hi < 0 AS excludes_zero, n AS iterations FROM (
  SELECT threshold, count(*) AS n, list_sort(list(delta))[CAST(floor(count(*)*25/1000) AS BIGINT)+1] AS lo, list_sort(list(delta))[CAST(floor(count(*)*975/1000) AS BIGINT)+1] AS hi FROM (

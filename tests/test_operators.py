@@ -1,6 +1,7 @@
 """Alerts, rules, conformance, quantiles, contracts, views and models on small inputs."""
 
 import json
+import math
 import random
 import tempfile
 
@@ -265,3 +266,53 @@ def test_gauge_counts_what_holds_each_minute(spark):
     for k in "ab":
         minutes = sorted(r.at_us // 60_000_000 for r in got if r.k == k)
         assert minutes == list(range(minutes[0], minutes[-1] + 1))
+
+
+def test_binomial_quantiles_equal_summed_probabilities():
+    rng = np.random.default_rng(1)
+    n = np.array([0, 1, 5, 17, 40, 40, 200, 200])
+    p = np.array([0.3, 0.5, 0.0, 1.0, 0.5, 0.03, 0.9, 1 / 3])
+    for _ in range(50):
+        u = rng.random(len(n))
+        want = []
+        for ui, ni, pi in zip(u, n, p):
+            k, upto = 0, (1 - pi) ** ni
+            while upto <= ui and k < ni:
+                k += 1
+                upto += math.comb(int(ni), k) * pi**k * (1 - pi) ** (ni - k)
+            want.append(k)
+        assert bootstrap.binomial_quantiles(u, n, p).tolist() == want
+    big = bootstrap.binomial_quantiles(rng.random(2000), np.full(2000, 10_000_000), np.full(2000, 0.25))
+    assert abs(big.mean() - 2_500_000) < 200 and 1200 < big.std() < 1540
+
+
+def test_class_draws_are_multinomial(spark):
+    sizes = [40, 1, 7, 2, 30]
+    classes = spark.createDataFrame(list(enumerate(sizes)), "idx long, c long")
+    rows = bootstrap.class_draws(classes, 2000, 5).collect()
+    per = np.zeros((2000, len(sizes)))
+    for r in rows:
+        per[r.b, r.idx] += r.times
+    assert (per.sum(1) == 80).all() and len(rows) <= 2000 * len(sizes)
+    share = np.array(sizes) / 80
+    assert np.allclose(per.mean(0), sizes, atol=0.4)
+    cov = 80 * (np.diag(share) - np.outer(share, share))
+    assert np.allclose(np.cov(per.T), cov, atol=1.6)
+    assert bootstrap.class_draws(classes.limit(0), 10, 1).count() == 0
+    assert {(r.b, r.times) for r in bootstrap.class_draws(classes.where("idx = 0"), 3, 1).collect()} == {(0, 40), (1, 40), (2, 40)}
+
+
+def test_paired_interval_by_classes_is_that_of_scenarios(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        kind = int(rng.integers(0, 4))  # four different outcomes
+        rows += [(f"s{i}", -1.0, 4, 1 + kind % 2), (f"s{i}", 0.5, 4, kind)]
+    per = spark.createDataFrame(rows, "scenario_id string, threshold double, alerts long, false_alerts long")
+    assert bootstrap.outcome_classes(per, "threshold").count() == 4
+    got = bootstrap.paired_precision_delta(per, arm="threshold", baseline=F.col("threshold") == -1.0, resamples=4000).first()
+    a, z = np.array([r[2:] for r in rows[1::2]]), np.array([r[2:] for r in rows[::2]])
+    pick = rng.integers(0, 120, (4000, 120))
+    deltas = (1 - a[pick, 1].sum(1) / a[pick, 0].sum(1)) - (1 - z[pick, 1].sum(1) / z[pick, 0].sum(1))
+    assert np.allclose([got.ci95_low, got.ci95_high], np.quantile(deltas, [0.025, 0.975]), atol=0.012)
+    assert got.precision_delta == round(float(z[:, 1].sum() - a[:, 1].sum()) / 480, 4) and got.iterations == 4000
