@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from oracle.parts import DEPS, EPOCH, PARTS, R, bdiff, bearing, dest_lat, dest_lon, enu_e, enu_n, hav, part, pmod, statement, un_lat, un_lon, wrap180
-from oracle.statements import _REC, END, erf, picks, num, rnd, stmt
+from oracle.statements import _REC, END, erf, picks, picture, num, rnd, stmt
 
 AS_OF = EPOCH + 200000000
 A, O = "40.6", "-100.0"
@@ -191,6 +191,9 @@ SELECT scenario_id, track_id, count(*) AS predictions, (SELECT count(*) FROM chk
 FROM trk t WHERE state <> 'terminated' GROUP BY scenario_id, track_id""", "trk", "chkl")
 stmt("j06_streamed_scan", "SELECT scenario_id, tick_us, first_track_id, second_track_id FROM con WHERE tick_us <= (SELECT (max(t_us)-2000000)//1000000*1000000 FROM trk)", "con", "trk")
 stmt("j08_streamed_checks", "SELECT scenario_id, track_id, predicted_us, matched_us, round(error_nm,4)+0.0 AS error_nm, round(error_nm,4)+0.0 AS baseline_error_nm FROM chkl", "chkl")
+# The source is silent after AS_OF; beats follow for 30 s, and a tick closes two seconds after it.
+part("pici", picture(f"(SELECT * FROM trk WHERE t_us <= {AS_OF})", f"({AS_OF}+28000000)"), "trk")
+stmt("j10_idle_source", "SELECT scenario_id, tick_us, count(*) AS tracks, max(t_us) AS newest_us FROM pici GROUP BY ALL", "pici")
 stmt("j10_scan_clock", "SELECT tick_us, max(t_us) AS newest_us, count(*) AS tracks FROM pic GROUP BY ALL", "pic")
 
 # -- data sets --------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from wakeline.plans import live
 from wakeline.sources import traffic
 from wakeline.streaming import checks
 from wakeline.streaming.alerts import lifecycle_stream
-from wakeline.streaming.scan import scan_step
+from wakeline.streaming.scan import scan_step, with_wall_clock
 from wakeline.streaming.tracking import track_updates_stream
 
 
@@ -141,3 +142,28 @@ def test_the_stored_picture_does_not_grow(spark):
         step(row.withColumn("t_us", F.lit(traffic.EPOCH_US + i * 10_000_000)), i)
         sizes.append(len(os.listdir(f"{folder}/updates")))
     assert max(sizes) == sizes[-1] <= 4 and len(os.listdir(f"{folder}/frontier")) == 2
+
+
+def test_an_idle_source_still_moves_the_scan_clock(spark):
+    """A real wall clock: updates stamped now, then silence; all ticks close until the track has vanished."""
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    row = tracking.track_updates(traffic.reports(spark, "/root/testdata/sf0.001"), as_of_us=traffic.EPOCH_US).limit(1)
+    now = int(time.time()) * 1_000_000
+    spark.createDataFrame(row.collect(), row.schema).withColumn("t_us", F.lit(now)).write.parquet(f"{root}/in")
+    source = with_wall_clock(spark.readStream.schema(row.schema).parquet(f"{root}/in"))
+    step = scan_step(lambda p: p.select("tick_us", "t_us"), f"{root}/scan")
+    q = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/chk").trigger(processingTime="1 second").start()
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and (not os.path.exists(f"{root}/scan/frontier") or _scanned(spark, root) < now + 20_000_000):
+            time.sleep(1)
+    finally:
+        q.stop()
+    got = sorted(r.tick_us for r in spark.read.parquet(f"{root}/scan/detections").collect())
+    assert got == [now + s * 1_000_000 for s in range(16)]
+    assert len(os.listdir(f"{root}/scan/updates")) <= 2
+
+
+def _scanned(spark, root):
+    newest = max((int(d.split("=")[1]) for d in os.listdir(f"{root}/scan/frontier") if os.path.exists(f"{root}/scan/frontier/{d}/_SUCCESS")), default=None)
+    return 0 if newest is None else spark.read.parquet(f"{root}/scan/frontier/batch_id={newest}").first()["scanned_us"]

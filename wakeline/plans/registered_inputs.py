@@ -555,3 +555,17 @@ def j08_streamed(spark, sf):
 def j10(spark, sf):
     p = picture.at_ticks(updates(spark, sf), until_us=traffic.end_of_data(spark, sf))
     return p.groupBy("tick_us").agg(F.max("t_us").alias("newest_us"), F.count("*").alias("tracks"))
+
+
+@query("j10_idle_source")
+def j10_idle(spark, sf):
+    """Tracks at each scan of a stream whose source falls silent, while the wall clock beats on for half a minute."""
+    folder = f"{shared_folder(spark)}/wakeline/scan-{uuid.uuid4().hex}"
+    beats = spark.range(1, 31).select((F.lit(AS_OF) + F.col("id") * 1_000_000).alias("beat_us"))
+    table = updates(spark, sf).where(F.col("t_us") <= AS_OF).unionByName(beats, allowMissingColumns=True)
+
+    def detect(ticks):
+        return ticks.groupBy("scenario_id", "tick_us").agg(F.count("*").alias("tracks"), F.max("t_us").alias("newest_us"))
+
+    streamed(None, table.withColumn("at_us", F.coalesce("t_us", "beat_us")), "at_us", each=scan.scan_step(detect, folder))
+    return spark.read.parquet(f"{folder}/detections").drop("batch_id")
