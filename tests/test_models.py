@@ -117,3 +117,23 @@ def test_ridge_is_solved_exactly(spark, rows):
     predicted = m.predict(rows).where("r_along is not null").limit(50).toPandas()
     z = np.array([(predicted[c] - m.moments[c][0]) / m.moments[c][1] for c in m.columns]).T
     assert np.allclose(predicted[["r_along", "r_cross", "r_alt"]].to_numpy(), z @ m.weights.T + m.intercepts)
+
+
+def test_boosting_stops_on_validation_and_bears_outliers(spark):
+    rng = np.random.default_rng(5)
+
+    def table(n, outliers):
+        x = rng.normal(size=(n, 20))
+        y = np.stack([np.where(x[:, 0] > 0, 1.0, -1.0) + 0.05 * rng.normal(size=n)] * 3, 1)
+        y[rng.random(n) < outliers] += 60.0
+        return spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(x, y)], [*features.FEATURE_COLUMNS, *training.TARGETS])
+
+    train, validation, test = table(1500, 0.03), table(500, 0.03), table(400, 0.0)
+    robust = training.fit_boosted(train, validation, rounds=60, depth=2)
+    assert all(m.getNumTrees < 60 for m in robust.fitted)
+
+    def error(m):
+        return m.predict(test).agg(F.avg(F.abs(F.col("r_along") - F.col(training.TARGETS[0])))).first()[0]
+
+    assert error(robust) < 0.8 * error(training.fit_boosted(train, validation, rounds=60, depth=2, robust=False))
+    assert training.fit_boosted(train, validation.limit(0), rounds=2, depth=1).predict(test).count() == 400

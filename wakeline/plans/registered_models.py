@@ -130,7 +130,7 @@ def e11_gap(spark, sf):
 
 
 HELD_OUT = ["validation", "test_same_family", "test_shifted"]
-FITS = {"ridge": training.fit_linear, "boosted": training.fit_boosted}
+FITS = {"ridge": lambda train, validation: training.fit_linear(train), "boosted": training.fit_boosted}
 
 
 def _assigned(spark, sf):
@@ -147,9 +147,9 @@ def _held_out_scores(spark, sf, names):
     out = training.scored(training.zero_residuals(rows), "dead_reckoning", "split")
     for h in training.HORIZONS_S:
         at = F.col("horizon_s") == h
-        train = d.where("split = 'train'").where(at)
+        train, validation = (d.where(F.col("split") == s).where(at) for s in ("train", "validation"))
         for n in names:
-            out = out.unionByName(training.scored(FITS[n](train).predict(rows.where(at)), n, "split"))
+            out = out.unionByName(training.scored(FITS[n](train, validation).predict(rows.where(at)), n, "split"))
     return training.score_table(cut_lineage(out), ["split"])
 
 

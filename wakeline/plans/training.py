@@ -18,10 +18,12 @@ from wakeline.functions.once import computed_once
 from wakeline.operators import features as ft
 from wakeline.operators.bootstrap import draw, numbered
 from wakeline.operators.quantiles import Quantile, quantiles
+from wakeline.session import cut_lineage
 
 # Fixed values that results depend on.
 HORIZONS_S = [30.0, 60.0, 120.0]
 TRAIN_SHARE, VALIDATION_SHARE = 0.6, 0.15
+HUBER_WIDTH = 3.0  # of median absolute residuals; about two standard deviations
 RIDGE_ALPHA = 1.0
 MATERIAL_IMPROVEMENT = 0.03
 MODEL_VERSION = "wakeline-residuals-v1"
@@ -242,14 +244,41 @@ def fit_linear(train: DataFrame, alpha: float = RIDGE_ALPHA) -> LinearModel:
     return LinearModel("ridge", list(ft.FEATURE_COLUMNS), moments, [float(m) for m in means], weights)
 
 
-def fit_boosted(train: DataFrame, rounds: int = 20, depth: int = 4) -> ResidualModel:
-    """The non-linear challenger: gradient-boosted trees per target."""
+def fit_boosted(train: DataFrame, validation: DataFrame | None = None, rounds: int = 40, depth: int = 4, robust: bool = True) -> ResidualModel:
+    """The non-linear challenger: gradient-boosted trees per target.
+
+    Boosting stops when another tree no longer helps on `validation`; without
+    validation rows it runs all rounds. `robust` fits twice: rows whose residual
+    from the first fit exceeds HUBER_WIDTH typical residuals count in inverse
+    proportion to it in the second, so squared loss acts as Huber's.
+    """
     moments, _, _ = _moments(train)
     x = VectorAssembler(inputCols=[f"z_{c}" for c in ft.FEATURE_COLUMNS], outputCol="x")
-    data = x.transform(_standardised(train, ft.FEATURE_COLUMNS, moments)).select("x", *TARGETS)
-    fitted = [
-        GBTRegressor(featuresCol="x", labelCol=y, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=11).fit(data) for y in TARGETS
-    ]
+
+    def assembled(rows: DataFrame, held: bool) -> DataFrame:
+        return x.transform(_standardised(rows, ft.FEATURE_COLUMNS, moments)).select("x", *TARGETS, F.lit(held).alias("held"))
+
+    data = assembled(train, False)
+    stops = validation is not None and not validation.isEmpty()
+    if stops:
+        data = data.unionByName(assembled(validation, True))
+    data = cut_lineage(data)
+
+    def fit(rows: DataFrame, y: str, **more: str) -> GBTRegressionModel:
+        if stops:
+            more["validationIndicatorCol"] = "held"
+        return GBTRegressor(featuresCol="x", labelCol=y, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=11, **more).fit(rows)
+
+    fitted = []
+    for y in TARGETS:
+        m = fit(data, y)
+        if robust:
+            off = m.transform(data).withColumn("off", F.abs(F.col("prediction") - F.col(y))).drop("prediction")
+            typical = off.where("not held").agg(F.percentile_approx("off", 0.5, 1000)).first()[0] or 0.0
+            limit = F.lit(HUBER_WIDTH * typical)
+            if typical > 0:
+                m = fit(off.withColumn("weight", F.least(F.lit(1.0), limit / F.greatest("off", limit))), y, weightCol="weight")
+        fitted.append(m)
     return ResidualModel("boosted", list(ft.FEATURE_COLUMNS), moments, fitted)
 
 
