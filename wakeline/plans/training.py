@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
@@ -18,6 +18,7 @@ from wakeline.functions.once import computed_once
 from wakeline.operators import features as ft
 from wakeline.operators.bootstrap import draw, numbered
 from wakeline.operators.quantiles import Quantile, quantiles
+from wakeline.operators.slices import drop_halo, with_halo
 from wakeline.session import cut_lineage
 
 # Fixed values that results depend on.
@@ -43,29 +44,39 @@ def dataset(updates: DataFrame, truth: DataFrame, horizon_s: float | list[float]
     confirmed = ft.complete(ft.with_features(updates.where("state = 'confirmed'")))
     now = F.bround((F.col("t_us") - epoch_us) / 1e6, 0).cast("int")
     spans = list(horizon_s) if isinstance(horizon_s, (list, tuple)) else [horizon_s]
-    rows = confirmed.withColumn("sec", now).withColumn("horizon_s", F.explode(F.array(*[F.lit(float(h)) for h in spans])))
-    rows = rows.withColumn("answer_sec", F.col("sec") + F.round("horizon_s").cast("int"))
-    t = truth.select("scenario_id", "icao24", "sec", "phase", "lat", "lon", "altitude_ft")
-    answer = t.select(
-        "scenario_id", "icao24", F.col("sec").alias("answer_sec"), F.col("lat").alias("a_lat"),
-        F.col("lon").alias("a_lon"), F.col("altitude_ft").alias("a_alt"),
-    )
-    labelled = rows.join(t.select("scenario_id", "icao24", "sec", "phase"), ["scenario_id", "icao24", "sec"]).join(
-        answer, ["scenario_id", "icao24", "answer_sec"]
-    )
+    labelled = confirmed.withColumn("sec", now).join(with_answers(truth, spans), ["scenario_id", "icao24", "sec"])
+    labelled = labelled.select("*", F.inline("answers")).drop("answers").where(F.col("at").isNotNull())
     h = F.col("horizon_s")
-    based = computed_once(labelled, "base", geo.project_forward("lat", "lon", "track_deg", "ground_speed_kt", h)).withColumn(
+    based = geo.with_projected(labelled, "base", "lat", "lon", "track_deg", "ground_speed_kt", h).withColumn(
         "base_alt", geo.dead_reckoned_altitude("altitude_ft", "vertical_rate_fpm", h)
     )
-    residual = geo.along_cross_error("base.lat", "base.lon", "a_lat", "a_lon", "track_deg")
-    out = computed_once(based, "res", residual)
+    out = geo.with_along_cross(based, "res", "base.lat", "base.lon", "at.lat", "at.lon", "track_deg")
     return out.select(
         "scenario_id", "icao24", "track_id", "t_us", "sec", "horizon_s", "phase", *ft.FEATURE_COLUMNS,
-        F.col("res.along").alias("y_along"), F.col("res.cross").alias("y_cross"), (F.col("a_alt") - F.col("base_alt")).alias("y_alt"),
+        F.col("res.along").alias("y_along"), F.col("res.cross").alias("y_cross"), (F.col("at.altitude_ft") - F.col("base_alt")).alias("y_alt"),
         F.hypot("res.along", "res.cross").alias("baseline_error_nm"),
     )
 
 
+def with_answers(truth: DataFrame, spans: list[float]) -> DataFrame:
+    """True phase of every second, and the true place at each horizon from there (`at`, null where the flight ends before).
+
+    A flight has one row a second. The look ahead is bounded, so windows run per
+    (aircraft, time slice); feature rows then meet one truth row, not one for each horizon.
+    """
+    t = truth.select("scenario_id", "icao24", "sec", "phase", "lat", "lon", "altitude_ft", (F.col("sec").cast("long") * 1_000_000).alias("at_us"))
+    order = Window.partitionBy("scenario_id", "icao24", "slice").orderBy("sec")
+    here = F.struct("lat", "lon", "altitude_ft")
+
+    def answer(h: float) -> Column:
+        ahead = round(h)
+        return F.struct(F.lit(float(h)).alias("horizon_s"), F.first(here).over(order.rangeBetween(ahead, ahead)).alias("at"))
+
+    seen = with_halo(t, t_us="at_us", after_s=float(max(spans) + 1.0)).withColumn("answers", F.array(*[answer(h) for h in spans]))
+    known = drop_halo(seen).where(F.exists("answers", lambda a: a["at"].isNotNull()))
+    return known.select("scenario_id", "icao24", "sec", "phase", "answers")
+
+
 def splits(scenarios: DataFrame, shifted: Column | None = None, seed: int = 7) -> DataFrame:
     """scenario_id -> train / validation / test_same_family / test_shifted.
 
@@ -161,13 +172,14 @@ def _standardised(rows: DataFrame, columns: list[str], moments: dict[str, tuple[
     return rows.select("*", *z)
 
 
-def _moments(train: DataFrame) -> tuple[dict[str, tuple[float, float]], int, dict[str, float]]:
-    """One pass: feature means and scales, row count, label deviations (63 numbers)."""
+def _moments(train: DataFrame) -> tuple[dict[str, tuple[float, float]], int, dict[str, float], list[float]]:
+    """One pass: feature means and scales, row count, label deviations and means (67 numbers)."""
     aggs = [F.avg(c).alias(f"m_{c}") for c in ft.FEATURE_COLUMNS] + [F.stddev_pop(c).alias(f"s_{c}") for c in ft.FEATURE_COLUMNS]
     aggs += [F.stddev_pop(y).alias(f"s_{y}") for y in TARGETS] + [F.count("*").alias("n")]
+    aggs += [F.avg(y).alias(f"m_{y}") for y in TARGETS]
     row = train.agg(*aggs).first()
     m = {c: (row[f"m_{c}"], row[f"s_{c}"] if row[f"s_{c}"] >= 1e-9 else 1.0) for c in ft.FEATURE_COLUMNS}
-    return m, row["n"], {y: row[f"s_{y}"] for y in TARGETS}
+    return m, row["n"], {y: row[f"s_{y}"] for y in TARGETS}, [row[f"m_{y}"] for y in TARGETS]
 
 
 def fit_ridge(train: DataFrame, alpha: float = RIDGE_ALPHA) -> ResidualModel:
@@ -176,7 +188,7 @@ def fit_ridge(train: DataFrame, alpha: float = RIDGE_ALPHA) -> ResidualModel:
     MLlib scales the label internally and averages the loss over rows; both are
     undone in the penalty so that it equals `alpha` on the plain sum of squares.
     """
-    moments, n, label_std = _moments(train)
+    moments, n, label_std, _ = _moments(train)
     x = VectorAssembler(inputCols=[f"z_{c}" for c in ft.FEATURE_COLUMNS], outputCol="x")
     data = x.transform(_standardised(train, ft.FEATURE_COLUMNS, moments)).select("x", *TARGETS)
     fitted = [
@@ -237,8 +249,7 @@ def normal_equations(train: DataFrame, moments: dict[str, tuple[float, float]],
 
 def fit_linear(train: DataFrame, alpha: float = RIDGE_ALPHA) -> LinearModel:
     """Ridge regression solved exactly: minimises the plain sum of squares plus `alpha` on the weights, intercept free."""
-    moments, _, _ = _moments(train)
-    means = list(train.agg(*[F.avg(y) for y in TARGETS]).first())
+    moments, _, _, means = _moments(train)
     sums, k = normal_equations(train, moments, means), len(ft.FEATURE_COLUMNS)
     weights = np.linalg.solve(sums[:k, :k] + alpha * np.eye(k), sums[:k, k:]).T
     return LinearModel("ridge", list(ft.FEATURE_COLUMNS), moments, [float(m) for m in means], weights)
@@ -252,7 +263,7 @@ def fit_boosted(train: DataFrame, validation: DataFrame | None = None, rounds: i
     from the first fit exceeds HUBER_WIDTH typical residuals count in inverse
     proportion to it in the second, so squared loss acts as Huber's.
     """
-    moments, _, _ = _moments(train)
+    moments, _, _, _ = _moments(train)
     x = VectorAssembler(inputCols=[f"z_{c}" for c in ft.FEATURE_COLUMNS], outputCol="x")
 
     def assembled(rows: DataFrame, held: bool) -> DataFrame:
