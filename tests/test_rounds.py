@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.plans import training
+from wakeline.plans import registered_inputs, training
 from wakeline.plans.registered import load_all
 from wakeline.sources import traffic
 
@@ -53,3 +53,15 @@ def test_geometry_over_rows_equals_its_expressions(spark):
         "w3", geo.along_cross_error("a", "b", "c", "d", "t").alias("e3"), "w4", geo.apply_along_cross("a", "b", "n", F.lit(1.5), "t").alias("e4"),
     ).collect():
         assert (r.w1, r.w2, r.w3, r.w4) == (r.e1, r.e2, r.e3, r.e4)
+
+
+def test_no_part_of_a_streamed_table_is_one_task(spark):
+    seen = []
+
+    def each(batch, _):
+        seen.append((batch.select(F.input_file_name()).distinct().count(), batch.agg(F.min("t"), F.max("t"), F.count("*")).first()))
+
+    registered_inputs.streamed(None, spark.range(0, 4000, 1, 16).withColumnRenamed("id", "t"), "t", each=each)
+    assert sum(r[2] for _, r in seen) == 4000 and len(seen) == 4
+    assert all(a[1] < b[0] for (_, a), (_, b) in zip(seen, seen[1:]))
+    assert all(files > 1 for files, _ in seen)
