@@ -96,3 +96,26 @@ def test_attribution_in_slices(spark, slice_s):
         cause = min((x for x in m if x[1] == who and 0 <= at - x[2] <= 240.0), key=lambda x: (-x[2], x[3]), default=None)
         want.append((s, who, at, cause is not None, cause[2] if cause else None, cause[3] if cause else None))
     assert sorted(map(tuple, got.drop("lag_s").collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_events_of_copied_paths_are_those_of_every_pair(spark, seed):
+    """Copies of a path, some of them seen later or shorter, have the events that second-by-second violations give."""
+    rng, rows = random.Random(seed), []
+    for path in range(12):
+        lat, lon, alt = 40.0 + rng.random() * 0.2, -75.0 + rng.random() * 0.2, rng.choice([30000.0, 30500.0, 31500.0])
+        for copy in range(5):
+            start, end = (0, 200) if copy < 3 else (rng.randrange(40), rng.randrange(120, 200))
+            hidden = (60, 60 + rng.choice([20, 45])) if copy == 4 else (0, 0)
+            for sec in range(start, end, 3):
+                if not hidden[0] <= sec < hidden[1]:
+                    state = None if sec == 99 and path == 3 else alt
+                    rows.append(("s", f"{path * 5 + copy:06x}", sec, lat + path * sec * 2e-5, lon + (path % 3) * sec * 3e-4, state))
+    df = spark.createDataFrame(rows, "scenario_id string, icao24 string, sec int, lat double, lon double, altitude_ft double").cache()
+    parts = truth.event_parts(df).cache()
+    found = truth.violations(df).cache()
+    want = {tuple(r) for r in truth.conflict_events(found).collect()}
+    assert want and {tuple(r) for r in truth.joined_parts(parts, slice_s=50.0).collect()} == want
+    # One row a pair and block of 31 s, and copies that are equal in a block are compared as one.
+    assert parts.count() == found.select("first_icao24", "second_icao24", F.floor(F.col("sec") / 31)).distinct().count()
+    assert truth.copies(df, 31).where("block = 3").agg(F.countDistinct("copy_of")).first()[0] < df.where("sec between 93 and 123").agg(F.countDistinct("icao24")).first()[0]
