@@ -119,3 +119,16 @@ def test_events_of_copied_paths_are_those_of_every_pair(spark, seed):
     # One row a pair and block of 31 s, and copies that are equal in a block are compared as one.
     assert parts.count() == found.select("first_icao24", "second_icao24", F.floor(F.col("sec") / 31)).distinct().count()
     assert truth.copies(df, 31).where("block = 3").agg(F.countDistinct("copy_of")).first()[0] < df.where("sec between 93 and 123").agg(F.countDistinct("icao24")).first()[0]
+
+
+def test_a_lifecycle_works_detections_out_once(spark):
+    df, rows = detections(spark, 5, n=60)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    alerts.lifecycle(df.mapInArrow(counted, DETECTION), last_tick_us=10**12, by=["arm"]).count()
+    assert made.value == len(rows)
