@@ -55,3 +55,16 @@ def test_no_part_of_a_streamed_table_is_one_task(spark):
     assert sum(r[2] for _, r in seen) == 4000 and len(seen) == 4
     assert all(a[1] < b[0] for (_, a), (_, b) in zip(seen, seen[1:]))
     assert all(files > 1 for files, _ in seen)
+
+
+def test_alerts_of_other_kinds_scan_no_pairs(spark, monkeypatch):
+    from wakeline.operators import conflicts
+    from wakeline.plans.registered import QUERIES, load_all
+
+    load_all()
+
+    def scanned(*args, **kwargs):
+        raise AssertionError("pairs were scanned")
+
+    monkeypatch.setattr(conflicts, "predicted_conflicts", scanned)
+    assert QUERIES["a12_alerts_of_kind"](spark, "/root/testdata/sf0.001").columns == ["scenario_id", "alert_key", "kind", "updated_us"]

@@ -248,7 +248,7 @@ def g04(spark, sf):
 
 
 def _active(spark, sf, kinds=None):
-    return views.active_alerts(live.alert_stream(sky(spark, sf)), AS_OF, kinds)
+    return views.active_alerts(live.alert_stream(sky(spark, sf), kinds=kinds), AS_OF, kinds)
 
 
 @query("a09_active_alerts")
