@@ -68,3 +68,54 @@ def test_alerts_of_other_kinds_scan_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(conflicts, "predicted_conflicts", scanned)
     assert QUERIES["a12_alerts_of_kind"](spark, "/root/testdata/sf0.001").columns == ["scenario_id", "alert_key", "kind", "updated_us"]
+
+
+def test_first_alerts_need_no_lifecycle(spark, monkeypatch):
+    """Spells that end and open again, a vanishing, and several thresholds: the alert raised first is the pair's first conflict."""
+    from wakeline.operators import alerts, scoring
+    from wakeline.plans import evaluation
+
+    ticks = {("trk-00000a", "trk-00000b"): [0, 1, 2, 9, 10, 30], ("trk-00000a", "trk-00000c"): [5], ("trk-00000b", "trk-00000c"): [3, 4, 40]}
+    rows = [("s", t * 1_000_000, *p, None, None, 60.0 - t, 0.1 * t, 300.0, 7.0, 900.0, 300.0, 0.01 * (t + 1), 12_000_000 if t == 10 else None) for p, at in ticks.items() for t in at]
+    found = spark.createDataFrame(
+        rows, "scenario_id string, tick_us long, first_track_id string, second_track_id string, first_callsign string, second_callsign string,"
+        " time_to_cpa_s double, min_horizontal_nm double, min_vertical_ft double, current_horizontal_nm double, current_vertical_ft double,"
+        " lookahead_s double, probability double, vanish_tick_us long")
+    levels = [0.01, 0.05, 0.30]
+    each = found.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in levels]))).where("probability >= threshold")
+    life = alerts.conflict_lifecycle(each, last_tick_us=60_000_000, by=["threshold"], sustain=False)
+    wanted = sorted(scoring.first_raised(life, ["threshold"]).collect())
+    called = []
+    monkeypatch.setattr(alerts, "lifecycle", lambda *a, **k: called.append(a))
+    got = evaluation.raised_alerts(found, verdicts={"threshold": {x: F.col("probability") >= x for x in levels}})
+    assert sorted(got.collect()) == wanted and len(wanted) == 8 and not called
+    renamed = found.withColumnRenamed("min_horizontal_nm", "min_horizontal_sep_nm")
+    one = {tuple(r[:2]): r for r in evaluation.raised_alerts(renamed, evidence=["min_horizontal_sep_nm"]).collect()}
+    assert len(one) == 3 and one["s", "predicted_conflict:trk-00000b:trk-00000c"].min_horizontal_sep_nm == 0.1 * 3
+
+
+def test_pairs_folded_in_blocks_are_those_of_the_scan(spark):
+    """Blocks of seven tracks and slices of two ticks give the scan's first conflicts, counts and soonest at each lookahead."""
+    import numpy as np
+
+    from wakeline.operators import conflicts, pair_blocks, picture
+
+    rng = np.random.default_rng(5)
+    rows = [(s, k * 1_000_000, f"trk-{i:06x}", 40.0 + float(y), -75.0 + float(x), float(z), float(g), float(h), float(v))
+            for s in "ab" for k in range(5)
+            for i, (y, x, z, g, h, v) in enumerate(zip(rng.uniform(-1, 1, 40), rng.uniform(-1, 1, 40), rng.uniform(30000, 34000, 40), rng.uniform(0, 600, 40), rng.uniform(0, 360, 40), rng.choice([0.0, 2000.0], 40)))]
+    p = spark.createDataFrame(rows, "scenario_id string, tick_us long, track_id string, lat double, lon double, altitude_ft double, ground_speed_kt double, track_deg double, vertical_rate_fpm double")
+    p = p.withColumns({"update_count": F.lit(9), "callsign": F.lit(None).cast("string"), "vanish_tick_us": F.lit(None).cast("long")}).cache()
+    spans = [60.0, 300.0]
+    scan = conflicts.predicted_conflicts(p, lookahead_s=spans).cache()
+    framed = picture.in_shared_frame(picture.eligible(p))
+    parts = pair_blocks.first_conflicts(framed, spans, 5.0, 1000.0, size=7, slice_s=2)
+    ids = ["lookahead_s", "scenario_id", "first_track_id", "second_track_id"]
+
+    def first(df):
+        return sorted(df.groupBy(*ids).agg(F.min("tick_us"), F.round(F.min_by("min_horizontal_nm", "tick_us"), 6)).collect())
+
+    assert first(parts) == first(scan) and len(first(scan)) > 100
+    counted = pair_blocks.conflict_tallies(framed, spans, 5.0, 1000.0, size=7, slice_s=2).groupBy("lookahead_s").agg(F.sum("n"), F.round(F.min("time_to_cpa_s"), 6), F.min("first_us"))
+    wanted = scan.groupBy("lookahead_s").agg(F.count("*"), F.round(F.min("time_to_cpa_s"), 6), F.min("tick_us"))
+    assert sorted(counted.collect()) == sorted(wanted.collect())
