@@ -119,3 +119,22 @@ def test_pairs_folded_in_blocks_are_those_of_the_scan(spark):
     counted = pair_blocks.conflict_tallies(framed, spans, 5.0, 1000.0, size=7, slice_s=2).groupBy("lookahead_s").agg(F.sum("n"), F.round(F.min("time_to_cpa_s"), 6), F.min("first_us"))
     wanted = scan.groupBy("lookahead_s").agg(F.count("*"), F.round(F.min("time_to_cpa_s"), 6), F.min("tick_us"))
     assert sorted(counted.collect()) == sorted(wanted.collect())
+
+
+def test_closest_approach_makes_no_row_a_second(spark):
+    """Asked pairs of blocks of three and slices of 40 s equal the join by the second; a pair that never meets is left out."""
+    from wakeline.operators import pair_blocks, truth
+
+    rows = [("s", f"{i:06x}", t, 40.0 + 0.01 * i + 0.001 * t * (-1) ** i, -75.0 + 0.002 * t * i, 30000.0 + 400.0 * i) for i in range(7) for t in range(10 * i, 10 * i + 100 if i < 6 else 61)]
+    rows.append(("s", "00000f", 500, 40.0, -75.0, 30000.0))
+    t = spark.createDataFrame(rows, "scenario_id string, icao24 string, sec int, lat double, lon double, altitude_ft double").cache()
+    ids = t.select("scenario_id", "icao24").distinct()
+    pairs = ids.withColumnRenamed("icao24", "first_icao24").join(ids.withColumnRenamed("icao24", "second_icao24"), "scenario_id").where("first_icao24 < second_icao24")
+    a = t.selectExpr("icao24 first_icao24", "sec", "lat la", "lon lo", "altitude_ft z")
+    met = pairs.join(a, "first_icao24").join(t.withColumnRenamed("icao24", "second_icao24"), ["scenario_id", "second_icao24", "sec"])
+    h, v = F.round(geo.haversine_nm("la", "lo", "lat", "lon"), 9), F.abs(F.col("z") - F.col("altitude_ft"))
+    wanted = met.select(*truth.PAIR, "sec", h.alias("h"), v.alias("v")).groupBy(*truth.PAIR).agg(F.min("h"), F.min_by("v", F.struct("h", "sec")), F.bool_or(F.expr("h < 5 and v < 1000")))
+    parts = pair_blocks.closest(t, pairs, 5.0, 1000.0, size=3, slice_s=40)
+    got = parts.groupBy(*truth.PAIR).agg(F.round(F.min("h"), 9), F.min_by("v", F.struct("h", "sec")), F.bool_or("conflicted"))
+    assert sorted(got.collect()) == sorted(wanted.collect()) and 15 < got.count() < pairs.count()
+    assert truth.closest_approach(t, pairs).count() == got.count()

@@ -7,6 +7,7 @@ Angles are degrees, distances nautical miles, speeds knots, rates feet/minute.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +97,14 @@ def haversine_nm(lat1, lon1, lat2, lon2) -> Column:
     return _distance_nm(_half_chord(_between(lat1, lon1, lat2, lon2)))
 
 
+def haversine_of(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """:func:`haversine_nm` of arrays."""
+    p1, p2 = np.radians(lat1), np.radians(lat2)
+    half_lat, half_lon = np.sin((p2 - p1) / 2.0), np.sin(np.radians(lon2 - lon1) / 2.0)
+    a = half_lat * half_lat + np.cos(p1) * np.cos(p2) * half_lon * half_lon
+    return np.arcsin(np.clip(np.sqrt(a), 0.0, 1.0)) * (2.0 * EARTH_RADIUS_NM)
+
+
 def initial_bearing(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle departure bearing; coincident points give 0."""
     x, y = _heading(_between(lat1, lon1, lat2, lon2))

@@ -18,13 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.functions import labels
+from wakeline.functions import geo, labels
 from wakeline.session import cut_lineage
 
 # Any values give the same result.
 BLOCK = 512
 SLICE_S = 512
 _CHUNK = 24
+_PAIRS = 256
 
 GROUP = ["scenario_id", "slice", "low", "high"]
 _STATE = ["east_nm", "north_nm", "v_east_kt", "v_north_kt", "altitude_ft", "vertical_rate_fpm"]
@@ -208,3 +209,50 @@ def conflict_tallies(framed: DataFrame, spans: list[float], horizontal_nm: float
     return parts.groupBy("scenario_id", "lookahead_s", "severity").agg(
         F.sum("n").alias("n"), F.min("time_to_cpa_s").alias("time_to_cpa_s"), F.min("first_us").alias("first_us")
     )
+
+
+_PLACE = ["lat", "lon", "altitude_ft"]
+
+
+def closest(truth: DataFrame, pairs: DataFrame, horizontal_nm: float, vertical_ft: float, *, size: int = BLOCK, slice_s: float = SLICE_S) -> DataFrame:
+    """The given pairs in each slice of time they share: least distance, the height between them then, whether they conflicted.
+
+    Asked pairs go to the group of their blocks, so no row is made for a pair and second.
+    """
+    dealt = cut_lineage(paths(truth, "icao24", "sec", _PLACE, slice_s, size))
+    own = dealt.select("scenario_id", F.col("slice").alias("_at"), F.col("id").alias("first_icao24"), F.col("block").alias("_b1"))
+    ids = dealt.select("scenario_id", F.col("slice").alias("_at"), F.col("id").alias("second_icao24"), F.col("block").alias("_b2"))
+    asked = pairs.select("scenario_id", "first_icao24", "second_icao24").distinct()
+    asked = asked.join(own, ["scenario_id", "first_icao24"]).join(ids, ["scenario_id", "_at", "second_icao24"])
+    asked = asked.withColumns({"low": F.least("_b1", "_b2"), "high": F.greatest("_b1", "_b2")}).drop("_b1", "_b2")
+    asked = asked.withColumnRenamed("_at", "slice").repartition(_width(dealt), *GROUP)
+    schema = ("scenario_id string, first_icao24 string, second_icao24 string, h double, sec int, v double, conflicted boolean")
+
+    def fold(paths_: pa.Table, wanted: pa.Table) -> pa.Table:
+        ids = paths_.column("id").combine_chunks()
+        sec = _flat(paths_, "sec")
+        out = []
+        if wanted.num_rows and len(sec):
+            start = int(sec.min())
+            row = np.repeat(np.arange(len(ids)), pc.list_value_length(paths_.column("sec")).to_numpy())
+            lat, lon, alt = (np.full((len(ids), int(sec.max()) - start + 1), np.nan) for _ in _PLACE)
+            for grid, name in zip((lat, lon, alt), _PLACE):
+                grid[row, sec - start] = _flat(paths_, name)
+            first, second = (pc.index_in(wanted.column(c), value_set=ids).to_numpy() for c in ("first_icao24", "second_icao24"))
+            for at in range(0, len(first), _PAIRS):
+                a, b = first[at : at + _PAIRS], second[at : at + _PAIRS]
+                h = geo.haversine_of(lat[a], lon[a], lat[b], lon[b])
+                met = np.flatnonzero(~np.isnan(h).all(axis=1))
+                a, b, h = a[met], b[met], h[met]
+                v = np.abs(alt[a] - alt[b])
+                when = np.nanargmin(h, axis=1) if len(h) else np.zeros(0, int)  # the earliest of equals
+                k = np.arange(len(h))
+                out.append([at + met, h[k, when], when + start, v[k, when], ((h < horizontal_nm) & (v < vertical_ft)).any(axis=1)])
+        which, *found = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0, int)] * 5
+        own = wanted.select(["scenario_id", "first_icao24", "second_icao24"]).take(pa.array(which, pa.int64()))
+        types = (pa.float64(), pa.int32(), pa.float64(), pa.bool_())
+        columns = [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(found, types)]
+        return pa.table([*own.columns, *columns], names=[f.split()[0] for f in schema.split(",")])
+
+    both = beside_each_block(dealt).groupBy(*GROUP).cogroup(asked.groupBy(*GROUP))
+    return both.applyInArrow(fold, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.operators import segments
+from wakeline.operators import pair_blocks, segments
 from wakeline.operators.slices import SLICE_S
 from wakeline.session import cut_lineage
 
@@ -131,24 +131,12 @@ def event_parts(truth: DataFrame, bridge_s: int = EVENT_BRIDGE_S, *, horizontal_
 def closest_approach(truth: DataFrame, pairs: DataFrame, *, horizontal_nm: float = 5.0, vertical_ft: float = 1000.0) -> DataFrame:
     """How near the given pairs ever came, the vertical gap then, and whether they conflicted.
 
-    Only pairs somebody asked about are followed, so the work grows with the
-    pairs and never with all combinations of aircraft.
+    Only pairs somebody asked about are followed, and never as a row for each
+    second: they are looked up in blocks of paths.
     """
-    pos = ["lat", "lon", "altitude_ft"]
-    a = truth.select("scenario_id", F.col("icao24").alias("first_icao24"), "sec", *[F.col(c).alias(f"a_{c}") for c in pos])
-    b = truth.select("scenario_id", F.col("icao24").alias("second_icao24"), "sec", *[F.col(c).alias(f"b_{c}") for c in pos])
-    followed = (
-        pairs.select(*PAIR).distinct()
-        .join(a, ["scenario_id", "first_icao24"])
-        .join(b, ["scenario_id", "second_icao24", "sec"])
-        .select(
-            *PAIR, "sec",
-            geo.haversine_nm("a_lat", "a_lon", "b_lat", "b_lon").alias("h"),
-            F.abs(F.col("a_altitude_ft") - F.col("b_altitude_ft")).alias("v"),
-        )
-    )
-    return followed.groupBy(*PAIR).agg(
+    parts = pair_blocks.closest(truth, pairs, horizontal_nm, vertical_ft)
+    return parts.groupBy(*PAIR).agg(
         F.min("h").alias("true_min_horizontal_nm"),
         F.min_by("v", F.struct("h", "sec")).alias("true_vertical_at_closest_ft"),
-        F.bool_or((F.col("h") < horizontal_nm) & (F.col("v") < vertical_ft)).alias("ever_conflicted"),
+        F.bool_or("conflicted").alias("ever_conflicted"),
     )
