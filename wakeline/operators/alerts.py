@@ -308,6 +308,26 @@ def conflict_lifecycle(conflicts: DataFrame, *, by: list[str] | None = None, **k
     return lifecycle(keyed, by=by, labelled=lambda rows, told: from_conflicts(rows, by=told), **kwargs)
 
 
+def running_span(as_of_us: int, last_tick_us: int, tick_s: float = 1.0, clear_after: int = CLEAR_AFTER_SCANS) -> tuple[int, int]:
+    """First and last instant of the detections that decide which alerts run at `as_of_us`."""
+    now = min(as_of_us, last_tick_us)
+    return now - clear_after * int(tick_s * 1e6) + 1, now
+
+
+def running_at(detections: DataFrame, as_of_us: int, *, last_tick_us: int, tick_s: float = 1.0, clear_after: int = CLEAR_AFTER_SCANS) -> DataFrame:
+    """Keys with an alert that `lifecycle` has raised and not cleared by an instant, and the tracks it names.
+
+    A spell is cleared `clear_after` scans after its last detection, or when a
+    member track vanishes, and the next detection then comes later. So an alert
+    runs just if the key's last detection up to the instant is younger than
+    that and its tracks are still there.
+    """
+    first, now = running_span(as_of_us, last_tick_us, tick_s, clear_after)
+    recent = detections.where(F.col("tick_us").between(first, now))
+    last = recent.groupBy(*KEY).agg(F.max_by(F.struct("vanish_tick_us", "track_ids"), "tick_us").alias("d"))
+    return last.where(F.coalesce(F.col("d.vanish_tick_us") > now, F.lit(True))).select(*KEY, "d.track_ids")
+
+
 def hit_by_vanished(active: DataFrame, vanished_tracks: DataFrame) -> DataFrame:
     """Alerts of which a member track vanished, with the vanishing track."""
     members = active.withColumn("track_id", F.explode("track_ids"))

@@ -233,6 +233,18 @@ def tallies(
     return pair_blocks.conflict_tallies(in_shared_frame(eligible(picture, min_updates)), spans, horizontal_nm, vertical_ft)
 
 
+def tracks_in_conflict(
+    picture: DataFrame, counted: Column, *, horizontal_nm: float = HORIZONTAL_NM, vertical_ft: float = VERTICAL_FT,
+    lookahead_s: float = LOOKAHEAD_S, min_updates: int = MIN_UPDATES,
+) -> DataFrame:
+    """Tracks of `predicted_conflicts` between rows that are `counted`, each once or a few times.
+
+    Rows that are not counted still belong to their picture's frame.
+    """
+    framed = in_shared_frame(eligible(picture, min_updates)).where(counted)
+    return pair_blocks.in_conflict(framed, float(lookahead_s), horizontal_nm, vertical_ft)
+
+
 def scored_pairs(
     picture: DataFrame, *, horizontal_nm: float = HORIZONTAL_NM, vertical_ft: float = VERTICAL_FT,
     lookahead_s: float = LOOKAHEAD_S, min_updates: int = MIN_UPDATES, least: float | None = None,

@@ -84,20 +84,36 @@ class _Sky:
             left = self.left[self.path[rows]]
             yield int(tick), rows[left], rows if self.same else rows[~left]
 
-    def conflicts(self, spans: list[float], horizontal_nm: float, vertical_ft: float, seen: np.ndarray | None = None) -> Iterator[tuple]:
-        """(tick, lookahead number, path, path, time, horizontal, vertical) of conflicts, each once; `seen` marks pairs of paths to leave out."""
-        longest = max(spans)
+    def meetings(self, named: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each tick with some rows of the left block and those of the right that they meet; `named` paths do not meet each other."""
         for tick, left, right in self.instants():
-            own, other = ([c[rows] for c in self.state] for rows in (left, right))
-            p, q = self.path[left], self.path[right]
             for at in range(0, len(left), _CHUNK):
-                chunk = slice(at, at + _CHUNK)
-                near = _perhaps([c[chunk] for c in own], other, longest, horizontal_nm, vertical_ft)
-                i, j = np.divmod(np.flatnonzero(near).astype(np.int32), np.int32(len(q) or 1))
-                i += np.int32(at)
+                rows = left[at : at + _CHUNK]
+                if named is None:
+                    yield tick, rows, right
+                    continue
+                known = named[self.path[rows]]
+                yield tick, rows[~known], right
+                yield tick, rows[known], right[~named[self.path[right]]]
+
+    def conflicts(self, spans: list[float], horizontal_nm: float, vertical_ft: float, seen: np.ndarray | None = None,
+                  named: np.ndarray | None = None) -> Iterator[tuple]:
+        """(tick, lookahead number, path, path, time, horizontal, vertical) of conflicts, each once.
+
+        `seen` marks pairs of paths to leave out. `named` marks paths that need
+        no more conflicts among themselves, and may grow meanwhile; others are then told once or twice.
+        """
+        longest, held = max(spans), None
+        for tick, left, right in self.meetings(named):
+            if len(left) and len(right):
+                if right is not held:
+                    held, other, q = right, [c[right] for c in self.state], self.path[right]
+                own, p = [c[left] for c in self.state], self.path[left]
+                near = _perhaps(own, other, longest, horizontal_nm, vertical_ft)
+                i, j = np.divmod(np.flatnonzero(near).astype(np.int32), np.int32(len(q)))
                 kept = np.ones(len(i), bool)
                 if self.same:
-                    kept &= p[i] < q[j]
+                    kept &= p[i] < q[j] if named is None else p[i] != q[j]
                 if seen is not None:
                     kept &= ~seen[p[i], q[j]]
                 i, j = i[kept], j[kept]
@@ -185,6 +201,24 @@ def first_conflicts(framed: DataFrame, spans: list[float], horizontal_nm: float,
     return _framed(framed, slice_s, size).groupBy(*GROUP).applyInArrow(fold, schema)
 
 
+def in_conflict(framed: DataFrame, span: float, horizontal_nm: float, vertical_ft: float, *, size: int = BLOCK, slice_s: float = SLICE_S) -> DataFrame:
+    """Tracks with any conflict: scenario_id, track_id, at most once for each block that they meet.
+
+    A task leaves out what two tracks that it has named already do to each other, so in a dense sky it looks at few pairs.
+    """
+    schema = "scenario_id string, track_id string"
+
+    def fold(table: pa.Table) -> pa.Table:
+        sky = _Sky(table)
+        named = np.zeros(len(sky.ids), bool)
+        for _, _, a, b, *_ in sky.conflicts([span], horizontal_nm, vertical_ft, named=named):
+            named[a] = named[b] = True
+        rows = pa.array(np.flatnonzero(named))
+        return pa.table([table.column("scenario_id").combine_chunks().take(rows), sky.ids.take(rows)], names=["scenario_id", "track_id"])
+
+    return _framed(framed, slice_s, size).groupBy(*GROUP).applyInArrow(fold, schema)
+
+
 def conflict_tallies(framed: DataFrame, spans: list[float], horizontal_nm: float, vertical_ft: float, *, size: int = BLOCK, slice_s: float = SLICE_S) -> DataFrame:
     """Conflicts by scenario, lookahead and severity: how many, the soonest, and the tick of the first."""
     schema = "scenario_id string, lookahead_s double, severity string, n long, time_to_cpa_s double, first_us long"

@@ -41,16 +41,22 @@ def validity(updates: DataFrame, *, tick_s: float = SCAN_INTERVAL_S, stale_s: fl
 
 
 def at_ticks(updates: DataFrame, *, tick_s: float = SCAN_INTERVAL_S, stale_s: float = STALE_AFTER_S,
-             until_us: int | None = None) -> DataFrame:
-    """One row per (track, scan tick) with the update that rules it."""
+             until_us: int | None = None, within: tuple[int, int] | None = None) -> DataFrame:
+    """One row per (track, scan tick) with the update that rules it.
+
+    `within` names the first and last instant whose ticks are laid out; their rows are those of the whole picture.
+    """
     tick = int(tick_s * 1e6)
     v = validity(updates, tick_s=tick_s, stale_s=stale_s)
     last = F.col("until_tick_us")
     if until_us is not None:
         last = F.least(last, F.lit(until_us))
         v = v.withColumn("vanish_tick_us", F.when(F.col("vanish_tick_us") <= until_us, F.col("vanish_tick_us")))
-    v = v.where(F.col("from_tick_us") <= last)
-    return v.withColumn("tick_us", F.explode(F.sequence(F.col("from_tick_us"), last, F.lit(tick)))).drop(
+    first = F.col("from_tick_us")
+    if within is not None:
+        first, last = F.greatest(first, F.lit(-(-within[0] // tick) * tick)), F.least(last, F.lit(within[1]))
+    v = v.where(first <= last)
+    return v.withColumn("tick_us", F.explode(F.sequence(first, last, F.lit(tick)))).drop(
         "from_tick_us", "until_tick_us"
     )
 

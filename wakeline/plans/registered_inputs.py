@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import geo
 from wakeline.functions import probability as pr
-from wakeline.operators import alerts, conflicts, conformance, features, picture, telemetry, views
+from wakeline.operators import conflicts, conformance, features, picture, telemetry, views
 from wakeline.plans import live
 from wakeline.plans.registered import AS_OF, EPOCH, query, rnd, scenario_table, sky, updates
 from wakeline.session import cut_lineage, shared_folder
@@ -273,10 +273,8 @@ def g03(spark, sf):
 
 @query("d15_alerted_tracks")
 def d15(spark, sf):
-    s = sky(spark, sf)
-    t = views.live_tracks(s.updates, AS_OF)
-    a = views.active_alerts(live.alert_stream(s), AS_OF)
-    return alerts.flag_alerted(t, a).select("scenario_id", "track_id", "alerted")
+    t = live.alerted_tracks(traffic.reports(spark, sf), AS_OF, until_us=traffic.end_of_data(spark, sf))
+    return t.select("scenario_id", "track_id", "alerted")
 
 
 @query("a10_history_tail")
