@@ -8,8 +8,10 @@ Angles are degrees, distances nautical miles, speeds knots, rates feet/minute.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wakeline.functions.once import computed_once
 
@@ -208,6 +210,33 @@ def constant_turn(lat, lon, track_deg, speed_kt, turn_rate_deg_s, seconds) -> Co
     )
 
 
+def _destination_of(lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, distance_nm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`destination_point` of arrays."""
+    p, th, d = np.radians(lat), np.radians(bearing), distance_nm / EARTH_RADIUS_NM
+    sin_p, cos_p, sin_d, cos_d = np.sin(p), np.cos(p), np.sin(d), np.cos(d)
+    sine = np.clip(sin_p * cos_d + cos_p * sin_d * np.cos(th), -1.0, 1.0)
+    turn = np.arctan2(np.sin(th) * sin_d * cos_p, cos_d - sin_p * sine)
+    return np.degrees(np.arcsin(sine)), np.mod(np.degrees(np.radians(lon) + turn) + 180.0, 360.0) - 180.0
+
+
+@F.arrow_udf(StructType([StructField("lat", DoubleType()), StructField("lon", DoubleType())]))
+def constant_turn_of(lat: pa.Array, lon: pa.Array, track_deg: pa.Array, speed_kt: pa.Array, turn_rate_deg_s: pa.Array, seconds: pa.Array) -> pa.Array:
+    """:func:`constant_turn` of double columns, a batch at a time: a leg is flown by all rows at once."""
+    given = [lat, track_deg, speed_kt, turn_rate_deg_s, seconds]
+    unknown = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in given], axis=0)
+    y, hdg, speed, rate, span, x = (c.to_numpy(zero_copy_only=False) for c in (*given, lon))
+    dt = span / float(TURN_LEGS)
+    leg = speed / 3600.0 * dt
+    straight = _destination_of(y, x, hdg, speed / 3600.0 * span)
+    for _ in range(TURN_LEGS):
+        y, x = _destination_of(y, x, np.mod(hdg + rate * dt / 2.0, 360.0), leg)
+        hdg = np.mod(hdg + rate * dt, 360.0)
+    steady = np.abs(rate) < STEADY_TURN_DEG_S
+    ends = [np.where(steady, s, flown) for s, flown in zip(straight, (y, x))]
+    masks = unknown, unknown | lon.is_null().to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays([pa.array(e, pa.float64(), mask=m) for e, m in zip(ends, masks)], ["lat", "lon"])
+
+
 def persistence_residual(speed_kt, vertical_rate_fpm, seconds) -> Column:
     """Struct<along, cross, alt>: standing still, relative to dead reckoning."""
     return F.struct(

@@ -83,7 +83,7 @@ def b10(spark, sf):
 @query("b11_constant_turn")
 def b11(spark, sf):
     t = updates(spark, sf, lifecycle=False)
-    d = t.select("scenario_id", "icao24", "t_us", geo.constant_turn("lat", "lon", "track_deg", "ground_speed_kt", "turn_rate_deg_s", 60.0).alias("p"))
+    d = t.select("scenario_id", "icao24", "t_us", geo.constant_turn_of("lat", "lon", "track_deg", "ground_speed_kt", "turn_rate_deg_s", F.lit(60.0)).alias("p"))
     return rnd(d.select("scenario_id", "icao24", "t_us", "p.lat", "p.lon"), 6, "lat", "lon")
 
 
