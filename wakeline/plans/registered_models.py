@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.operators import bootstrap, conformance, features, scoring, telemetry
+from wakeline.operators import bootstrap, conformance, features, scoring, telemetry, tracking
 from wakeline.plans import evaluation, training
 from wakeline.plans.registered import EPOCH, evaluation_inputs, query, rnd, scenario_table, updates
 from wakeline.session import cut_lineage
@@ -72,10 +72,13 @@ def e14(spark, sf):
     return rnd(features.describe(f), 4, "mean", "std", "min", "max")
 
 
-def _physics_scores(spark, sf):
-    d = cut_lineage(dataset(spark, sf, training.HORIZONS_S))
+def _physics_scores(spark, sf, kinds=("persistence", "dead_reckoning", "constant_turn"), wanted=None):
+    """Errors of physics; features that no kind reads are not worked out."""
+    d = training.dataset(updates(spark, sf, lifecycle=False), traffic.truth(spark, sf), training.HORIZONS_S, EPOCH, wanted)
+    read = [f"f_{n}" for n in ("ground_speed_kt", "vertical_rate_fpm", "turn_rate_deg_s")]
+    d = cut_lineage(d.select("scenario_id", "horizon_s", "phase", *read, *training.TARGETS, "baseline_error_nm"))
     out = None
-    for kind in ("persistence", "dead_reckoning", "constant_turn"):
+    for kind in kinds:
         s = training.scored(training.physics_residuals(d, kind), kind)
         out = s if out is None else out.unionByName(s)
     return out
@@ -115,7 +118,7 @@ def k06(spark, sf):
 
 
 def _median_draws(spark, sf):
-    s = _physics_scores(spark, sf).where("phase = 'turn' and model <> 'persistence'").withColumn("error_nm", F.round("error_nm", 4))
+    s = _physics_scores(spark, sf, ("dead_reckoning", "constant_turn"), F.col("phase") == "turn").withColumn("error_nm", F.round("error_nm", 4))
     return cut_lineage(bootstrap.median_draws(s, ["horizon_s", "model"], digits=4))
 
 
@@ -133,24 +136,43 @@ HELD_OUT = ["validation", "test_same_family", "test_shifted"]
 FITS = {"ridge": lambda train, validation: training.fit_linear(train), "boosted": training.fit_boosted}
 
 
-def _assigned(spark, sf):
-    """The data set of every horizon with its splits, kept for the several fits that read it."""
-    splits = training.exact_splits(scenario_table(spark, sf), F.col("family") == "shifted")
-    training.require_disjoint(splits)
-    return cut_lineage(dataset(spark, sf, training.HORIZONS_S).join(splits, "scenario_id"))
+def _assigned(spark, sf, horizons=training.HORIZONS_S, splits=None, turns_of=(), updated=None):
+    """The data set with its splits, kept for the several fits that read it.
 
+    What is not read is not worked out: only the asked `horizons` and scenarios of the asked `splits`, and of splits in
+    `turns_of` only rows in turns. No row depends on the others.
+    """
+    assigned = training.exact_splits(scenario_table(spark, sf), F.col("family") == "shifted")
+    training.require_disjoint(assigned)
+    if splits is not None:
+        assigned = assigned.where(F.col("split").isin(splits))
+    assigned = cut_lineage(assigned)
 
-def _held_out_scores(spark, sf, names):
-    """Scores of each named model and dead reckoning by split and horizon; a model is fitted for each horizon."""
-    d = _assigned(spark, sf)
-    rows = d.where(F.col("split").isin(HELD_OUT))
+    def asked(rows):
+        return rows.join(assigned.select("scenario_id"), "scenario_id", "left_semi")
+
+    if updated is None:
+        updated = tracking.track_updates(asked(traffic.reports(spark, sf)), as_of_us=traffic.end_of_data(spark, sf), lifecycle=False)
+    wanted = None if not turns_of else ~F.col("split").isin(*turns_of) | (F.col("phase") == "turn")
+    d = training.dataset(updated.join(assigned, "scenario_id"), asked(traffic.truth(spark, sf)), horizons, EPOCH, wanted)
+    return cut_lineage(d.join(assigned, "scenario_id"))
+
+
+def _held_out_errors(d, rows, names):
+    """Errors of each named model and dead reckoning on rows of the data set; a model is fitted for each horizon."""
     out = training.scored(training.zero_residuals(rows), "dead_reckoning", "split")
     for h in training.HORIZONS_S:
         at = F.col("horizon_s") == h
         train, validation = (d.where(F.col("split") == s).where(at) for s in ("train", "validation"))
         for n in names:
             out = out.unionByName(training.scored(FITS[n](train, validation).predict(rows.where(at)), n, "split"))
-    return training.score_table(cut_lineage(out), ["split"])
+    return cut_lineage(out)
+
+
+def _held_out_scores(spark, sf, names):
+    """Scores of each named model and dead reckoning by split and horizon."""
+    d = _assigned(spark, sf)
+    return training.score_table(_held_out_errors(d, d.where(F.col("split").isin(HELD_OUT)), names), ["split"])
 
 
 @query("k03_ridge_scores")
@@ -170,14 +192,21 @@ def k03_coefficients(spark, sf):
     return rnd(spark.createDataFrame(rows, "horizon_s double, target string, feature string, weight double"), 4, "weight")
 
 
-def _served(spark, sf):
+def _served(spark, sf, updated=None):
     """The model fitted for 60 s, and typical errors of its predictions and of dead reckoning in turns of the same family."""
-    d = _assigned(spark, sf).where(F.col("horizon_s") == conformance.HORIZON_S)
+    # Typical errors are those of turns.
+    d = _assigned(spark, sf, [conformance.HORIZON_S], ["train", "test_same_family"], ["test_same_family"], updated)
     m = training.fit_linear(d.where("split = 'train'"))
     test = d.where("split = 'test_same_family'")
     errors = training.scored(training.zero_residuals(test), "dead_reckoning").unionByName(training.scored(m.predict(test), m.name))
     chosen = spark.createDataFrame([(conformance.HORIZON_S, m.name)], "horizon_s double, winner string")
-    return m, cut_lineage(training.calibration(training.score_table(cut_lineage(errors)), chosen))
+    return m, cut_lineage(training.calibration(training.turning_medians(cut_lineage(errors)), chosen))
+
+
+def _fitted(spark, sf):
+    """Updates, worked out once, and the model of 60 s fitted to them."""
+    u = cut_lineage(updates(spark, sf, lifecycle=False))
+    return u, training.fit_linear(_assigned(spark, sf, [conformance.HORIZON_S], ["train"], updated=u))
 
 
 def _model_predictions(model, updated):
@@ -192,16 +221,17 @@ def e15_served(spark, sf):
 @query("e02_fitted_deviations")
 def e02_fitted(spark, sf):
     """Worst deviations from the fitted model, and from dead reckoning where it falls back, beyond their fitted thresholds."""
-    m, calibration = _served(spark, sf)
-    found = conformance.deviations(conformance.matured(_model_predictions(m, updates(spark, sf, lifecycle=False))), calibration=calibration)
+    u = cut_lineage(updates(spark, sf, lifecycle=False))
+    m, calibration = _served(spark, sf, u)
+    found = conformance.deviations(conformance.matured(_model_predictions(m, u)), calibration=calibration)
     return rnd(found.select("scenario_id", "track_id", "matched_us", "predicted_us", "source", "error_nm", "baseline_error_nm", "threshold_nm"), 3, "error_nm", "baseline_error_nm", "threshold_nm")
 
 
 @query("k12_fitted_evaluation")
 def k12_fitted(spark, sf):
     """k12 with the fitted model and its fitted thresholds in the chain."""
-    m, calibration = _served(spark, sf)
     s, _, sc = evaluation_inputs(spark, sf)
+    m, calibration = _served(spark, sf, s.updates)
     out = evaluation.conformance_evaluation(s, traffic.manoeuvres(spark, sf), sc, EPOCH, _model_predictions(m, s.updates), calibration)[1]
     return scoring.recall_by(out.join(sc.select("scenario_id", "family"), "scenario_id"), "family", "kind")
 
@@ -209,16 +239,16 @@ def k12_fitted(spark, sf):
 @query("k06_fitted_predictions")
 def k06_fitted(spark, sf):
     """Where the fitted model of 60 s, with its fallback, puts each update; the source says which was used."""
-    m = training.fit_linear(_assigned(spark, sf).where("split = 'train' and horizon_s = 60.0"))
-    p = _model_predictions(m, updates(spark, sf, lifecycle=False))
+    u, m = _fitted(spark, sf)
+    p = _model_predictions(m, u)
     return rnd(p.select("scenario_id", "track_id", "t_us", "source", "p_lat", "p_lon", "p_altitude_ft"), 4, "p_lat", "p_lon").withColumn("p_altitude_ft", F.round("p_altitude_ft", 1) + 0.0)
 
 
 @query("e16_predictions_by_source")
 def e16_predictions(spark, sf):
     """Predictions made each minute, by what made them."""
-    m = training.fit_linear(_assigned(spark, sf).where("split = 'train' and horizon_s = 60.0"))
-    return telemetry.counters(_model_predictions(m, updates(spark, sf, lifecycle=False)), "t_us", "scenario_id", "source")
+    u, m = _fitted(spark, sf)
+    return telemetry.counters(_model_predictions(m, u), "t_us", "scenario_id", "source")
 
 
 @query("k05_boosted_scores")
@@ -226,20 +256,23 @@ def k05(spark, sf):
     return _held_out_scores(spark, sf, ["boosted"]).where("model = 'boosted'")
 
 
-def _contest(spark, sf):
-    scores = cut_lineage(_held_out_scores(spark, sf, list(FITS)))
-    return tuple(scores.where(F.col("split") == s).drop("split") for s in HELD_OUT)
+def _contest(spark, sf, splits):
+    """Medians in turns of both models and dead reckoning, a table for each of the splits; models stop on all of validation."""
+    d = _assigned(spark, sf, splits=["train", *splits], turns_of=[s for s in splits if s != HELD_OUT[0]])
+    errors = _held_out_errors(d, d.where(F.col("split").isin(splits) & (F.col("phase") == "turn")), list(FITS))
+    scores = cut_lineage(training.turning_medians(errors, ["split"]))
+    return tuple(scores.where(F.col("split") == s).drop("split") for s in splits)
 
 
 @query("k07_winner")
 def k07(spark, sf):
-    return training.winner(_contest(spark, sf)[0])
+    return training.winner(_contest(spark, sf, HELD_OUT[:1])[0])
 
 
 @query("e15_calibration")
 def e15(spark, sf):
     """Typical errors on the same family, as served, and on the shifted one."""
-    validation, same, shifted = _contest(spark, sf)
+    validation, same, shifted = _contest(spark, sf, HELD_OUT)
     best = training.winner(validation)
     tables = [training.calibration(t, best).withColumn("split", F.lit(s)) for t, s in ((same, HELD_OUT[1]), (shifted, HELD_OUT[2]))]
     return tables[0].unionByName(tables[1])

@@ -32,10 +32,11 @@ TARGETS = ["y_along", "y_cross", "y_alt"]
 _ERROR_BUCKET_NM, _ERROR_BUCKET_FT = 0.01, 1.0
 
 
-def dataset(updates: DataFrame, truth: DataFrame, horizon_s: float | list[float], epoch_us: int) -> DataFrame:
+def dataset(updates: DataFrame, truth: DataFrame, horizon_s: float | list[float], epoch_us: int, wanted: Column | None = None) -> DataFrame:
     """One row per confirmed update with a full window and truth now and at the horizon.
 
-    Several horizons are one pass over the updates, with a row for each.
+    Several horizons are one pass over the updates, with a row for each. `wanted`
+    says, from an update's columns and `phase`, which rows are asked for.
 
     Targets are the residuals of dead reckoning in the aircraft's own frame.
     `phase` is the true phase now and is only ever used for grouping.
@@ -43,16 +44,18 @@ def dataset(updates: DataFrame, truth: DataFrame, horizon_s: float | list[float]
     confirmed = ft.complete(ft.with_features(updates.where("state = 'confirmed'")))
     now = F.bround((F.col("t_us") - epoch_us) / 1e6, 0).cast("int")
     spans = list(horizon_s) if isinstance(horizon_s, (list, tuple)) else [horizon_s]
-    rows = confirmed.withColumn("sec", now).withColumn("horizon_s", F.explode(F.array(*[F.lit(float(h)) for h in spans])))
-    rows = rows.withColumn("answer_sec", F.col("sec") + F.round("horizon_s").cast("int"))
     t = truth.select("scenario_id", "icao24", "sec", "phase", "lat", "lon", "altitude_ft")
     answer = t.select(
         "scenario_id", "icao24", F.col("sec").alias("answer_sec"), F.col("lat").alias("a_lat"),
         F.col("lon").alias("a_lon"), F.col("altitude_ft").alias("a_alt"),
     )
-    labelled = rows.join(t.select("scenario_id", "icao24", "sec", "phase"), ["scenario_id", "icao24", "sec"]).join(
-        answer, ["scenario_id", "icao24", "answer_sec"]
-    )
+    # An update meets its own second before it becomes a row for each horizon.
+    rows = confirmed.withColumn("sec", now).join(t.select("scenario_id", "icao24", "sec", "phase"), ["scenario_id", "icao24", "sec"])
+    if wanted is not None:
+        rows = rows.where(wanted)
+    each = rows.withColumn("horizon_s", F.explode(F.array(*[F.lit(float(h)) for h in spans])))
+    each = each.withColumn("answer_sec", F.col("sec") + F.round("horizon_s").cast("int"))
+    labelled = each.join(answer, ["scenario_id", "icao24", "answer_sec"])
     h = F.col("horizon_s")
     based = computed_once(labelled, "base", geo.project_forward("lat", "lon", "track_deg", "ground_speed_kt", h)).withColumn(
         "base_alt", geo.dead_reckoned_altitude("altitude_ft", "vertical_rate_fpm", h)
@@ -336,6 +339,15 @@ def score_table(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
     )
 
 
+def turning_medians(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Of `score_table`, what `winner` and `calibration` read: the medians in turns and how many samples they have."""
+    keys = [*(extra or []), "horizon_s", "model"]
+    turns = rows.where("phase = 'turn'")
+    n = turns.groupBy(*keys).agg(F.count("*").alias("samples"))
+    err = quantiles(turns, keys, "error_nm", [Quantile("median_nm", 0.5, "median")], width=_ERROR_BUCKET_NM).drop("n")
+    return n.join(err, keys).select(*keys, F.lit(SELECTION_STRATUM).alias("stratum"), F.round("median_nm", 4).alias("median_nm"), "samples")
+
+
 def winner(validation_scores: DataFrame, simple: str = "ridge", challenger: str = "boosted") -> DataFrame:
     """Per horizon, the challenger only if it beats the simple model materially on the turning stratum."""
     t = validation_scores.where(F.col("stratum") == SELECTION_STRATUM)
