@@ -72,16 +72,23 @@ def by_label(tracks: DataFrame) -> DataFrame:
     return tracks.orderBy(F.coalesce("callsign", "icao24"))
 
 
-def active_alerts(alerts: DataFrame, as_of_us: int, kinds: list[str] | None = None, ttl_s: float = ALERT_TTL_S) -> DataFrame:
-    """Alerts still running at an instant, newest first; no kinds means all."""
+def latest_alerts(alerts: DataFrame, as_of_us: int) -> DataFrame:
+    """The last publication of every alert key up to an instant."""
     state_order = F.when(F.col("state") == "new", 0).when(F.col("state") == "sustained", 1).otherwise(2)
-    known = _latest(
+    return _latest(
         alerts.where(F.col("updated_us") <= as_of_us).withColumn("_o", state_order), ["scenario_id", "alert_key"], "updated_us", "_o"
     ).drop("_o")
-    out = known.where((F.col("state") != "cleared") & (F.col("updated_us") >= as_of_us - int(ttl_s * 1e6)))
-    if kinds:
-        out = out.where(F.col("kind").isin(*kinds))
-    return out.orderBy(F.desc("updated_us"))
+
+
+def still_running(latest: DataFrame, as_of_us: int, ttl_s: float = ALERT_TTL_S) -> DataFrame:
+    """Of last publications, those of alerts that are neither cleared nor expired, newest first."""
+    return latest.where((F.col("state") != "cleared") & (F.col("updated_us") >= as_of_us - int(ttl_s * 1e6))).orderBy(F.desc("updated_us"))
+
+
+def active_alerts(alerts: DataFrame, as_of_us: int, kinds: list[str] | None = None, ttl_s: float = ALERT_TTL_S) -> DataFrame:
+    """Alerts still running at an instant, newest first; no kinds means all."""
+    known = latest_alerts(alerts, as_of_us)
+    return still_running(known.where(F.col("kind").isin(*kinds)) if kinds else known, as_of_us, ttl_s)
 
 
 def by_severity(alerts: DataFrame) -> DataFrame:
